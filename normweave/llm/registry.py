@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, simhash
+from . import bpe, mixing, secrets, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op3_simhash": simhash.query,
+        "op7_mixing": mixing.query,
         "op8_bpe": bpe.query,
+        "op9_topk": topk.query,
         "op10_secrets": secrets.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_topk": topk.SQL}
