@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, secrets, simhash, topk
+from . import bpe, fixity, mixing, rules, secrets, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_rules": rules.query,
         "op3_simhash": simhash.query,
+        "op6_fixity": fixity.query,
         "op7_mixing": mixing.query,
         "op8_bpe": bpe.query,
         "op9_topk": topk.query,
@@ -22,4 +24,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": topk.SQL}
+    return {"op1_quality_rules": rules.SQL, "op6_fixity": fixity.SQL, "op9_topk": topk.SQL}
