@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fixity, mixing, rules, secrets, simhash, topk
+from . import bpe, fixity, mixing, quality, rules, secrets, simhash, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,7 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": rules.query,
+        "op2_toxicity": toxicity.query,
         "op3_simhash": simhash.query,
+        "op4_quality": quality.query,
         "op6_fixity": fixity.query,
         "op7_mixing": mixing.query,
         "op8_bpe": bpe.query,

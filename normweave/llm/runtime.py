@@ -44,3 +44,16 @@ def attach(df: DataFrame, names: list[str]) -> list[str]:
     """The columns of df that stay beside outputs of these names; an output replaces its namesake."""
     taken = {n.lower() for n in names}
     return [c for c in df.columns if c.lower() not in taken]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int) -> DataFrame:
+    """(doc_id, text, y) of at most `rows` labelled documents outside the held-out remainder.
+
+    They are those of the smallest hashes of doc_id. An id labelled twice takes the larger label; null
+    ids and labels are left out. The chosen ids, at most `rows` of them, are broadcast, so no text is
+    shuffled to find them.
+    """
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_bucket(F.col("doc_id"), modulus) != held))
+    usable = usable.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    chosen = usable.orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    return docs.join(F.broadcast(chosen), docs.doc_id == chosen["__id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
