@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fixity, mixing, quality, rules, secrets, simhash, topk, toxicity
+from . import bpe, fixity, mixing, quality, rules, secrets, simhash, suffix_tree, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_toxicity": toxicity.query,
         "op3_simhash": simhash.query,
         "op4_quality": quality.query,
+        "op5_suffix_tree": suffix_tree.query,
         "op6_fixity": fixity.query,
         "op7_mixing": mixing.query,
         "op8_bpe": bpe.query,
