@@ -14,7 +14,7 @@ from . import values as V
 from .text import blank
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility characters (full-width digits and such) in their standard form; no built-in function does this."""
     for s in parts:
