@@ -59,8 +59,12 @@ def forms(word: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Search terms of a text: all forms of all its words, repeats included."""
-    return F.flatten(F.transform(words(text), forms))
+    """Search terms of a text: all forms of all its words, repeats included.
+
+    Only Hangul words have forms beside themselves, so a text without Hangul is spared the search for them.
+    """
+    found = words(text)
+    return F.when(blank(text).rlike("[가-힣]"), F.flatten(F.transform(found, forms))).otherwise(found)
 
 
 def query_words(text: Column) -> Column:

@@ -7,6 +7,7 @@ which scored rows of a question count, and a question whose routed rows all fail
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,12 +29,19 @@ class Index:
     profiles: DataFrame
     totals: DataFrame
 
+    @cached_property
+    def size(self) -> tuple[int, float]:
+        """Articles, and their mean length."""
+        row = self.totals.first()
+        return row.n_docs, row.avg_length or 1.0
 
-def build(articles: DataFrame) -> Index:
+
+def build(articles: DataFrame, only: DataFrame | None = None) -> Index:
     """Index of articles (pos, rule_name, division, article_no, article_title, body, and any flags).
 
-    The term table is the one wide shuffle, combined before it; its parts are read from there. Null
-    texts are empty. An article without words has length 0.
+    The term table is the one wide shuffle, combined before it. With `only` (term), a batch's terms, no
+    other term is shuffled; lengths and totals are those of all. Null texts are empty. An article without
+    words has length 0.
     """
     flag = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in articles.columns else F.lit(other)
     docs = articles.withColumn("doc_id", F.col("pos"))
@@ -47,6 +55,8 @@ def build(articles: DataFrame) -> Index:
     )
     lengths = worded.select("doc_id", "rule_name", F.size("__tokens").alias("length"), "is_current", "is_repealed", "is_attachment")
     terms = worded.select("doc_id", F.explode("__tokens").alias("term"), *[k for k in sets])
+    if only is not None:
+        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
     terms = terms.select("doc_id", "term", *[F.array_contains(k, F.col("term")).alias(k) for k in sets]).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), *[F.max(k).alias(k) for k in sets])
     totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
     stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -76,8 +86,7 @@ def question_terms(questions: DataFrame) -> DataFrame:
 def known_terms(index: Index, asked: DataFrame) -> DataFrame:
     """asked with idf, for terms that stand in some article."""
     wanted = index.stats.join(asked.select("term").distinct(), "term")
-    n = index.totals.first()["n_docs"]
-    return asked.join(wanted.select("term", idf(F.lit(n), F.col("df")).alias("idf")), "term")
+    return asked.join(wanted.select("term", idf(F.lit(index.size[0]), F.col("df")).alias("idf")), "term")
 
 
 def route(index: Index, asked: DataFrame, top: int = V.ROUTE_TOP, ties: int = V.ROUTE_TIES) -> DataFrame:
@@ -102,10 +111,9 @@ def score(index: Index, questions: DataFrame, boosts: bool = True) -> DataFrame:
     questions: query_id, query, and flags include_superseded and include_repealed, false where missing.
     """
     asked = known_terms(index, question_terms(questions))
-    average = index.totals.first()["avg_length"] or 1.0
     flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) if c in questions.columns else F.lit(False).alias(c) for c in ("include_superseded", "include_repealed")]
     lengths = index.lengths.select("doc_id", "rule_name", "length", "is_current", "is_repealed", "is_attachment")
-    norm = F.col("tf") + V.K1 * (1.0 - V.B + V.B * F.col("length") / F.lit(average))
+    norm = F.col("tf") + V.K1 * (1.0 - V.B + V.B * F.col("length") / F.lit(index.size[1]))
     part = F.col("idf") * (F.col("tf") * (V.K1 + 1.0) / norm) * F.col("qf")
     if boosts:
         for c, boost in (("in_name", V.BOOST_NAME), ("in_title", V.BOOST_TITLE), ("in_division", V.BOOST_DIVISION)):
