@@ -18,15 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import attach, crc_bucket, cut, labelled_sample, table
 
-#: Labelled rows to learn from at most; terms of a lexicon at most; toxic rows that a term must be in.
-SAMPLE, TERMS, SUPPORT = 20_000, 400, 4
-#: How many times likelier a term must be in toxic rows, and lengths of stems.
-LIFT, STEMS = 40.0, range(3, 9)
+#: Labelled rows to learn from at most; terms of a lexicon at most; toxic rows, and share of them, that a term must be in.
+SAMPLE, TERMS, SUPPORT, SHARE = 20_000, 100, 4, 0.02
+#: How many times likelier a term must be in toxic rows, lengths of stems, and rows that halve a weight.
+LIFT, STEMS, DOUBT = 40.0, range(3, 9), 5
 #: Characters that a block of texts may have (one text may have more), and of a context window on either side.
 BLOCK, WINDOW = 1 << 21, 60
 #: Score from which a document counts as toxic, and what the folds of the query are.
@@ -206,7 +207,19 @@ def _blocks(texts: list[str]) -> Iterator[list[str]]:
 
 
 def learn_terms(sample: DataFrame) -> list[tuple[str, bool, float]]:
-    """(term, whether it is a stem, weight): at most TERMS, from partial counts of the sample's rows."""
+    """(term, whether it is a stem, weight): at most TERMS, from partial counts of the sample's rows.
+
+    Rows that share their smallest five-word shingle count as one: words of a text that was copied often
+    would else seem to be toxic by themselves.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [t.as_py().lower().encode().split() for t in batch.column(1)]
+            keys = [min(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(w[i:] for i in range(5)))) if len(w) > 5 else [b" ".join(w)])) for w in words]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(keys, np.uint64).view(np.int64))], names=[*batch.schema.names, "sketch"])
+
+    sample = sample.mapInArrow(sketch, "doc_id bigint, text string, y int, sketch bigint").dropDuplicates(["sketch", "y"]).drop("sketch")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -225,8 +238,10 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, bool, float]]:
     rows = counts.where("term = ''").first()
     if rows is None or not rows.toxic or not rows.clean:
         return []
+    # A term's weight is its precision, drawn to nothing where few rows speak for it.
+    weight = lambda r: float((r.toxic + 0.5) / (r.toxic + r.clean + 1) * r.toxic / (r.toxic + DOUBT))
     lift = ((F.col("toxic") + 0.5) / rows.toxic) / ((F.col("clean") + 0.5) / rows.clean)
-    support = max(SUPPORT, rows.toxic // 100)
+    support = max(SUPPORT, rows.toxic * SHARE)
     strong = counts.where((F.col("term") != "") & (F.col("toxic") >= support)).withColumn("lift", lift).where(F.col("lift") >= LIFT)
     best = {r.term: r for r in strong.orderBy(F.desc("toxic"), "term").limit(40 * TERMS).collect()}
     terms: dict[str, tuple[bool, float]] = {}
@@ -240,11 +255,11 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, bool, float]]:
         ways = [t for t in best if t.endswith(".") and t.startswith(end) and best[t].toxic >= 0.9 * n]
         term, stem = (max(ways, key=lambda t: best[t].toxic)[:-1], False) if ways else (end, True)
         if term not in terms:
-            terms[term] = (stem, float((best[root].toxic + 0.5) / (best[root].toxic + best[root].clean + 1)))
+            terms[term] = (stem, weight(best[root]))
     # Whole words that their own stems, being common in clean rows, do not stand for.
     for word in (t for t in best if t.endswith(".")):
         if not any(word[:-1].startswith(t) for t in terms):
-            terms[word[:-1]] = (False, float((best[word].toxic + 0.5) / (best[word].toxic + best[word].clean + 1)))
+            terms[word[:-1]] = (False, weight(best[word]))
     ranked = sorted(terms.items(), key=lambda x: (-best.get(x[0], best.get(x[0] + ".", rows)).toxic, x[0]))
     return [(t, stem, w) for t, (stem, w) in ranked[:TERMS]]
 
