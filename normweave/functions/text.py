@@ -91,3 +91,8 @@ def iso_date(text: Column, pattern: str = r"(\d{4})\.\s*(\d{1,2})\.\s*(\d{1,2})"
 def occurrences(text: Column, part: str) -> Column:
     """How often part stands in the text, without overlaps."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value made once: a lambda that names a larger expression makes it anew for every element."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.text import blank, iso_date, strip
+from ..functions.text import blank, iso_date, let, strip
 
 #: A name with a trailing note in brackets that speaks of a version, or of a year.
 _VERSION = r"(?s)^(.+?)(?U:\s*)\(([^)]*(?:제정|개정|폐지|이전)[^)]*|(?U:\s*)\d{4}[^)]*)\)(?U:\s*)$"
@@ -39,18 +39,20 @@ def repealed_items(body: Column) -> Column:
     """
     head = rf"(?mdU)^\s*(\d{{1,2}})\s*\.{_GONE}"
     pieces = F.split(F.regexp_replace(blank(body), head, "\u0001$1\u0002$2\u0003"), "\u0001")
-    marks = F.transform(pieces, lambda p, i: F.regexp_extract(F.substring_index(p, "\u0003", -1), f"(?s)^.*({_MARKS})", 1))
-    found = F.transform(F.slice(pieces, 2, 1 << 30), lambda p, i: F.struct(
-        _last_mark(marks, i).alias("clause"),
-        F.substring_index(p, "\u0002", 1).alias("item"),
-        iso_date(F.substring_index(F.substring_index(p, "\u0003", 1), "\u0002", -1)).alias("repealed_date"),
-    ))
-    return found.cast(ITEM_KIND)
+    parted = F.transform(pieces, lambda p: F.struct(p.alias("p"), F.regexp_extract(F.substring_index(p, "\u0003", -1), f"(?s)^.*({_MARKS})", 1).alias("mark")))
 
+    def items(parted: Column) -> Column:
+        return F.transform(F.slice(parted, F.lit(2), F.size(parted)), lambda x, i: F.struct(
+            _last_mark(F.slice(parted, F.lit(1), i + 1)).alias("clause"),
+            F.substring_index(x["p"], "\u0002", 1).alias("item"),
+            iso_date(F.substring_index(F.substring_index(x["p"], "\u0003", 1), "\u0002", -1)).alias("repealed_date"),
+        ))
 
-def _last_mark(marks: Column, upto: Column) -> Column:
-    seen = F.filter(F.slice(marks, F.lit(1), upto + 1), lambda m: m != "")
-    return F.try_element_at(seen, F.lit(-1))
+    return F.when(F.size(parted) > 1, let(parted, items)).otherwise(F.array()).cast(ITEM_KIND)
+
+
+def _last_mark(parted: Column) -> Column:
+    return F.try_element_at(F.filter(parted, lambda x: x["mark"] != ""), F.lit(-1))["mark"]
 
 
 def text_integrity(body: Column) -> Column:
@@ -63,7 +65,7 @@ def text_integrity(body: Column) -> Column:
     pieces = F.split(text, r"\?", -1)
     letter, word = "[가-힣A-Za-z]", "[0-9A-Za-z가-힣]"
 
-    def kind(i: Column) -> Column:
+    def kind(pieces: Column, i: Column) -> Column:
         # A piece between two marks may be empty; then the neighbour is the other mark.
         piece, after = F.get(pieces, i), F.get(pieces, i + 1)
         before = F.when(piece != "", F.right(piece, F.lit(1))).when(i == 0, "\n").otherwise("?")
@@ -75,14 +77,17 @@ def text_integrity(body: Column) -> Column:
             .when(nxt.rlike(letter), V.DAMAGE_QUOTE)
         )
 
-    found = F.array_compact(F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: kind(i)))
-    whole = F.struct(
-        F.size(found).alias("suspect_marks"),
-        F.array_distinct(found).alias("kinds"),
-        F.regexp_count(text, F.lit(r"(?U)[다까요나가]\?(?:\s|$)")).alias("sentence_questions"),
-        F.lit("characters damaged at the source; quote as they are").alias("note"),
-    )
-    return F.when(text.contains("?") & (F.size(found) > 0), whole)
+    def whole(found: Column) -> Column:
+        told = F.struct(
+            F.size(found).alias("suspect_marks"),
+            F.array_distinct(found).alias("kinds"),
+            F.regexp_count(text, F.lit(r"(?U)[다까요나가]\?(?:\s|$)")).alias("sentence_questions"),
+            F.lit("characters damaged at the source; quote as they are").alias("note"),
+        )
+        return F.when(F.size(found) > 0, told)
+
+    found = let(pieces, lambda ps: F.array_compact(F.transform(F.slice(ps, F.lit(1), F.size(ps) - 1), lambda p, i: kind(ps, i))))
+    return F.when(text.contains("?"), let(found, whole))
 
 
 def annotate(articles: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def build(articles: DataFrame, only: DataFrame | None = None) -> Index:
     kind = F.col("record_type") if "record_type" in articles.columns else F.lit(V.MAIN)
     worded = docs.select(
         "doc_id", F.col("rule_name"), tokens(full).alias("__tokens"), *[s.alias(k) for k, s in sets.items()],
-        flag("is_current", True).alias("is_current"), flag("is_repealed", False).alias("is_repealed"), (kind == V.ATTACHMENT).alias("is_attachment"),
+        flag("is_current", True).alias("is_current"), flag("is_repealed", False).alias("is_repealed"), F.coalesce(kind == V.ATTACHMENT, F.lit(False)).alias("is_attachment"),
     )
     lengths = worded.select("doc_id", "rule_name", F.size("__tokens").alias("length"), "is_current", "is_repealed", "is_attachment")
     terms = worded.select("doc_id", F.explode("__tokens").alias("term"), *[k for k in sets])
@@ -65,8 +65,12 @@ def build(articles: DataFrame, only: DataFrame | None = None) -> Index:
 
 def profiles(articles: DataFrame) -> DataFrame:
     """(rule_name, term, weight): terms of name, division and titles, weighed and summed over a rule's articles."""
-    weighed = [F.transform(tokens(F.col(c).cast("string")), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in (("rule_name", V.PROFILE_NAME), ("division", V.PROFILE_DIVISION), ("article_title", V.PROFILE_TITLE))]
-    parts = articles.select("rule_name", F.explode(F.concat(*weighed)).alias("x"))
+
+    def weighed(column: str, weight: int) -> Column:
+        return F.transform(tokens(F.col(column).cast("string")), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+    terms = [weighed("rule_name", V.PROFILE_NAME), weighed("division", V.PROFILE_DIVISION), weighed("article_title", V.PROFILE_TITLE)]
+    parts = articles.select("rule_name", F.explode(F.concat(*terms)).alias("x"))
     return parts.groupBy("rule_name", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("weight"))
 
 

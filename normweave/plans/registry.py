@@ -99,14 +99,14 @@ def l8_repealed_parts(spark, d):
 
 @query
 def l10_damage(spark, d):
-    rows = M.articles(spark, d).select("pos", F.translate("body", ",'", "??").alias("body"))
+    rows = M.articles(spark, d).select("pos", F.replace("body", F.lit(", "), F.lit("?")).alias("body"))
     got = annotate.text_integrity(F.col("body"))
     return rows.select(F.col("pos").alias("doc_id"), got.alias("t")).where("t is not null").select("doc_id", "t.suspect_marks", F.array_join("t.kinds", ",").alias("kinds"))
 
 
 @query
 def a18_damage_inventory(spark, d):
-    rows = M.articles(spark, d).withColumn("text_integrity", annotate.text_integrity(F.translate("body", ",'", "??")))
+    rows = M.articles(spark, d).withColumn("text_integrity", annotate.text_integrity(F.replace("body", F.lit(", "), F.lit("?"))))
     return operations.damage_inventory(rows)
 
 
