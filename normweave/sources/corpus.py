@@ -41,10 +41,12 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """
     ddl = ", ".join(f"`{k}` string" for k in FIELDS)
     raw = spark.read.schema(ddl + ", `_bad` string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    raw = raw.select("*", F.monotonically_increasing_id().alias("__at")).cache()
-    if raw.where(F.col("_bad").isNotNull()).limit(1).count() or raw.isEmpty():
+    raw = raw.select("*", F.monotonically_increasing_id().alias("__at"))
+    if raw.where(F.col("_bad").isNotNull()).head(1) or not raw.head(1):
         raise ValueError(f"no articles can be read from {path}")
-    missing = [k for k in list(FIELDS)[:7] if raw.where(F.col(f"`{k}`").isNotNull()).isEmpty()]
+    needed = list(FIELDS)[:7]
+    counts = raw.agg(*[F.count(F.col(f"`{k}`")).alias(k) for k in needed]).first()
+    missing = [k for k in needed if not counts[k]]
     if missing:
         raise ValueError(f"required fields are missing: {', '.join(missing)}")
     named = raw.select(*[F.col(f"`{k}`").alias(v) for k, v in FIELDS.items()], "__at")
