@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
-import re
 from pyspark.sql import DataFrame, SparkSession
 
-from .runtime import attach
+from .runtime import attach, pieces
 
 #: Output columns that `code` can give, with their types.
 OUTPUTS = {
@@ -33,7 +34,7 @@ OUTPUTS = {
 _DDL = {"n_tokens": "bigint", "ids": "array<int>", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
 #: Entries of each of the two generations of the piece memo, of the pair memo and of the shared prefix table.
-MEMO, PAIRS, PREFIXES = 300_000, 500_000, 400_000
+MEMO, PAIRS, PREFIXES = 200_000, 300_000, 250_000
 
 #: Bytes up to which a string is short.
 SHORT = 32
@@ -237,14 +238,14 @@ def code(docs: DataFrame, ranks_file: str, pattern: str, outputs: list[str], tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(held.value, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             rows: dict[str, list] = {o: [] for o in outputs}
             for text in batch.column(batch.schema.get_field_index(text_col)):
                 joined, raw = codec.code(text.as_py() or "")
                 for name in outputs:
                     rows[name].append(_GIVE[name](joined, raw))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in carry]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(rows[o], OUTPUTS[o]) for o in outputs], names=carry + outputs)
+            yield pa.RecordBatch.from_arrays(columns + [_lists(rows[o]) if o == "ids" else pa.array(rows[o], OUTPUTS[o]) for o in outputs], names=carry + outputs)
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + [f"`{o}` {_DDL[o]}" for o in outputs])
@@ -253,13 +254,18 @@ def code(docs: DataFrame, ranks_file: str, pattern: str, outputs: list[str], tex
 
 _GIVE: dict[str, Callable[[str, bytes], object]] = {
     "n_tokens": lambda joined, raw: joined.count(" ") + 1 if joined else 0,
-    "ids": lambda joined, raw: [int(i) for i in joined.split()],
+    "ids": lambda joined, raw: np.fromstring(joined, np.int32, sep=" "),
     "ids_sha256": lambda joined, raw: hashlib.sha256(joined.encode()).hexdigest(),
     "decoded": lambda joined, raw: raw.decode("utf-8", "replace"),
     "decoded_sha256": lambda joined, raw: hashlib.sha256(raw).hexdigest(),
 }
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+
+
 def vocabulary(path: str | None = None) -> tuple[str, str]:
     """File of ranks and split pattern; the public 50k vocabulary unless a path is given."""
     import public_tokenizers

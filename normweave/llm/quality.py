@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import attach, crc_bucket, cut, labelled_sample, table
+from .runtime import attach, crc_bucket, cut, labelled_sample, pieces, table
 
 #: Labelled rows that the classifier is fitted on at most, cosines, kernel width in deviations, ridge, share for calibration.
 SAMPLE, COSINES, WIDTH, RIDGE, CALIBRATE = 20_000, 256, 3.0, 1e-3, 0.3
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = FOLDS, held: int = HE
     chosen = labelled_sample(docs, labels, "quality", modulus, held, sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             x = np.array([statistics(t.as_py()) for t in batch.column(1)]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, x.T)], names=["doc_id", "y", *NAMES])
 
@@ -135,7 +135,7 @@ def score(docs: DataFrame, model: Model, threshold: float = GOOD, text_col: str
     source = docs.select(*carry, *([] if text_col in carry else [docs[text_col]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(batch.schema.get_field_index(text_col))
             x = np.array([statistics(t.as_py() or "") for t in texts]).reshape(-1, len(NAMES))
             s = model.score(x)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = usable.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     return docs.join(F.broadcast(chosen), docs.doc_id == chosen["__id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most `rows` rows, so that what a worker makes of one at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .runtime import attach, table
+from .runtime import attach, pieces, table
 
 #: Strings that a part of a regex may stand for before it counts as unknown.
 EXACT = 24
@@ -233,7 +233,7 @@ def scan(docs: DataFrame, outputs: list[str], rules: tuple[Rule, ...] = RULES, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in pieces(batches, 1024):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             found: list[list[tuple[int, int, int]]] = []
             at = 0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runtime import cut, table
+from .runtime import cut, pieces, table
 
 #: Fingerprints of a slot of a hot bucket; queries, and lanes in words, that are compared at a time.
 CELL, QUERIES, LANES = 4096, 256, 64
@@ -63,19 +63,17 @@ def fingerprints(texts: list[str], width: int) -> np.ndarray:
     return out
 
 
-def with_fingerprint(docs: DataFrame, width: int = 3, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all but the text) and `fingerprint` (long, its bits signed). A null text has no words."""
-    keep = [c for c in docs.columns if c not in (text_col, "fingerprint")] if keep is None else keep
+def with_fingerprint(docs: DataFrame, width: int = 3, text_col: str = "text", keep: list[str] | None = None, name: str = "fingerprint") -> DataFrame:
+    """The columns keep (all but the text and a namesake) and the fingerprint (long, its bits signed). A null text has no words."""
+    keep = [c for c in docs.columns if c not in (text_col, name)] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(len(keep))
-            parts = [fingerprints([t.as_py() or "" for t in texts.slice(i, 256)], width) for i in range(0, len(texts), 256)]
-            made = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(made)], names=[*keep, "fingerprint"])
+        for batch in pieces(batches):
+            made = fingerprints([t.as_py() or "" for t in batch.column(len(keep))], width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(made)], names=[*keep, name])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, docs[text_col]).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["fingerprint bigint"]))
+    return docs.select(*keep, docs[text_col]).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{name} bigint"]))
 
 
 # Comparison
@@ -260,8 +258,9 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     columns = docs.columns
     stay = docs.join(first.where("__rows = 1").select("doc_id"), "doc_id", "left_semi")
     repeated = docs.join(first.where("__rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = with_fingerprint(docs.where("doc_id is null").withColumn("__text", F.col("text")), width, "__text", columns)
-    unnamed = unnamed.join(grouped.where("component_id is null").select("fingerprint", "root"), "fingerprint").dropDuplicates(["root"])
+    unnamed = with_fingerprint(docs.where("doc_id is null").withColumn("__text", F.col("text")), width, "__text", columns, "__print")
+    alone = grouped.where("component_id is null").select(F.col("fingerprint").alias("__print"), F.col("root").alias("__root"))
+    unnamed = unnamed.join(alone, "__print").dropDuplicates(["__root"])
     return stay.select(*columns).unionByName(repeated.select(*columns)).unionByName(unnamed.select(*columns))
 
 

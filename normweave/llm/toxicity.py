@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import attach, crc_bucket, cut, labelled_sample, table
+from .runtime import attach, crc_bucket, cut, labelled_sample, pieces, table
 
 #: Labelled rows to learn from at most; terms of a lexicon at most; toxic rows, and share of them, that a term must be in.
 SAMPLE, TERMS, SUPPORT, SHARE = 20_000, 100, 4, 0.02
@@ -37,7 +37,7 @@ PRIOR, STRENGTH, HALF = np.array([-4.0, 9.0]), 0.5, 0.3
 #: What a misspelled find and a quoted one count for, when an exact one in the open counts 1.
 MISSPELLED, QUOTED = 0.5, 0.08
 #: Digits that stand for letters, quotation marks, and words that report speech.
-LOOK = dict(zip("0134578", "oleastb"))
+LOOK = dict(zip("0134578", "oieastb"))
 QUOTES = "\"“”„«»‘’'"
 REPORTS = re.compile(r"\b(said|says|say|called|calls|quoted|quote|wrote|writes|word|term|meaning|defined|reported|dit|sagte|nannte|wort|dijo|palabra)\b[\s:,\"'“„«‘]*$", re.I)
 
@@ -331,7 +331,7 @@ def score(docs: DataFrame, model: Model, outputs: tuple[str, ...] = ("score", "p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in batches:
+        for batch in pieces(batches):
             finds = []
             for block in _blocks([t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]):
                 finds += model.finds(block)
