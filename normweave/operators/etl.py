@@ -17,6 +17,7 @@ SENTENCE_TAIL = r"(?:같다|따른다|의하다|참조)[.。]?(?U:\s*)$"
 ITEM = r"(?md)^((?U:\s*)(\d{1,2})(?U:\s*)\.(?U:\s*)([^\n]{1,40}))$"
 SECTION = r"^(?U:\s*)제(?U:\s*)(\d+)(?U:\s*)(장|절)((?U:\s)|$|[^가-힣])"
 NOTE_LINE = r"^(?U:\s*)<[^>]*>(?U:\s*)$"
+CONTENTS_LINE = r"^#*(?U:\s*)[\[【](?U:\s*)(별표[^\]】]*?)(?U:\s*)[\]】](?U:\s*)(.*?)(?U:\s*)[-·.\s]*\d*(?U:\s*)$"
 DELEGATION = r"\((?U:\s*)제(?U:\s*)(\d+)(?U:\s*)조(?:(?U:\s*)의(?U:\s*)(\d+))?(?U:\s*)(?:제(?U:\s*)(\d+)(?U:\s*)항|([①-⑮])(?U:\s*)항)?[^)]*관련[^)]*\)"
 SPLIT_HEAD = r"(?s)^(\d+)\(([^)\n]{1,40})\)(?U:\s*)(.*)"
 FRAGMENT = r"^(?:[,)]|의 |에 |와 |과 |및 |내지 |부터 |까지 |제\d+[항호])"
@@ -217,6 +218,14 @@ def strip_delegation(title: Column) -> tuple[Column, Column]:
     return strip(F.regexp_replace(blank(title), DELEGATION, "")), F.when(part(1) != "", F.struct(number.alias("article_no"), clause.alias("clause")))
 
 
+def contents_titles(documents: DataFrame) -> DataFrame:
+    """(source_key, label, title): titles that lines of a table of contents give attachments; the first of each label."""
+    lines = documents.select("source_key", F.posexplode(F.split(blank(F.col("markdown")), "\n")).alias("place", "line")).where(F.col("line").rlike(CONTENTS_LINE))
+    title = F.regexp_replace(squeeze(F.regexp_extract("line", CONTENTS_LINE, 2)), r"^[ \-·.]+|[ \-·.]+$", "")
+    rows = lines.select("source_key", "place", squeeze(F.regexp_extract("line", CONTENTS_LINE, 1)).alias("label"), title.alias("title")).where("title != ''")
+    return rows.groupBy("source_key", "label").agg(F.min_by("title", "place").alias("title"))
+
+
 def fill_titles(attachments: DataFrame, contents: DataFrame) -> DataFrame:
     """attachments (source_key, label, title, body) with title, title_source and delegating_article.
 

@@ -35,6 +35,12 @@ def candidates(log: DataFrame) -> DataFrame:
     return grouped.withColumn("updated_at", F.when(F.col("asked_count") > 1, F.col("__last"))).withColumn("status", F.lit("pending")).drop("__last")
 
 
+def capture(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(log, candidates): every question is logged, masked; unanswered ones are candidates too."""
+    log = masked_log(events)
+    return log, candidates(log)
+
+
 def candidate_order(rows: DataFrame, status: str = "pending", limit: int | None = None) -> DataFrame:
     """Candidates of a status, most asked first, then oldest."""
     ordered = rows.where(F.col("status") == status).orderBy(F.desc("asked_count"), "created_at")

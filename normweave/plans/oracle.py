@@ -103,7 +103,7 @@ art AS (
 ), rules AS (
   SELECT DISTINCT rule_name FROM art
 ), own AS (
-  SELECT a.record_id AS src_id, CASE WHEN t.record_id IS NULL THEN 'same_rule' ELSE 'same_rule' END AS kind, '제' || (a.k + 1) || '조' AS raw, a.rule_name AS tr, '제' || (a.k + 1) || '조' AS ta, t.record_id AS dst
+  SELECT a.record_id AS src_id, 'same_rule' AS kind, '제' || (a.k + 1) || '조' AS raw, a.rule_name AS tr, '제' || (a.k + 1) || '조' AS ta, t.record_id AS dst
   FROM art a LEFT JOIN art t ON t.rule_name = a.rule_name AND t.k = a.k + 1
 ), other AS (
   SELECT a.record_id AS src_id, CASE WHEN r.rule_name IS NULL THEN 'external_law_unmatched' ELSE 'cross_rule' END AS kind, '「' || {_NAME('a.c + 1')} || '」 제' || (a.k % 97 + 1) || '조' AS raw,

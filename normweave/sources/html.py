@@ -24,7 +24,11 @@ def unescape(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: None if x is None else html.unescape(x))
 
 
-def html_to_text(document: Column, noise: str | None = None) -> Column:
+#: Fixed value: lines that belong to the page and not to the text.
+NOISE = r"AJAX|조문목록|체크박스|return false|\.gif|\.png|javascript:"
+
+
+def html_to_text(document: Column, noise: str | None = NOISE) -> Column:
     """Lines of text: no scripts and styles, references resolved before tags go, no blank or noise lines, no lone signs."""
     bare = F.regexp_replace(blank(document), r"(?is)<(script|style)[^>]*>.*?</\1>", "\n")
     resolved = F.when(bare.contains("&"), unescape(F.when(bare.contains("&"), bare))).otherwise(bare)

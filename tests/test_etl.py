@@ -91,3 +91,9 @@ def test_append_and_reconcile(spark):
     listing = spark.createDataFrame([("101", "새 이름 지침")], "key string, name string")
     renamed, gone = etl.reconcile_names(table(spark, [article(0), article(1, key="999")]), listing)
     assert {r.rule_name for r in renamed.collect()} == {"새 이름 지침", "도서관 이용 지침"} and gone.first().source_key == "999"
+
+
+def test_contents_titles(spark):
+    text = "## [별표 3] 연구비 집행기준 ----------- 27\n[별표 4] 서식 ... 3\n[별표 3] 둘째 이름\n본문"
+    got = {r.label: r.title for r in etl.contents_titles(docs(spark, text, None)).collect()}
+    assert got == {"별표 3": "연구비 집행기준", "별표 4": "서식"}

@@ -48,6 +48,7 @@ def test_candidates_and_log(spark, tmp_path):
     rows = [(1, "대출 기한은? 010-1111-2222", "", False), (2, "대출  기한은? 010-3333-4444", "", False), (3, "답한 질문", "답", True)]
     log = O.masked_log(spark.createDataFrame(rows, "ts long, question string, response string, answered boolean"))
     (one,) = O.candidates(log).collect()
+    assert [x.count() for x in O.capture(spark.createDataFrame(rows, "ts long, question string, response string, answered boolean"))] == [3, 1]
     assert one.asked_count == 2 and "010" not in one.question and one.created_at == 1 and one.updated_at == 2
     assert O.recent(log, 0).count() == 0 and [r.ts for r in O.recent(log, 2).collect()] == [3, 2]
     src = str(tmp_path / "log")
