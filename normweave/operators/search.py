@@ -58,6 +58,8 @@ def build(articles: DataFrame, only: DataFrame | None = None) -> Index:
     if only is not None:
         terms = terms.join(only.select("term").distinct(), "term", "left_semi")
     terms = terms.select("doc_id", "term", *[F.array_contains(k, F.col("term")).alias(k) for k in sets]).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), *[F.max(k).alias(k) for k in sets])
+    if only is not None:  # a few columns of a row for each article, and the batch's terms: read more than once, made once
+        terms, lengths = terms.persist(), lengths.persist()
     totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
     stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return Index(docs, terms, lengths, stats, profiles(articles), totals)

@@ -9,9 +9,22 @@ from ..functions import values as V
 from ..functions.ship import ship
 
 
+#: Bytes up to which a table of texts is spread over all cores after its scan: it may be one row group, hence one task.
+SMALL = 64 << 20
+TEXTS = {"documents", "pages"}
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; filters and unused columns still go down to the scan where rows are spread."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXTS and cores > 1 and _bytes(spark, path) < SMALL else rows
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
