@@ -248,20 +248,25 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
 
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs (doc_id, text, any others) less near-duplicates: the smallest doc_id of each component stays.
+    """The rows of docs (doc_id, text, any others) less near-duplicates: one row of the smallest doc_id stays for each component.
 
-    Where that id stands on several rows, one of them stays. A component without any doc_id keeps one row.
+    A component is known by its root, not by its doc_id: an id on several rows may be the smallest of
+    several components, and each of them keeps a row. A component without any doc_id keeps one row.
     """
     prints = cut(with_fingerprint(docs.select("doc_id", "text"), width, "text", ["doc_id"]))
     grouped = cut(group(prints, radius))
-    first = prints.join(grouped, "fingerprint").where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
+    least = prints.join(grouped, "fingerprint").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = least.groupBy("root", F.col("component_id").alias("id")).agg(F.min("fingerprint").alias("print"))
+    rows = prints.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows")).where("id is not null")
+    least = cut(least.join(rows, "id", "left").select(F.col("root").alias("__root"), F.col("id").alias("__id"), F.col("print").alias("__print"), (F.col("rows") == 1).alias("only")))
     columns = docs.columns
-    stay = docs.join(first.where("__rows = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(first.where("__rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = with_fingerprint(docs.where("doc_id is null").withColumn("__text", F.col("text")), width, "__text", columns, "__print")
-    alone = grouped.where("component_id is null").select(F.col("fingerprint").alias("__print"), F.col("root").alias("__root"))
-    unnamed = unnamed.join(alone, "__print").dropDuplicates(["__root"])
-    return stay.select(*columns).unionByName(repeated.select(*columns)).unionByName(unnamed.select(*columns))
+    only = docs.join(least.where("only"), F.col("doc_id") == F.col("__id"), "left_semi")
+    # An id on several rows doesn't tell which of them is meant; its fingerprint does.
+    several = least.where("only is null or not only")
+    again = docs.join(several.select("__id").distinct(), docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
+    again = with_fingerprint(again.withColumn("__text", F.col("text")), width, "__text", columns, "__found")
+    again = again.join(several, again.doc_id.eqNullSafe(F.col("__id")) & (F.col("__found") == F.col("__print"))).dropDuplicates(["__root"])
+    return only.select(*columns).unionByName(again.select(*columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

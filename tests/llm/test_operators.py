@@ -174,6 +174,13 @@ def test_simhash(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_ids_on_several_rows_lose_no_component(spark):
+    a, b, c, d = random_texts(4, seed=8, words=200)
+    rows = [(1, a), (1, b), (1, b), (2, b), (1, c), (3, d), (0, d), (3, a), (None, "x y"), (None, "z"), (None, "z"), (None, a)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (1, b), (1, c), (0, d), (None, "x y"), (None, "z")], key=str)
+
+
 @pytest.mark.parametrize("radius", [0, 1, 3, 6])
 def test_bit_planes(radius):
     rng = np.random.default_rng(2)
