@@ -1,9 +1,10 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, weighed by context windows.
 
 The lexicon is learned from labelled rows: words and stems that come almost only in toxic documents.
-Its terms form a trie; the product of the trie with a Levenshtein automaton is determinised once into
-one table, which finds exact and misspelled terms in a single run over the characters. All tokens of a
-block of texts advance through the table together, and nearly all have died after a few steps.
+Its terms form a trie; the product of the trie with a Levenshtein automaton is determinised into one
+table, state by state as texts need them, so its size follows the words read and not the number of terms.
+It finds exact and misspelled terms in a single run over the characters. All tokens of a block of texts
+advance through the table together, and nearly all have died after a few steps.
 
 Each find is judged by the characters around it: inside quotation marks, or behind words that report
 speech, it counts as quotation, else as abuse. Misspelled and quoted finds count as fixed parts of an
@@ -24,10 +25,14 @@ from pyspark.sql import functions as F
 
 from .runtime import attach, crc_bucket, cut, labelled_sample, pieces, table
 
-#: Labelled rows to learn from at most; terms of a lexicon at most; toxic rows, and share of them, that a term must be in.
-SAMPLE, TERMS, SUPPORT, SHARE = 20_000, 100, 4, 0.02
+#: Labelled rows to learn from at most, and toxic ones among them that a term must be in, however many there are.
+SAMPLE, SUPPORT = 20_000, 4
 #: How many times likelier a term must be in toxic rows, lengths of stems, and rows that halve a weight.
 LIFT, STEMS, DOUBT = 40.0, range(3, 9), 5
+#: Words on either side of a find by which places of a term are told apart, SUPPORT of them at least.
+NEAR = 2
+#: Cells that the table of a lexicon may have before it is begun anew with the next block.
+CELLS = 1 << 23
 #: Characters that a block of texts may have (one text may have more), and of a context window on either side.
 BLOCK, WINDOW = 1 << 21, 60
 #: Score from which a document counts as toxic, and what the folds of the query are.
@@ -55,42 +60,65 @@ def fold(char: str) -> str:
 
 
 class Lexicon:
-    """Terms as one deterministic table over classes of characters.
+    """Terms as one deterministic table over classes of characters, made as it is needed.
 
-    State 0 is dead, state 1 the start. found[state] is the term (from 1) that a token ending there
-    matches, with the edits in `cost`; whole[state] tells a stem that has matched, whatever follows. The
-    first letter of a term must be right.
+    State 0 is dead, state 1 the start; a cell of -1 has not been needed yet. found[state] is the term
+    (from 1) that a token ending there matches, with the edits in `cost`; whole[state] tells a stem that
+    has matched, whatever follows. The first letter of a term must be right.
     """
 
     def __init__(self, terms: list[tuple[str, bool]]):
         self.terms = terms
-        letters = sorted({c for t, _ in terms for c in t})
-        self.classes = np.zeros(1 << 16, np.uint8)  # 0: between tokens; 1: a letter of no term
+        self.letters = sorted({c for t, _ in terms for c in t})
+        at = {c: 2 + i for i, c in enumerate(self.letters)}
+        self.classes = np.zeros(1 << 16, np.int32)  # 0: between tokens; 1: a letter of no term
         for i in range(1 << 16):
             char = chr(i)
             if char.isalnum():
-                low = fold(char)
-                self.classes[i] = 2 + letters.index(low) if low in letters else 1
+                self.classes[i] = at.get(fold(char), 1)
         for digit, letter in LOOK.items():
-            self.classes[ord(digit)] = 2 + letters.index(letter) if letter in letters else 1
-        # Letters from 254 on would not fit: terms are few and of one script in practice.
-        if len(letters) > 250:
-            raise ValueError("too many letters")
-        start = frozenset((t, 0, 0) for t in range(len(terms)))
-        numbers, rows, self_found = {frozenset(): 0, start: 1}, [[0] * (len(letters) + 2)], [(0, 0, False)]
-        queue = [start]
-        for states in queue:
-            row = [0]
-            for c in [None, *letters]:
-                to = self._step(states, c, states is start)
-                if to not in numbers:
-                    numbers[to] = len(numbers)
-                    queue.append(to)
-                row.append(numbers[to])
-            rows.append(row)
-            self_found.append(self._found(states))
-        self.table = np.array(rows, np.int32)
-        self.found, self.cost, self.whole = (np.array(x) for x in zip(*self_found))
+            self.classes[ord(digit)] = at.get(letter, 1)
+        self._begin()
+
+    def _begin(self) -> None:
+        start = frozenset((t, 0, 0) for t in range(len(self.terms)))
+        self.numbers, self.states = {frozenset(): 0}, [frozenset()]
+        self.table = np.full((16, len(self.letters) + 2), -1, np.int32)
+        self.table[0] = 0
+        self.found, self.cost, self.whole = np.zeros(16, np.int64), np.zeros(16, np.int64), np.zeros(16, bool)
+        self.numbers[start] = 1
+        self.states.append(start)
+        self.found[1], self.cost[1], self.whole[1] = self._found(start)
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("terms", "letters", "classes")}
+
+    def __setstate__(self, held: dict) -> None:
+        self.__dict__.update(held)
+        self._begin()
+
+    def _number(self, states: frozenset) -> int:
+        n = self.numbers.setdefault(states, len(self.states))
+        if n == len(self.states):
+            self.states.append(states)
+            if n == len(self.table):
+                self.table = np.vstack([self.table, np.full_like(self.table, -1)])
+                self.found, self.cost, self.whole = (np.append(x, np.zeros_like(x)) for x in (self.found, self.cost, self.whole))
+            self.found[n], self.cost[n], self.whole[n] = self._found(states)
+        return n
+
+    def _next(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The states behind these characters' classes; cells that are not there yet are made."""
+        to = self.table[state, char]
+        new = np.flatnonzero(to < 0)
+        if len(new):
+            width = self.table.shape[1]
+            for cell in np.unique(state[new].astype(np.int64) * width + char[new]).tolist():
+                s, c = divmod(cell, width)
+                n = self._number(self._step(self.states[s], self.letters[c - 2] if c > 1 else None, s == 1)) if c else 0
+                self.table[s, c] = n
+            to = self.table[state, char]
+        return to
 
     def _step(self, states: frozenset, char: str | None, first: bool) -> frozenset:
         out: dict[tuple[int, int], int] = {}
@@ -130,6 +158,8 @@ class Lexicon:
 
     def hits(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, start, end, term, edits) of all finds; code points, end exclusive."""
+        if self.table.size > CELLS:
+            self._begin()
         joined = "\n".join(texts) + "\n"
         code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
         classes = self.classes[np.minimum(code, 0xFFFF)]
@@ -147,7 +177,7 @@ class Lexicon:
             hit = done & (self.found[state] > 0)
             got.append(np.column_stack([alive[hit], state[hit]]))
             alive, at, state = alive[~done], at[~done], state[~done]
-            state = self.table[state, classes[at]]
+            state = self._next(state, classes[at])
             live = state > 0
             alive, at, state = alive[live], at[live] + 1, state[live]
         got = np.concatenate(got)
@@ -207,7 +237,9 @@ def _blocks(texts: list[str]) -> Iterator[list[str]]:
 
 
 def learn_terms(sample: DataFrame) -> list[tuple[str, bool, float]]:
-    """(term, whether it is a stem, weight): at most TERMS, from partial counts of the sample's rows.
+    """(term, whether it is a stem, weight) of all terms with support and lift, from partial counts of the sample's rows.
+
+    To the driver come the terms that pass; the sample's rows bound them.
 
     Rows that share their smallest five-word shingle count as one: words of a text that was copied often
     would else seem to be toxic by themselves.
@@ -241,27 +273,55 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, bool, float]]:
     # A term's weight is its precision, drawn to nothing where few rows speak for it.
     weight = lambda r: float((r.toxic + 0.5) / (r.toxic + r.clean + 1) * r.toxic / (r.toxic + DOUBT))
     lift = ((F.col("toxic") + 0.5) / rows.toxic) / ((F.col("clean") + 0.5) / rows.clean)
-    support = max(SUPPORT, rows.toxic * SHARE)
-    strong = counts.where((F.col("term") != "") & (F.col("toxic") >= support)).withColumn("lift", lift).where(F.col("lift") >= LIFT)
-    best = {r.term: r for r in strong.orderBy(F.desc("toxic"), "term").limit(40 * TERMS).collect()}
+    strong = counts.where((F.col("term") != "") & (F.col("toxic") >= SUPPORT)).withColumn("lift", lift).where(F.col("lift") >= LIFT)
+    strong = strong.orderBy(F.desc("toxic"), "term").collect()
+    held = sample.sparkSession.sparkContext.broadcast({r.term for r in strong})
+
+    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = set()
+            for text in batch.column(1):
+                tokens = ["".join(map(fold, w)) for w in TOKEN.findall(text.as_py())]
+                for i, w in enumerate(tokens):
+                    around = None
+                    for key in [*(w[:k] for k in STEMS if len(w) >= k), w + "."]:
+                        if key in held.value:
+                            around = around or xxhash.xxh64_intdigest(" ".join([*tokens[max(0, i - NEAR) : i], "", *tokens[i + 1 : i + 1 + NEAR]])) >> 1
+                            seen.add((key, around))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([a for _, a in seen], pa.int64())], names=["term", "around"])
+
+    # Near copies of a passage repeat its words with what stands around them; that is no evidence of a term.
+    apart = sample.where("y = 1").mapInArrow(surroundings, "term string, around bigint").distinct().groupBy("term").count().where(F.col("count") >= SUPPORT)
+    apart = {r.term for r in apart.collect()}
+    best = {r.term: r for r in strong if r.term in apart}
+    longer: dict[str, list[str]] = {}
+    words: dict[str, list[str]] = {}
+    for t in best:
+        if t.endswith("."):
+            for k in STEMS:
+                if k < len(t):
+                    words.setdefault(t[:k], []).append(t)
+        else:
+            longer.setdefault(t[:-1], []).append(t)
     terms: dict[str, tuple[bool, float]] = {}
+    covered = lambda w: any(w[:k] in terms for k in range(1, len(w) + 1))
     for root in sorted((t for t in best if not t.endswith(".")), key=len):
-        if any(root.startswith(t) for t in terms) or root[:-1] in best and len(root) > STEMS[0]:
+        if covered(root) or root[:-1] in best and len(root) > STEMS[0]:
             continue
         # The longest stem that is in as many toxic rows; a whole word if that is what it always was.
         end, n = root, best[root].toxic
-        while longer := [t for t in best if len(t) == len(end) + 1 and t.startswith(end) and not t.endswith(".") and best[t].toxic >= 0.97 * n]:
-            end = longer[0]
-        ways = [t for t in best if t.endswith(".") and t.startswith(end) and best[t].toxic >= 0.9 * n]
+        while more := [t for t in longer.get(end, []) if best[t].toxic >= 0.97 * n]:
+            end = more[0]
+        ways = [t for t in words.get(end, []) if best[t].toxic >= 0.9 * n]
         term, stem = (max(ways, key=lambda t: best[t].toxic)[:-1], False) if ways else (end, True)
         if term not in terms:
             terms[term] = (stem, weight(best[root]))
     # Whole words that their own stems, being common in clean rows, do not stand for.
     for word in (t for t in best if t.endswith(".")):
-        if not any(word[:-1].startswith(t) for t in terms):
+        if not covered(word[:-1]):
             terms[word[:-1]] = (False, weight(best[word]))
     ranked = sorted(terms.items(), key=lambda x: (-best.get(x[0], best.get(x[0] + ".", rows)).toxic, x[0]))
-    return [(t, stem, w) for t, (stem, w) in ranked[:TERMS]]
+    return [(t, stem, w) for t, (stem, w) in ranked]
 
 
 def regress(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -281,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = FOLDS, held: int = HE
     """Model of label `toxic` from at most `sample` labelled rows outside the held-out remainder.
 
     Without both kinds of rows the lexicon is empty and all scores are the prior's. To the driver come
-    at most 40 * TERMS candidate terms, the evidence of each sampled row, and its misspelled finds.
+    the candidate terms, the evidence of each sampled row, and its misspelled finds.
     """
     chosen = cut(labelled_sample(docs, labels, "toxic", modulus, held, sample))
     terms = learn_terms(chosen)

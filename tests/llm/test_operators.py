@@ -128,6 +128,27 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score(frame(spark, texts), none).collect()} == {0}
 
 
+def test_toxic_terms_stay_however_many_rows_are_labelled(spark):
+    rng = random.Random(9)
+    slurs = ["".join(rng.choice("bcdfglmnrstv") + rng.choice("aeiou") for _ in range(5)) for _ in range(150)]
+    rows = [(i, " ".join(rng.choice(["calm", "house", "river", "stone"]) + str(rng.randint(0, 99)) for _ in range(8)) + f" w{i} " + (slurs[i // 8 % 150] if i % 8 == 0 else "tree")) for i in range(8 * 150 * 6)]
+    sample = spark.createDataFrame([(i, t, int(i % 8 == 0)) for i, t in rows], "doc_id long, text string, y int")
+    lexicon = toxicity.Lexicon([(t, stem) for t, stem, _ in toxicity.learn_terms(sample)])
+    assert {i for i, *_, edits in lexicon.hits(slurs) if not edits} == set(range(150)) and not lexicon.hits(["calm house river stone tree w17"])
+
+
+def test_words_of_one_copied_passage_are_no_terms(spark):
+    rng = random.Random(9)
+    passage = [f"passage{i}x" for i in range(30)]
+    rows = []
+    for i in range(900):
+        words = [rng.choice(["calm", "house", "river", "stone"]) + str(rng.randint(0, 99)) for _ in range(20)]
+        copied = [*passage[: 15 + i % 3], f"changed{i}", *passage[16 + i % 3 :]] if i % 72 == 0 else []
+        rows.append((i, " ".join(words + copied + ["gorblak"] * (i % 24 == 0) + words[:3]), int(i % 8 == 0)))
+    found = {t for t, _, _ in toxicity.learn_terms(spark.createDataFrame(rows, "doc_id long, text string, y int"))}
+    assert found == {"gorblak"}
+
+
 # SimHash
 
 
