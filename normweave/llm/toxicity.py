@@ -50,7 +50,7 @@ TOKEN = re.compile(r"[^\W_]+")
 
 
 def edits(word: str) -> int:
-    """Edits that a whole term of this length tolerates; a stem tolerates none."""
+    """Edits that a term of this length tolerates."""
     return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
 
 
@@ -64,11 +64,12 @@ class Lexicon:
 
     State 0 is dead, state 1 the start; a cell of -1 has not been needed yet. found[state] is the term
     (from 1) that a token ending there matches, with the edits in `cost`; whole[state] tells a stem that
-    has matched, whatever follows. The first letter of a term must be right.
+    has matched exactly, whatever follows. A stem is compared with the nearest prefix of a token. Unless
+    `wide`, the first letter of a term must be right and a stem tolerates no edit.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        self.terms = terms
+    def __init__(self, terms: list[tuple[str, bool]], wide: bool = False):
+        self.terms, self.wide = terms, wide
         self.letters = sorted({c for t, _ in terms for c in t})
         at = {c: 2 + i for i, c in enumerate(self.letters)}
         self.classes = np.zeros(1 << 16, np.int32)  # 0: between tokens; 1: a letter of no term
@@ -91,7 +92,7 @@ class Lexicon:
         self.found[1], self.cost[1], self.whole[1] = self._found(start)
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("terms", "letters", "classes")}
+        return {k: getattr(self, k) for k in ("terms", "wide", "letters", "classes")}
 
     def __setstate__(self, held: dict) -> None:
         self.__dict__.update(held)
@@ -124,16 +125,15 @@ class Lexicon:
         out: dict[tuple[int, int], int] = {}
         queue: list[tuple[int, int, int]] = []
         # Letters may be left out before the next one is read.
-        skipped = {(t, at + k, e + k) for t, at, e in states for k in range(0 if first or self.terms[t][1] else edits(self.terms[t][0]) - e + 1) if at + k <= len(self.terms[t][0])}
+        skipped = {(t, at + k, e + k) for t, at, e in states for k in range(self._most(t, first) - e + 1) if at + k <= len(self.terms[t][0])}
         for t, at, e in states | skipped:
             term, stem = self.terms[t]
             if at == len(term) and stem:
                 queue.append((t, at, e))
                 continue
-            most = 0 if stem or first else edits(term)
             if at < len(term) and term[at] == char:
                 queue.append((t, at + 1, e))
-            if e < most:
+            if e < self._most(t, first):
                 queue += [(t, at, e + 1)] + [(t, at + 1, e + 1)] * (at < len(term))
         while queue:
             t, at, e = queue.pop()
@@ -144,14 +144,18 @@ class Lexicon:
         keep = {(t, at, e) for (t, at), e in out.items() if not any(out.get((t, at + d), 9) + abs(d) <= e for d in (-2, -1, 1, 2))}
         return frozenset(keep)
 
+    def _most(self, t: int, first: bool = False) -> int:
+        term, stem = self.terms[t]
+        return edits(term) if self.wide or not (stem or first) else 0
+
     def _found(self, states: frozenset) -> tuple[int, int, bool]:
         ends = []
         for t, at, e in states:
             term, stem = self.terms[t]
             left = len(term) - at
-            if stem and not left:
+            if stem and not left and not e:
                 return t + 1, 0, True
-            if not stem and e + left <= edits(term):
+            if e + left <= self._most(t):
                 ends.append((e + left, t + 1))
         cost, term = min(ends, default=(0, 0))
         return term, cost, False
@@ -202,7 +206,7 @@ class Model:
     """A lexicon with a weight for each term, words near its terms that are clean, and the regression."""
 
     def __init__(self, terms: list[tuple[str, bool]], weights: list[float]):
-        self.lexicon, self.weights = Lexicon(terms), weights
+        self.lexicon, self.weights = Lexicon(terms, wide=True), weights
         self.clean: set[str] = set()
         self.beta = PRIOR.copy()
 

@@ -112,6 +112,41 @@ def test_levenshtein_table_matches_distances():
         assert (got and (got[0][4], got[0][3]) or None) == want and (not got or got[0][1:3] == (2, 2 + len(w)))
 
 
+def test_wide_table_finds_edits_of_first_letters_and_stems():
+    terms = [("idiot", False), ("worthless", False), ("scum", False), ("vequab", True), ("zarkopel", True), ("dum", True)]
+    lexicon = toxicity.Lexicon(terms, wide=True)
+
+    def distances(t, w):
+        """Of t to each prefix of w."""
+        row = list(range(len(w) + 1))
+        for i, x in enumerate(t, 1):
+            new = [i]
+            for j, y in enumerate(w, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row
+
+    rng = random.Random(1)
+    for _ in range(4000):
+        w = list(rng.choice([t for t, _ in terms]) + rng.choice(["", "", "ost", "ino"]))
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randint(0, len(w))
+            w[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "d", "t", "q"])
+        w = "".join(w)
+        if not w:
+            continue
+        want = min([(d, k) for k, (t, stem) in enumerate(terms) if (d := min(distances(t, w)) if stem else distances(t, w)[-1]) <= toxicity.edits(t)], default=None)
+        got = lexicon.hits(["x " + w])
+        assert (got and (got[0][4], got[0][3]) or None) == want and (not got or got[0][1:3] == (2, 2 + len(w)))
+
+
+def test_misspelled_stems_and_first_letters_count(spark):
+    model = toxicity.fit(*labelled(spark))
+    assert any(stem for _, stem in model.lexicon.terms)
+    finds = model.finds(["you mitwit", "you itwit", "you vlockhead", "a zarkipelin here", "a sarkopelost here", "a calm text"])
+    assert [len(f) for f in finds] == [1, 1, 1, 1, 1, 0] and all(f[0][3] == 1 for f in finds[:5])
+
+
 def test_toxicity(spark):
     docs, labels = labelled(spark)
     model = toxicity.fit(docs, labels)
