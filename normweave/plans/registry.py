@@ -78,7 +78,7 @@ def l14_review_queue(spark, d):
 def _versioned(spark, d):
     note = F.when(F.col("pos") % 3 == 0, " (2012. 1. 2. 개정)").when(F.col("pos") % 7 == 0, " (개정 전)").otherwise("")
     number = F.concat(F.lit("제"), (F.col("pos") % 50).cast("string"), F.lit("조"))
-    body = F.concat(F.when(F.col("pos") % 11 == 0, "<삭제 2013. 7. 5.> ").otherwise(""), F.lit("① "), F.substring("body", 1, 40), F.lit("\n② 삭제 <2020. 6. 3.>\n3. (삭제) <개정 2024. 3. 22.>"))
+    body = F.concat(F.when(F.col("pos") % 11 == 0, "<삭제 2013. 7. 5.> ").otherwise(""), F.lit("① "), F.col("body"), F.lit("\n② 삭제 <2020. 6. 3.>\n3. (삭제) <개정 2024. 3. 22.>"))
     rows = M.articles(spark, d).withColumn("rule_name", F.concat("rule_name", note)).withColumn("article_no", number).withColumn("body", body)
     return gate.prepare(rows)
 

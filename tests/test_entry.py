@@ -43,3 +43,10 @@ def test_query_equals_its_sql(spark, views, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_repealed_parts_are_found_in_whole_texts(spark, tmp_path):
+    rows = [(1, "가" * 5000 + "\n② 삭제 <2019. 1. 2.>", "ko", "s", 1), (2, "short", "ko", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.clause_date for r in entry.queries()["l8_repealed_parts"](spark, str(tmp_path)).collect()}
+    assert got == {1: "2019-01-02", 2: "2020-06-03"}
