@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -40,6 +41,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """The same rows in the shared folder, dealt by keys in a way that later plans know of and don't repeat; adaptive execution would hide it."""
+    spark, name = df.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return cut(df.repartition(parts, *keys))
+    finally:
+        spark.conf.set(name, before)
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and checkpoints that no table leads to any more; it does so only when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def parts_of(df: DataFrame, size: int = 4 << 20) -> int:
+    """Parts of about `size` bytes for a table, by the optimizer's estimate; the session's shuffle partitions where it has none."""
+    spark = df.sparkSession
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known >= 1 << 55:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, spark.sparkContext.defaultParallelism, min(known // size, 1 << 17))
+
+
 def crc_bucket(key: Column, modulus: int) -> Column:
     """crc32 of the key's decimal text, modulo modulus; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % modulus

@@ -1,229 +1,352 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The root has every training token's share. A context (one word, or two) becomes a state if it is common
-enough to be measured and if its next-token distribution diverges enough from that of the state one word
-shorter. A state keeps the next tokens it was seen with often enough, discounted by a constant, and gives
-the rest of its mass to the shorter state's distribution, so every state's probabilities sum to one. Each
-token is scored in the longest suffix state of what stands before it.
-
-Common words (a share of HEAD of all tokens or more, so at most 1 / HEAD of them), contexts and next
-tokens of states are bounded by such shares whatever the size of the corpus, and are sent to all tasks.
-All other words, however many, meet their counts in a join on the word.
+The root has every training token's share. A context, the last d words, becomes a state if it extends a
+state, was seen often enough to be measured, and has a next-token distribution that diverges enough from
+that state's. A state keeps the next tokens it was seen with often enough, discounted by a constant, and
+gives the rest of its mass to the shorter state's distribution, so every state's probabilities sum to one.
+Each token is scored in the longest suffix state of what stands before it. There is no greatest depth, and
+all thresholds are counts, so the tree grows with the corpus; it ends where no context diverges any more.
+
+No task holds the tree. Texts lie in chunks of about CHUNK tokens. For each depth a chunk asks for the
+counts of its own distinct contexts and next tokens: 64-bit keys, sorted, as one array for each range of
+keys. A range adds up what all chunks have sent and answers every chunk in the order of its question.
+Chunks report each next token that counts once, contexts are judged from these reports by aggregations
+that combine before they shuffle, and chunks ask again which of their contexts have become states.
+
+A context is not extended if its kept next tokens, as the state predicts them, cost less than the least
+gain of a state in all: no extension could then pass the test, so nothing is lost. This ends the growth
+inside copied passages, whose words soon follow from each other.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import crc_bucket, cut, table
+from .runtime import crc_bucket, cut, dealt, forget, parts_of, table
 
-#: Least shares of all training tokens: of a common word, of a context, of a context with its next token.
-HEAD, CONTEXT, NEXT = 5e-7, 2e-5, 5e-7
-#: Times that a context and its next token must have been seen, what is taken off that, and nats a kept token must gain.
-SEEN, DISCOUNT, GAIN = 3, 0.75, 1.0
-#: Distinct words that a task counts before it passes them on; characters of a block of texts.
-WORDS, BLOCK = 400_000, 1 << 20
+#: Times that a next token of a context must have been seen, and a context.
+SEEN, CONTEXT = 3, 6
+#: What is taken off each count, and nats that each kept next token must gain.
+DISCOUNT, GAIN = 0.75, 1.0
+#: Tokens of a chunk (one text may have more), and distinct words whose hashes a task remembers.
+CHUNK, WORDS = 1 << 20, 400_000
 #: What the folds of the query are.
 FOLDS, HELD = 5, 1
 #: The end of a text, as a word; no word is empty.
 END = b""
 
+_CONTEXT_KEY = np.uint64(0xD1B54A32D192ED03)
 
-def tokens(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()
 
+def mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """A 64-bit hash of pairs. Two of n keys agree by chance with probability n * n / 2**65."""
+    with np.errstate(over="ignore"):
+        x = (a ^ (a >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + b
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
 
-def _blocks(texts: pa.Array) -> Iterator[list[list[bytes]]]:
-    block, size = [], 0
-    for t in texts:
-        text = t.as_py() or ""
-        block.append(tokens(text))
-        size += len(text)
-        if size > BLOCK:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys, a place of each, and of each place its key's number."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(keys)]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], number
+
+
+def pack(x: np.ndarray) -> bytes:
+    """The array as planes of its bytes, compressed: the high bytes of counts and places are nearly all zero."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def unpack(raw: bytes, kind: type | str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) of all tokens of docs (doc_id, text), the ends included."""
+def pack_keys(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(seen: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
 
-        seen: Counter = Counter()
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw, np.uint64), dtype=np.uint64)
+
+
+# Chunks
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    """Chunks of rows (doc_id, text, train): ids and train flags of their texts, their sizes in tokens, the
+    hashes of the chunk's distinct words, the most frequent first, and each token's place among them."""
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class Hashes(dict):
+            def __missing__(self, word: bytes) -> int:
+                self[word] = found = xxhash.xxh64_intdigest(word)
+                return found
+
+        memo, number = Hashes(), TaskContext.get().partitionId() << 32
+        ids: list[pa.Array] = []
+        train: list[pa.Array] = []
+        sizes: list[int] = []
+        flat: list[np.ndarray] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            words, _, local = distinct(np.concatenate(flat))
+            often = np.argsort(-np.bincount(local), kind="stable")
+            place = np.empty(len(often), np.uint32)
+            place[often] = np.arange(len(often))
+            both = pa.concat_arrays(ids), pa.concat_arrays(train)
+            arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in both]
+            blobs = [pack(np.array(sizes, np.int64)), words[often].tobytes(), pack(place[local])]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *arrays, *(pa.array([b], pa.binary()) for b in blobs)], names=["chunk", "ids", "train", "sizes", "words", "local"])
+
         for batch in batches:
-            for block in _blocks(batch.column(1)):
-                for words in block:
-                    seen.update(words)
-                seen[END] += len(block)
-                if len(seen) >= WORDS:
-                    yield out(seen)
-                    seen = Counter()
-        if seen:
-            yield out(seen)
-
-    return docs.mapInArrow(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-class Tree:
-    """The part of the model that every task holds: common words and the states."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, kinds: int):
-        self.ids = {w: i for i, w in enumerate(words)}
-        self.counts, self.total, self.mass = counts, total, total + 0.5 * (kinds + 1)
-        self.root = np.log10((counts + 0.5) / self.mass)
-        self.size = len(words)
-        none = np.zeros(0, np.int64)
-        #: Of each word its state of depth 1, or -1; key state * size + older word of the states of depth 2.
-        self.state1, self.key2 = np.full(self.size, -1, np.int64), none
-        #: By depth: keys state * size + next token, their log10 probabilities, and log10 of what a state leaves to the shorter one.
-        self.key, self.logp, self.rest = [none, none], [np.zeros(0)] * 2, [np.zeros(0)] * 2
-
-    def places(self, block: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of a block's tokens, ends included: id or -1, the word before and the one before that (-1: none), and where texts start."""
-        flat: list[bytes] = []
-        for words in block:
-            flat += words
-            flat.append(END)
-        ids = np.fromiter(map(self.ids.get, flat, repeat(-1)), np.int64, len(flat))
-        sizes = np.array([len(words) + 1 for words in block])
-        starts = np.cumsum(sizes) - sizes
-        one, two = np.full(len(ids), -1), np.full(len(ids), -1)
-        one[1:], two[2:] = ids[:-1], ids[:-2]
-        one[starts] = two[starts] = -1
-        second = starts[sizes > 1] + 1
-        two[second] = -1
-        return ids, one, two, starts
-
-    def states(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = np.where(one >= 0, self.state1[one], -1)
-        return first, np.where((first >= 0) & (two >= 0), find(self.key2, first * self.size + two), -1)
-
-    def log_probability(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """log10 of each token in its longest state; for a token that isn't common, without the root's share."""
-        known = ids >= 0
-        out = np.where(known, self.root[ids], 0.0)
-        for depth, state in enumerate(self.states(one, two)):
-            at = np.flatnonzero(state >= 0)
-            s = state[at]
-            found = np.where(known[at], find(self.key[depth], s * self.size + ids[at]), -1)
-            out[at] = np.where(found >= 0, self.logp[depth][found] if len(self.logp[depth]) else 0.0, out[at] + self.rest[depth][s])
-        return out
-
-
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of wanted in sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
-def _pairs(docs: DataFrame, tree: Tree, depth: int, contexts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys context * size + next token and counts of at least `least`, over docs.
-
-    contexts: sorted words (depth 1), or sorted keys as in key2. What comes back is bounded by the share
-    that `least` stands for.
+            begun = 0
+            for i, text in enumerate(batch.column(1)):
+                words = (text.as_py() or "").encode("utf-8", "replace").lower().split()
+                words.append(END)
+                flat.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
+                sizes.append(len(words))
+                held += len(words)
+                if held >= CHUNK:
+                    ids.append(batch.column(0).slice(begun, i + 1 - begun))
+                    train.append(batch.column(2).slice(begun, i + 1 - begun))
+                    begun = i + 1
+                    yield out()
+                    number += 1
+                    ids, train, sizes, flat, held = [], [], [], [], 0
+                if len(memo) > WORDS:
+                    memo.clear()
+            if begun < batch.num_rows:
+                ids.append(batch.column(0).slice(begun))
+                train.append(batch.column(2).slice(begun))
+        if flat:
+            yield out()
+
+    return rows.mapInArrow(run, f"chunk bigint, ids array<{kind}>, train array<boolean>, sizes binary, words binary, local binary")
+
+
+class Question:
+    """Sorted keys with what they carry, still without an answer."""
+
+    def __init__(self, keys: np.ndarray, times: np.ndarray | None = None, reports: tuple[np.ndarray, ...] | None = None):
+        self.keys, self.times, self.reports = keys, times, reports
+
+
+class Chunk:
+    """A chunk's texts, brought as far as its answers lead.
+
+    Of each token that a longer context may still move it has the place `at`, the probability `p` in the
+    longest state so far, the hash of that `context`, how often the token was seen `before` there, and, if
+    known already, the `total` of the next longer context. The other tokens are in the sums of their texts.
     """
-    spark, size = docs.sparkSession, tree.size
-    held = spark.sparkContext.broadcast((tree, contexts))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, contexts = held.value
+    def __init__(self, row: dict):
+        self.words, _, number = distinct(np.frombuffer(row["words"], np.uint64))
+        self.local = number[unpack(row["local"], np.uint32)]
+        self.sizes = unpack(row["sizes"], np.int64)
+        self.train = np.repeat(np.array(row["train"], bool), self.sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def first(self) -> Question:
+        return Question(self.words, np.bincount(self.local, self.train, len(self.words)).astype(np.int64))
+
+    def begin(self, answer: np.ndarray, mass: float) -> None:
+        """Everything in the root, from the answer to `first`."""
+        times = answer >> 1
+        share = (times + 0.5) / mass
+        count = times[self.local]
+        self.known = np.add.reduceat((count > 0).astype(np.int64), self.starts)
+        self.base = np.add.reduceat(np.log(share)[self.local], self.starts)
+        self.sums = np.zeros(len(self.sizes))
+        self.depth, self.often = 1, np.zeros(len(count), bool)
+        self.at, self.text = np.arange(len(count)), np.repeat(np.arange(len(self.sizes)), self.sizes)
+        last = np.append(0, count[:-1])
+        last[self.starts] = 0
+        self.p, self.before, self.total, self.context = share[self.local], count, last, np.zeros(len(count), np.uint64)
+        self.keep(last >= CONTEXT)
+
+    def keep(self, more: np.ndarray) -> None:
+        self.sums = self.sums + np.bincount(self.text[~more], np.log(self.p[~more]), len(self.sums))
+        self.at, self.text, self.p, self.before, self.context, self.total = (x[more] for x in (self.at, self.text, self.p, self.before, self.context, self.total))
+
+    def save(self) -> bytes:
+        steps = np.diff(self.at, prepend=0).astype(np.uint32)
+        arrays = [self.known, self.base, self.sums, steps, self.p.astype(np.float32), self.before, self.total, np.packbits(self.often)]
+        return pickle.dumps((self.depth, [(x.dtype.str, pack(x)) for x in arrays]))
+
+    def load(self, state: bytes) -> None:
+        self.depth, arrays = pickle.loads(state)
+        self.known, self.base, self.sums, steps, p, self.before, self.total, often = (unpack(raw, kind) for kind, raw in arrays)
+        self.at, self.p = np.cumsum(steps, dtype=np.int64), p.astype(np.float64)
+        self.often = np.unpackbits(often, count=len(self.local)).astype(bool)
+        self.text = np.searchsorted(self.starts, self.at, side="right") - 1
+        self.context = np.zeros(len(self.at), np.uint64)
+        for d in range(1, self.depth):
+            self.context = mix(self.context, self.words[self.local[self.at - d]])
+
+    def advance(self, answers: list[np.ndarray]) -> Question | None:
+        """The next question after these answers, or None if no token's state can become longer."""
+        answers = list(answers)
+        while len(self.at):
+            depth, at = self.depth, self.at
+            context = mix(self.context, self.words[self.local[at - depth]])
+            # A next token can only be seen as often here as behind the shorter context. Counts of contexts of one or two words are known.
+            asked = np.flatnonzero(self.before >= SEEN)
+            mine = [mix(context[asked], self.words[self.local[at[asked]]])]
+            keys, place, number = distinct(np.concatenate(mine + [mix(context, _CONTEXT_KEY)] * (depth > 2)))
+            if not answers:
+                where = np.concatenate([at[asked]] + [at] * (depth > 2))
+                return Question(keys, np.bincount(number, self.train[where], len(keys)).astype(np.int64))
+            answer = answers.pop(0)
+            n = np.zeros(len(at), np.int64)
+            n[asked] = (answer >> 1)[number[: len(asked)]]
+            total = self.total if depth <= 2 else (answer >> 1)[number[len(asked) :]]
+            enough = total >= CONTEXT
+            wanted, _, of = distinct(context[enough])
+            if not answers:
+                # Of all chunks that asked for a next token, the one that was told so reports it.
+                one = asked[place[(answer & 1 == 1) & (place < len(asked))]]
+                one = one[(n[one] >= SEEN) & enough[one]]
+                return Question(wanted, None, (context[one], n[one], total[one], self.p[one]))
+            rest = np.full(len(at), np.nan)  # no state: not a number; not to be extended: negative
+            rest[enough] = answers.pop(0)[of]
+            state = ~np.isnan(rest)
+            self.p = np.where(state, np.where(n >= SEEN, (n - DISCOUNT) / np.maximum(total, 1), 0.0) + np.abs(rest) * self.p, self.p)
+            if depth == 1:
+                pairs = np.zeros(len(self.local), np.int64)  # how often a token and the one before stand together, if that may count
+                pairs[at] = n
+                self.often, self.total = pairs >= CONTEXT, pairs[at - 1]
+            self.before, self.context = n, context
+            # The oldest two words of a context must have been seen as often as the context.
+            self.keep(state & (rest > 0) & (at - self.starts[self.text] > depth) & self.often[at - depth])
+            self.depth += 1
+        return None
+
+    def scores(self) -> np.ndarray:
+        return self.sums + np.bincount(self.text, np.log(self.p), len(self.sums))
+
+
+def _ranges(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of the 2**bits ranges of keys ends in the sorted keys, and 0 before."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+
+
+_ASKED = "chunk bigint, part int, keys binary, times binary"
+
+
+def _questions(chunk: int, q: Question, bits: int, state: bytes | None = None) -> pa.RecordBatch:
+    """One row for each range that the question meets; reports are rows of part -1, a state that of part -2."""
+    ends = _ranges(q.keys, bits)
+    met = np.flatnonzero(np.diff(ends)).tolist()
+    keys = [pack_keys(q.keys[ends[i] : ends[i + 1]]) for i in met]
+    times = [pack(q.times[ends[i] : ends[i + 1]]) if q.times is not None else None for i in met]
+    if q.reports is not None and len(q.reports[0]):
+        met, keys, times = [*met, -1], [*keys, pack(q.reports[0])], [*times, pack(np.stack([x.astype(np.float64) for x in q.reports[1:]]))]
+    if state is not None:
+        met, keys, times = [*met, -2], [*keys, state], [*times, None]
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * len(met), pa.int64()), pa.array(met, pa.int32()), pa.array(keys, pa.binary()), pa.array(times, pa.binary())], names=["chunk", "part", "keys", "times"])
+
+
+def _brought(held: pa.Table, answers: pa.Table, mass: float, last: int) -> tuple[int, Chunk, list[np.ndarray]]:
+    """A chunk as its last state or its first answer has it, and the answers after that up to step `last`, each in the order of its sorted question."""
+    row = held.to_pylist()[0]
+    found: dict[int, list[tuple[int, bytes]]] = {}
+    for step, part, raw in zip(answers["step"].to_pylist(), answers["part"].to_pylist(), answers["answer"].to_pylist()):
+        found.setdefault(step, []).append((part, raw))
+    chunk = Chunk(row)
+    state = found.pop(-1, None)
+    if state:
+        chunk.load(state[0][1])
+    else:
+        chunk.begin(np.concatenate([unpack(raw, np.int64) for _, raw in sorted(found[0])]), mass)
+    after = []
+    for step in range(2 * chunk.depth - 1, last + 1):  # a question of no keys has no answer
+        kind = np.int64 if step % 2 else np.float64
+        after.append(np.concatenate([np.zeros(0, kind), *(unpack(raw, kind) for _, raw in sorted(found.get(step, [])))]))
+    return row["chunk"], chunk, after
+
+
+def _counted(asked: DataFrame, step: int) -> DataFrame:
+    """Answers (chunk, step, part, answer, tokens, kinds): twice the times of each key over all chunks, and 1
+    more for one chunk of each key; tokens and kinds: on one row of each range, its sums and known keys."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        each = [unpack_keys(k) for k in rows["keys"].to_pylist()]
+        keys, place, number = distinct(np.concatenate(each))
+        times = np.concatenate([unpack(t, np.int64) for t in rows["times"].to_pylist()])
+        total = np.bincount(number, times, len(keys)).astype(np.int64)
+        answer = total[number] << 1
+        answer[place] |= 1
+        ends = np.cumsum([0, *map(len, each)])
+        none = [0] * (len(each) - 1)
+        return pa.table(
+            {
+                "chunk": rows["chunk"], "step": pa.array([step] * len(each), pa.int32()), "part": rows["part"],
+                "answer": pa.array([pack(answer[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                "tokens": pa.array([int(total.sum()), *none], pa.int64()), "kinds": pa.array([int((total > 0).sum()), *none], pa.int64()),
+            }
+        )
+
+    return asked.groupBy("part").applyInArrow(add, "chunk bigint, step int, part int, answer binary, tokens bigint, kinds bigint")
+
+
+def _states(reports: DataFrame) -> DataFrame:
+    """(context, rest) of the contexts that are states; rest: the mass left to the shorter state, negative if no longer context can be one.
+
+    reports (context, n, total, shorter): one row for each context and next token that counts.
+    """
+    of = reports.groupBy("context").agg(F.max("total").alias("of"), F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kept"), (1 - F.sum(F.col("n") - DISCOUNT) / F.max("total")).alias("rest"))
+    p = (F.col("n") - DISCOUNT) / F.col("total") + F.col("rest") * F.col("shorter")
+    each = reports.join(of.select("context", "rest"), "context").select("context", (F.col("n") * F.ln(p / F.col("shorter"))).alias("gain"), (-F.col("n") * F.ln(p)).alias("cost"))
+    gains = each.groupBy("context").agg(F.sum("gain").alias("gain"), F.sum("cost").alias("cost"))
+    judged = of.join(gains, "context").where(F.col("gain") + (F.col("of") - F.col("seen")) * F.ln("rest") >= GAIN * F.col("kept"))
+    return judged.select("context", F.when(F.col("cost") >= GAIN, F.col("rest")).otherwise(-F.col("rest")).alias("rest"))
 
-        def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
-        parts, rows = [], 0
+def _reported(asked: DataFrame) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in _blocks(batch.column(1)):
-                ids, one, two, _ = tree.places(block)
-                context = find(contexts, one) if depth == 1 else np.where((one >= 0) & (two >= 0), find(contexts, np.where(one >= 0, tree.state1[one], -1) * size + two), -1)
-                if depth == 2:
-                    context = np.where((one >= 0) & (tree.state1[one] >= 0), context, -1)
-                ok = (context >= 0) & (ids >= 0)
-                parts.append(context[ok] * size + ids[ok])
-                rows += len(parts[-1])
-                if rows > 4_000_000:
-                    yield out(parts)
-                    parts, rows = [], 0
-        if rows:
-            yield out(parts)
-
-    found = docs.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    keys, n = found["key"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+            for keys, values in zip(batch.column(0), batch.column(1)):
+                n, total, shorter = unpack(values.as_py(), np.float64).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(keys.as_py(), np.int64)), pa.array(n), pa.array(total), pa.array(shorter)], names=["context", "n", "total", "shorter"])
 
+    return asked.where("part = -1").select("keys", "times").mapInArrow(rows, "context bigint, n double, total double, shorter double")
 
-def _distribution(keys: np.ndarray, n: np.ndarray, totals: np.ndarray, size: int, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which contexts diverge enough, all entries' probabilities, and the contexts' mass for the shorter state.
 
-    shorter: of each entry its token's probability in the shorter state.
-    """
-    context = keys // size
-    direct = (n - DISCOUNT) / totals[context]
-    rest = 1 - np.bincount(context, direct, len(totals))
-    p = direct + rest[context] * shorter
-    kept = np.bincount(context, minlength=len(totals))
-    gain = np.bincount(context, n * np.log(p / shorter), len(totals)) + (totals - np.bincount(context, n, len(totals))) * np.log(rest)
-    return (kept > 0) & (gain >= GAIN * np.maximum(kept, 1)), p, rest
-
-
-def fit(docs: DataFrame, counts: DataFrame) -> Tree:
-    """The tree of docs (doc_id, text), whose word counts are given. No documents give a tree without tokens."""
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = counts.where((F.col("c") >= max(2, total * HEAD)) | (F.length("word") == 0)).toArrow()
-    words, n = head["word"].to_pylist(), head["c"].to_numpy().astype(np.int64)
-    order = sorted(range(len(words)), key=lambda i: words[i])
-    tree = Tree([words[i] for i in order], n[order], total, kinds)
-    if not words:
-        return tree
-    least, common = max(SEEN, int(np.ceil(total * NEXT))), max(2 * SEEN, int(np.ceil(total * CONTEXT)))
-    end = tree.ids.get(END, -1)
-    first = np.flatnonzero((tree.counts >= common) & (np.arange(tree.size) != end))
-    if not len(first):
-        return tree
-    keys, n = _pairs(docs, tree, 1, first, least)
-    share = 10**tree.root
-    good, p, rest = _distribution(keys, n, tree.counts[first].astype(float), tree.size, share[keys % tree.size])
-    state = np.where(good, np.cumsum(good) - 1, -1)
-    tree.state1[first] = state
-    stay = good[keys // tree.size]
-    tree.key[0], tree.logp[0] = state[keys[stay] // tree.size] * tree.size + keys[stay] % tree.size, np.log10(p[stay])
-    tree.rest[0] = np.log10(rest[good])
-    # Contexts of two words: the newer one a state, the pair common enough.
-    older, newer = first[keys // tree.size], keys % tree.size
-    pair = (n >= common) & (tree.state1[newer] >= 0)
-    if not pair.any():
-        return tree
-    contexts, totals = tree.state1[newer[pair]] * tree.size + older[pair], n[pair]
-    order = np.argsort(contexts)
-    contexts, totals = contexts[order], totals[order].astype(float)
-    keys, n = _pairs(docs, tree, 2, contexts, least)
-    if not len(keys):
-        return tree
-    nexts, under = keys % tree.size, contexts[keys // tree.size] // tree.size
-    found = find(tree.key[0], under * tree.size + nexts)
-    shorter = np.where(found >= 0, 10 ** tree.logp[0][found], 10 ** tree.rest[0][under] * share[nexts])
-    good, p, rest = _distribution(keys, n, totals, tree.size, shorter)
-    state = np.where(good, np.cumsum(good) - 1, -1)
-    stay = good[keys // tree.size]
-    tree.key2 = contexts[good]
-    tree.key[1], tree.logp[1] = state[keys[stay] // tree.size] * tree.size + nexts[stay], np.log10(p[stay])
-    tree.rest[1] = np.log10(rest[good])
-    return tree
+def _told(asked: DataFrame, states: DataFrame, step: int, bits: int) -> DataFrame:
+    """Answers (chunk, step, part, answer): of each context asked for its state's rest, or not a number."""
+
+    def tell(asked: pa.Table, states: pa.Table) -> pa.Table:
+        known = states["context"].to_numpy().view(np.uint64)
+        order = np.argsort(known)
+        known, rest = known[order], np.append(states["rest"].to_numpy()[order], np.nan)
+        out = []
+        for raw in asked["keys"].to_pylist():
+            keys = unpack_keys(raw)
+            found = np.searchsorted(known, keys)
+            same = np.append(known, np.uint64(0))[found] == keys
+            out.append(pack(rest[np.where(same & (found < len(known)), found, len(known))]))
+        return pa.table({"chunk": asked["chunk"], "step": pa.array([step] * len(out), pa.int32()), "part": asked["part"], "answer": pa.array(out, pa.binary())})
+
+    part = F.shiftrightunsigned("context", 64 - bits).cast("int") if bits else F.lit(0)
+    parted = states.withColumn("part", part)
+    return asked.where("part >= 0").groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(tell, "chunk bigint, step int, part int, answer binary")
 
 
 def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,44 +354,61 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
 
     Learns from the rows where is_training holds (null: it does not) and scores all. A null text is
     empty: one token, its end. Null and repeated ids are rows of their own. Without training rows every
-    token is unknown and gets the probability 1.
+    token is unknown and gets the probability 1. An empty table gives no rows. Other columns, whatever
+    their names, are not read. A text is one chunk's however long it is.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(is_training, F.lit(False)).alias("train"))
-    training = rows.where("train").select("doc_id", "text")
-    counts = cut(word_counts(training))
-    tree = fit(training, counts)
-    held = docs.sparkSession.sparkContext.broadcast(tree)
+    kind = dict(rows.dtypes)["doc_id"]
+    parts = parts_of(rows)
+    bits = max(1, parts - 1).bit_length()
+    # Chunks lie where their answers will come to, so that they are dealt out once.
+    chunks = dealt(chunked(rows), parts, "chunk")
+    forget(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = held.value
-        names = ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"]
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for block in _blocks(batch.column(1)):
-                ids, one, two, starts = tree.places(block)
-                known = (ids >= 0).astype(np.int64)
-                base = np.where(ids >= 0, tree.root[ids], 0.0) if tree.size else np.zeros(len(ids))
-                logp = tree.log_probability(ids, one, two) if tree.size else np.zeros(len(ids))
-                rare = [Counter([w for w in words if w not in tree.ids]) for words in block]
-                sums = [np.diff(np.append(starts, len(ids))), *(np.add.reduceat(x, starts) for x in (known, base, logp))]
-                columns = [batch.column(0).slice(at, len(block)), *map(pa.array, sums)]
-                columns += [pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64()))]
-                at += len(block)
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kind = dict(rows.dtypes)["doc_id"]
-    passed = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_known bigint, base double, score double, rare array<binary>, times array<bigint>")
-    passed = cut(passed.withColumn("row", F.monotonically_increasing_id()))
-    words = passed.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    seen = words.join(counts, "word", "left")
-    share = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / tree.mass) if tree.total else F.lit(0.0)
-    more = seen.groupBy("row").agg(F.sum(F.col("times") * share).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
-    both = passed.drop("rare", "times").join(more, "row", "left")
-    extra = F.coalesce("more", F.lit(0.0))
-    return both.select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base") + extra).alias("base_score"), (F.col("score") + extra).alias("score"),
-    )
+            for row in batch.to_pylist():
+                yield _questions(row["chunk"], Chunk(row).first(), bits)
+
+    counted = cut(_counted(chunks.mapInArrow(begin, _ASKED), 0))
+    tokens, kinds = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    mass = tokens + 0.5 * (kinds + 1)
+
+    def turn(answers: DataFrame, last: int, saves: bool = False) -> DataFrame:
+        def ask(held: pa.Table, answers: pa.Table) -> pa.Table:
+            number, chunk, after = _brought(held, answers, mass, last)
+            question = chunk.advance(after) or Question(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return pa.Table.from_batches([_questions(number, question, bits, chunk.save() if saves else None)])
+
+        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, _ASKED)
+
+    # Most tokens end in contexts of one word, so states are written from the second depth on; before, chunks go back to their first answer.
+    last, answers = 0, counted.drop("tokens", "kinds")
+    while True:
+        if last:
+            asked = cut(turn(answers, last, True))
+            answers = asked.where("part = -2").select("chunk", F.lit(-1).alias("step"), "part", F.col("keys").alias("answer"))
+            forget(docs.sparkSession)
+        else:
+            asked = turn(answers, last)
+        told = cut(_counted(asked.where("part >= 0"), last + 1)).drop("tokens", "kinds")
+        if told.isEmpty():
+            break
+        answers = answers.unionByName(told)
+        del asked, told
+        forget(docs.sparkSession)
+        asked = cut(turn(answers, last + 1))
+        answers = answers.unionByName(cut(_told(asked, cut(_states(_reported(asked))), last + 2, bits)))
+        last += 2
+        del asked
+        forget(docs.sparkSession)
+
+    def finish(held: pa.Table, answers: pa.Table) -> pa.Table:
+        _, chunk, _ = _brought(held, answers, mass, 0)  # as far as it came
+        return pa.table({"doc_id": held["ids"].combine_chunks().flatten(), "n_tokens": pa.array(chunk.sizes), "n_known": pa.array(chunk.known), "base_score": pa.array(chunk.base / np.log(10)), "score": pa.array(chunk.scores() / np.log(10))})
+
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

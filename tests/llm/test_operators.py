@@ -309,28 +309,95 @@ def test_suffix_tree(spark):
     assert {r.n_known for r in untaught} == {0} and {r.train_tokens for r in untaught} == {0}
 
 
-def test_suffix_tree_states_sum_to_one_and_help(spark):
+def plain_suffix_tree(texts, training):
+    """Scores of a suffix tree held in dictionaries, grown as the operator's docstring says; and its states by depth."""
+    S = suffix_tree
+    words = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)) + [""] for t in texts]
+    counts = Counter(w for k in training for w in words[k])
+    mass = sum(counts.values()) + 0.5 * (len(counts) + 1)
+    states = [{(): None}]  # of each context: next tokens' discounted shares, and the rest
+
+    def p(before, word):
+        out = (counts[word] + 0.5) / mass
+        for d in range(1, min(len(before), len(states) - 1) + 1):
+            context = tuple(before[-d:])
+            if context not in states[d]:
+                break
+            direct, rest = states[d][context]
+            out = direct.get(word, 0) + rest * out
+        return out
+
+    grow = {()}
+    while grow:
+        d, seen = len(states), {}
+        for k in training:
+            for i in range(d, len(words[k])):
+                if tuple(words[k][i - d + 1 : i]) in grow:
+                    seen.setdefault(tuple(words[k][i - d : i]), Counter())[words[k][i]] += 1
+        new, more = {}, set()
+        for context, nexts in seen.items():
+            total, kept = sum(nexts.values()), {w: n for w, n in nexts.items() if n >= S.SEEN}
+            if total < S.CONTEXT or not kept:
+                continue
+            direct = {w: (n - S.DISCOUNT) / total for w, n in kept.items()}
+            rest = 1 - sum(direct.values())
+            short = {w: p(context[1:], w) for w in kept}
+            now = {w: direct[w] + rest * short[w] for w in kept}
+            gain = sum(n * math.log(now[w] / short[w]) for w, n in kept.items()) + (total - sum(kept.values())) * math.log(rest)
+            if gain >= S.GAIN * len(kept):
+                new[context] = (direct, rest)
+                more |= {context} if sum(-n * math.log(now[w]) for w, n in kept.items()) >= S.GAIN else set()
+        states.append(new)
+        grow = more
+    vocabulary = [*counts, "never seen"]
+    for level in states[1:]:
+        for context in list(level)[:20]:
+            assert math.isclose(sum(p(context, w) for w in vocabulary), 1, rel_tol=1e-9)
+    return [sum(math.log10(p(w[:i], w[i])) for i in range(len(w))) for w in words], states
+
+
+def chained_texts(n=300):
+    """Words that follow from the two before, a passage that many texts share, and runs of one word."""
     rng = random.Random(2)
-    follow = {w: rng.sample("abcdefghij", 2) for w in "abcdefghij"}
+    follow = {(a, b): rng.sample("abcdefghij", 2) for a in "abcdefghij" for b in "abcdefghij"}
+    passage = " ".join(rng.choice(["p", "q", "r"]) + str(i) for i in range(40))
     texts = []
-    for _ in range(300):
-        w = [rng.choice("abcdefghij")]
-        for _ in range(30):
-            w.append(rng.choice(follow[w[-1]]))
-        texts.append(" ".join(w))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    counts = suffix_tree.word_counts(df)
-    tree = suffix_tree.fit(df, counts)
-    assert (tree.state1 >= 0).sum() >= 10
-    ids = np.append(np.arange(tree.size), -1)
-    rare = 1 - (10**tree.root).sum()
-    for one in np.flatnonzero(tree.state1 >= 0):
-        for two in (-1, 2):
-            p = 10 ** tree.log_probability(ids, np.full(len(ids), one), np.full(len(ids), two))
-            assert math.isclose(p[:-1].sum() + p[-1] * rare, 1, rel_tol=1e-9)
-    held = runtime.crc_bucket(F.col("doc_id"), 5) == 1
-    base, score = suffix_tree.score(df, ~held).where(held).agg(F.sum("base_score"), F.sum("score")).first()
-    assert score > 0.7 * base
+    for k in range(n):
+        w = [rng.choice("abcdefghij"), rng.choice("abcdefghij")]
+        for _ in range(rng.randint(1, 40)):
+            w.append(rng.choice(follow[w[-2], w[-1]]))
+        texts.append(" ".join(w) + (" " + passage if k % 7 == 0 else "") + " run" * (k % 11))
+    return texts
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 50])
+def test_suffix_tree_against_a_plain_one(spark, monkeypatch, chunk):
+    monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
+    texts = chained_texts() + [t or "" for t in ODD]
+    df = spark.createDataFrame([(i, t, -1.0, 5) for i, t in enumerate(texts)], "doc_id long, text string, score double, n_tokens int")
+    training = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 1]
+    scores, states = plain_suffix_tree(texts, training)
+    assert len(states) > 4 and len(states[2]) > 50  # deeper than two words
+    got = suffix_tree.score(df.repartition(3), runtime.crc_bucket(F.col("doc_id"), 5) != 1).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert math.isclose(r.score, scores[r.doc_id], rel_tol=1e-6, abs_tol=1e-6)
+    held = [r for r in got if r.doc_id not in training and r.doc_id < 300]
+    assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
+
+
+def test_suffix_tree_grows_with_the_corpus():
+    """Thresholds are counts: what is seen often enough in a corpus stays a state whatever is added to it."""
+    texts = chained_texts(200)
+    _, small = plain_suffix_tree(texts, range(len(texts)))
+    other = [" ".join(f"x{i}y{j % 50}" for j in range(200)) for i in range(100)]
+    _, large = plain_suffix_tree(texts + other, range(len(texts) + len(other)))
+    assert set(small[1]) <= set(large[1]) and sum(map(len, large)) > sum(map(len, small))
+
+
+def test_suffix_tree_of_nothing(spark):
+    none = suffix_tree.score(empty(spark), F.lit(True))
+    assert none.count() == 0 and none.columns == ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 # Fixity
