@@ -424,37 +424,57 @@ def test_fixity(spark):
 # Mixing
 
 
+def plain_schedule(sizes, block):
+    """Slots of a sequential earliest-deadline-first over all sources: (key, nth) by slot, and the ideal's blocks after each."""
+    of = sorted(((-(-n // block) / x, key, x, -(-n // block)) for key, n, x in sizes))
+    done, out, shares = {key: 0 for _, key, _, _ in of}, [], []
+    for slot in range(sum(b for *_, b in of)):
+        ended, rate, time = 0, sum(x for _, _, x, _ in of), None
+        for e, _, x, b in of:  # the time at which slot + 1 slots are done
+            if ended + e * rate >= slot + 1:
+                break
+            if e is not of[-1][0]:
+                ended, rate = ended + b, rate - x
+        time = (slot + 1 - ended) / rate
+        free = [((done[key] + 1) / x, i, key) for i, (_, key, x, b) in enumerate(of) if done[key] < b and x * time > done[key] + 1e-9]
+        key = min(free)[2]
+        out.append((key, done[key]))
+        done[key] += 1
+        shares.append({key: min(b, x * time) - done[key] for _, key, x, b in of})
+    return out, shares
+
+
 def test_mixing(spark):
-    rows = [(i, "hot" if i % 3 else f"s{i % 4}") for i in range(900)] + [(None, None), (1, "hot"), (1, "hot"), (2000, None)]
+    rows = [(i, "hot" if i % 3 else f"s{i % 4}") for i in range(900)] + [(None, None), (1, "hot"), (1, "hot"), (2000, None)] + [(7, "again")] * 300 + [(None, "s1")] * 100
     df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("position", F.lit("clash"))
-    got = mixing.mix(df, period=50, block=4).collect()
-    assert sorted(r.position for r in got) == list(range(len(rows)))
-    assert sorted(((r.doc_id, r.source) for r in got), key=str) == sorted(rows, key=str)
-    blocks = {(r.slot, r.source, r.block, r.release, r.deadline) for r in got}
-    assert len({s for s, *_ in blocks}) == len(blocks) and all(rel <= s < due for s, _, _, rel, due in blocks)
+    for options in ({"window": 50, "block": 4}, {"weights": {"hot": 5.0, "s0": 1.0, "s1": 0.0, "none": 3.0}, "window": 7, "block": 3}):
+        got = mixing.mix(df, **options).collect()
+        assert sorted(r.position for r in got) == list(range(len(rows)))
+        assert sorted(((r.doc_id, r.source) for r in got), key=str) == sorted(rows, key=str)
+        blocks = {(r.slot, r.source, r.block, r.release, r.deadline) for r in got}
+        assert len({s for s, *_ in blocks}) == len(blocks) and all(rel <= s < due for s, _, _, rel, due in blocks)
+        in_order = sorted(got, key=lambda r: r.position)
+        assert [r.slot for r in in_order] == sorted(r.slot for r in got)
+    last = max(r.position for r in got if r.source in ("hot", "s0"))
+    assert last < min(r.position for r in got if r.source not in ("hot", "s0"))  # no weight: behind the others
     assert mixing.mix(empty(spark)).count() == 0
     ordered = mixing.in_order(df)
     assert ordered.count() == len(rows) and ordered.columns == df.columns
 
 
-@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 1, "d": 1}, {"a": 1, "b": 1, "c": 1}, {"a": 98, "b": 1, "c": 1}])
-def test_mixing_stays_within_a_block(spark, weights):
-    df = spark.createDataFrame([(i, s) for i in range(400) for s in weights], "doc_id long, source string")
-    period = 100
-    got = mixing.mix(df, weights, period=period, block=1).select("slot", "source").orderBy("slot").collect()
-    total, w = sum(weights.values()), {}
-    sizes = spark.createDataFrame([("s" + k, 400, float(v)) for k, v in weights.items()], "key string, n long, v double")
-    for r in mixing.whole_weights(sizes, period, F.col("v")).collect():
-        w[r.key[1:]] = r.w
-        assert abs(r.w - weights[r.key[1:]] / total * period) < 3
-    assert sum(w.values()) == period
-    done = Counter()
-    for r in got:
-        if r.slot >= period:
-            break
-        done[r.source] += 1
-        for s in w:
-            assert abs(done[s] - w[s] * (r.slot + 1) / period) < 1
+@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 1, "c": 1}, {"a": 98, "b": 1, "c": 0.5}, {f"{i:03}": 1 + i % 7 for i in range(50)}, {f"{i:03}": 500 if i == 9 else 1 + i % 3 for i in range(400)}])
+def test_mixing_stays_within_a_block_of_the_exact_weight(spark, weights):
+    n = 1200 // len(weights) + 3
+    sizes = [("s" + k, n + i % 5, float(v)) for i, (k, v) in enumerate(weights.items())]
+    got = mixing.schedule(spark.createDataFrame([(*s, 0) for s in sizes], "key string, n long, x double, tier int"), block=2, window=64).collect()
+    plain, shares = plain_schedule(sizes, 2)
+    assert [(r.key, r.block) for r in sorted(got, key=lambda r: r.slot)] == plain
+    assert all(abs(x) < 1 for share in shares for x in share.values())
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    total = sum(weights.values())
+    early = [key for key, _ in plain[: min(len(plain), int(n / 2 * total / max(weights.values())))]]  # while all sources last
+    for k, v in weights.items():
+        assert abs(early.count("s" + k) - v / total * len(early)) < 1
 
 
 # Byte-level BPE
