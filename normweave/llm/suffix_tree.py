@@ -156,18 +156,25 @@ class Chunk:
     """
 
     def __init__(self, row: dict):
-        self.words, _, number = distinct(np.frombuffer(row["words"], np.uint64))
-        self.local = number[unpack(row["local"], np.uint32)]
+        self.words = np.frombuffer(row["words"], np.uint64)
+        self.local = unpack(row["local"], np.uint32)
         self.sizes = unpack(row["sizes"], np.int64)
-        self.train = np.repeat(np.array(row["train"], bool), self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.taught = np.array(row["train"], bool)
+
+    def times(self, number: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+        """How often each of n numbers stands at a training token."""
+        train = np.repeat(self.taught, self.sizes)
+        return np.bincount(number, train if at is None else train[at], n).astype(np.int64)
 
     def first(self) -> Question:
-        return Question(self.words, np.bincount(self.local, self.train, len(self.words)).astype(np.int64))
+        order = np.argsort(self.words)
+        return Question(self.words[order], self.times(self.local, len(order))[order])
 
     def begin(self, answer: np.ndarray, mass: float) -> None:
         """Everything in the root, from the answer to `first`."""
-        times = answer >> 1
+        times = np.empty(len(self.words), np.int64)
+        times[np.argsort(self.words)] = answer >> 1
         share = (times + 0.5) / mass
         count = times[self.local]
         self.known = np.add.reduceat((count > 0).astype(np.int64), self.starts)
@@ -184,19 +191,44 @@ class Chunk:
         self.sums = self.sums + np.bincount(self.text[~more], np.log(self.p[~more]), len(self.sums))
         self.at, self.text, self.p, self.before, self.context, self.total = (x[more] for x in (self.at, self.text, self.p, self.before, self.context, self.total))
 
-    def save(self) -> bytes:
-        steps = np.diff(self.at, prepend=0).astype(np.uint32)
-        arrays = [self.known, self.base, self.sums, steps, self.p.astype(np.float32), self.before, self.total, np.packbits(self.often)]
-        return pickle.dumps((self.depth, [(x.dtype.str, pack(x)) for x in arrays]))
+    def one_word(self, pairs: np.ndarray, rest: np.ndarray) -> None:
+        """From the root to contexts of one word. pairs: how often a token and the one before stand together, if asked; rest: of each word's state."""
+        self.pairs, self.rest = pairs, rest
+        self.move(mix(self.context, self.words[self.local[self.at - 1]]), pairs[self.at], self.total, rest[self.local[self.at - 1]])
+
+    def move(self, context: np.ndarray, n: np.ndarray, total: np.ndarray, rest: np.ndarray) -> None:
+        """To contexts one word longer, where these are states. rest: not a number for no state, negative for one not to be extended."""
+        state = ~np.isnan(rest)
+        self.p = np.where(state, np.where(n >= SEEN, (n - DISCOUNT) / np.maximum(total, 1), 0.0) + np.abs(rest) * self.p, self.p)
+        self.before, self.context = n, context
+        if self.depth == 1:
+            self.often, self.total = self.pairs >= CONTEXT, self.pairs[self.at - 1]
+        # The oldest two words of a context must have been seen as often as the context.
+        self.keep(state & (rest > 0) & (self.at - self.starts[self.text] > self.depth) & self.often[self.at - self.depth])
+        self.depth += 1
 
-    def load(self, state: bytes) -> None:
-        self.depth, arrays = pickle.loads(state)
-        self.known, self.base, self.sums, steps, p, self.before, self.total, often = (unpack(raw, kind) for kind, raw in arrays)
+    def save(self) -> bytes:
+        compact = self.depth == 2 and len(self.at) > 0  # most tokens are open; this and the first answer are less than their places and probabilities
+        if compact:
+            arrays = [self.pairs, self.rest]
+        else:
+            arrays = [self.known, self.base, self.sums, np.diff(self.at, prepend=0).astype(np.uint32), self.p.astype(np.float32), self.before, np.packbits(self.often)]
+        return pickle.dumps((self.depth, compact, [(x.dtype.str, pack(x)) for x in arrays]))
+
+    def load(self, state: bytes, first: np.ndarray, mass: float) -> None:
+        depth, compact, packed = pickle.loads(state)
+        arrays = [unpack(raw, kind) for kind, raw in packed]
+        if compact:
+            self.begin(first, mass)
+            self.one_word(*arrays)
+            return
+        self.depth, (self.known, self.base, self.sums, steps, p, self.before, often) = depth, arrays
         self.at, self.p = np.cumsum(steps, dtype=np.int64), p.astype(np.float64)
+        self.total = np.zeros(len(self.at), np.int64)
         self.often = np.unpackbits(often, count=len(self.local)).astype(bool)
         self.text = np.searchsorted(self.starts, self.at, side="right") - 1
         self.context = np.zeros(len(self.at), np.uint64)
-        for d in range(1, self.depth):
+        for d in range(1, depth):
             self.context = mix(self.context, self.words[self.local[self.at - d]])
 
     def advance(self, answers: list[np.ndarray]) -> Question | None:
@@ -211,7 +243,7 @@ class Chunk:
             keys, place, number = distinct(np.concatenate(mine + [mix(context, _CONTEXT_KEY)] * (depth > 2)))
             if not answers:
                 where = np.concatenate([at[asked]] + [at] * (depth > 2))
-                return Question(keys, np.bincount(number, self.train[where], len(keys)).astype(np.int64))
+                return Question(keys, self.times(number, len(keys), where))
             answer = answers.pop(0)
             n = np.zeros(len(at), np.int64)
             n[asked] = (answer >> 1)[number[: len(asked)]]
@@ -223,18 +255,14 @@ class Chunk:
                 one = asked[place[(answer & 1 == 1) & (place < len(asked))]]
                 one = one[(n[one] >= SEEN) & enough[one]]
                 return Question(wanted, None, (context[one], n[one], total[one], self.p[one]))
-            rest = np.full(len(at), np.nan)  # no state: not a number; not to be extended: negative
+            rest = np.full(len(at), np.nan)
             rest[enough] = answers.pop(0)[of]
-            state = ~np.isnan(rest)
-            self.p = np.where(state, np.where(n >= SEEN, (n - DISCOUNT) / np.maximum(total, 1), 0.0) + np.abs(rest) * self.p, self.p)
             if depth == 1:
-                pairs = np.zeros(len(self.local), np.int64)  # how often a token and the one before stand together, if that may count
-                pairs[at] = n
-                self.often, self.total = pairs >= CONTEXT, pairs[at - 1]
-            self.before, self.context = n, context
-            # The oldest two words of a context must have been seen as often as the context.
-            self.keep(state & (rest > 0) & (at - self.starts[self.text] > depth) & self.often[at - depth])
-            self.depth += 1
+                pairs, of_word = np.zeros(len(self.local), np.int64), np.full(len(self.words), np.nan)
+                pairs[at], of_word[self.local[at - 1]] = n, rest
+                self.one_word(pairs, of_word)
+            else:
+                self.move(context, n, total, rest)
         return None
 
     def scores(self) -> np.ndarray:
@@ -270,11 +298,11 @@ def _brought(held: pa.Table, answers: pa.Table, mass: float, last: int) -> tuple
     for step, part, raw in zip(answers["step"].to_pylist(), answers["part"].to_pylist(), answers["answer"].to_pylist()):
         found.setdefault(step, []).append((part, raw))
     chunk = Chunk(row)
-    state = found.pop(-1, None)
-    if state:
-        chunk.load(state[0][1])
+    first = np.concatenate([np.zeros(0, np.int64), *(unpack(raw, np.int64) for _, raw in sorted(found.get(0, [])))])
+    if -1 in found:
+        chunk.load(found[-1][0][1], first, mass)
     else:
-        chunk.begin(np.concatenate([unpack(raw, np.int64) for _, raw in sorted(found[0])]), mass)
+        chunk.begin(first, mass)
     after = []
     for step in range(2 * chunk.depth - 1, last + 1):  # a question of no keys has no answer
         kind = np.int64 if step % 2 else np.float64
@@ -382,12 +410,15 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
 
         return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, _ASKED)
 
-    # Most tokens end in contexts of one word, so states are written from the second depth on; before, chunks go back to their first answer.
-    last, answers = 0, counted.drop("tokens", "kinds")
+    # States are written from the second depth on; before, chunks go back to their first answer.
+    first = counted.drop("tokens", "kinds")
+    last, answers = 0, first
     while True:
         if last:
             asked = cut(turn(answers, last, True))
             answers = asked.where("part = -2").select("chunk", F.lit(-1).alias("step"), "part", F.col("keys").alias("answer"))
+            if last == 2:
+                answers = answers.unionByName(first)
             forget(docs.sparkSession)
         else:
             asked = turn(answers, last)
