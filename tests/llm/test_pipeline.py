@@ -1,5 +1,7 @@
 """Stages of the pipeline against what their operators say of each row."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from normweave.llm import bpe, secrets, simhash
 from tests.llm.test_operators import labelled
@@ -23,7 +25,7 @@ def test_stages(spark, tmp_path):
     good = {r.doc_id: r for r in seen["quality_classifier"].collect()}
     assert all(i % 4 != 1 for i in good if i < 1000) and len(good) > 200
     unique = {r.doc_id for r in seen["simhash_near_dedup"].collect()}
-    assert unique == {r.component_id for r in simhash.near_duplicates(seen["quality_classifier"]).collect()} and 1000 not in unique
+    assert unique == {r.first for r in simhash.similar(seen["quality_classifier"]).groupBy("root").agg(F.min("doc_id").alias("first")).collect()} and 1000 not in unique
     safe = {r.doc_id: r.text for r in seen["secret_scan"].collect()}
     assert set(safe) == unique and not any(secrets.scan(seen["secret_scan"], ["spans"]).where("size(spans) > 0").collect())
     assert {r.doc_id for r in seen["mix_sources"].collect()} == unique
