@@ -199,7 +199,7 @@ class Chunk:
     def move(self, context: np.ndarray, n: np.ndarray, total: np.ndarray, rest: np.ndarray) -> None:
         """To contexts one word longer, where these are states. rest: not a number for no state, negative for one not to be extended."""
         state = ~np.isnan(rest)
-        self.p = np.where(state, np.where(n >= SEEN, (n - DISCOUNT) / np.maximum(total, 1), 0.0) + np.abs(rest) * self.p, self.p)
+        self.p = np.where(state, np.where(n >= SEEN, (n - DISCOUNT) / np.maximum(total, 1), 0.0) + np.abs(rest.astype(np.float64)) * self.p, self.p)
         self.before, self.context = n, context
         if self.depth == 1:
             self.often, self.total = self.pairs >= CONTEXT, self.pairs[self.at - 1]
@@ -255,10 +255,10 @@ class Chunk:
                 one = asked[place[(answer & 1 == 1) & (place < len(asked))]]
                 one = one[(n[one] >= SEEN) & enough[one]]
                 return Question(wanted, None, (context[one], n[one], total[one], self.p[one]))
-            rest = np.full(len(at), np.nan)
+            rest = np.full(len(at), np.nan, np.float32)
             rest[enough] = answers.pop(0)[of]
             if depth == 1:
-                pairs, of_word = np.zeros(len(self.local), np.int64), np.full(len(self.words), np.nan)
+                pairs, of_word = np.zeros(len(self.local), np.int64), np.full(len(self.words), np.nan, np.float32)
                 pairs[at], of_word[self.local[at - 1]] = n, rest
                 self.one_word(pairs, of_word)
             else:
@@ -305,7 +305,7 @@ def _brought(held: pa.Table, answers: pa.Table, mass: float, last: int) -> tuple
         chunk.begin(first, mass)
     after = []
     for step in range(2 * chunk.depth - 1, last + 1):  # a question of no keys has no answer
-        kind = np.int64 if step % 2 else np.float64
+        kind = np.int64 if step % 2 else np.float32
         after.append(np.concatenate([np.zeros(0, kind), *(unpack(raw, kind) for _, raw in sorted(found.get(step, [])))]))
     return row["chunk"], chunk, after
 
@@ -363,7 +363,7 @@ def _told(asked: DataFrame, states: DataFrame, step: int, bits: int) -> DataFram
     def tell(asked: pa.Table, states: pa.Table) -> pa.Table:
         known = states["context"].to_numpy().view(np.uint64)
         order = np.argsort(known)
-        known, rest = known[order], np.append(states["rest"].to_numpy()[order], np.nan)
+        known, rest = known[order], np.append(states["rest"].to_numpy()[order], np.nan).astype(np.float32)
         out = []
         for raw in asked["keys"].to_pylist():
             keys = unpack_keys(raw)
@@ -429,6 +429,7 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
         del asked, told
         forget(docs.sparkSession)
         asked = cut(turn(answers, last + 1))
+        forget(docs.sparkSession)
         answers = answers.unionByName(cut(_told(asked, cut(_states(_reported(asked))), last + 2, bits)))
         last += 2
         del asked
