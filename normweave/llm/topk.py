@@ -1,9 +1,10 @@
 """Exact top-k by inner product: columnar branch-and-bound.
 
-Vectors of a block are laid out dimension by dimension. Scores of a few queries against the block are
-accumulated one block of dimensions at a time; what the remaining dimensions can still add or take is at
-most the product of the remaining norms. A candidate whose best case is below the k-th best worst case of
-every query of the group is compacted away.
+Vectors of a block are laid out dimension by dimension, those of most energy first. Scores of a query
+against the block are accumulated one block of dimensions at a time; what the remaining dimensions can
+still add is at most the product of the remaining norms. A candidate whose best case is below the bar, a
+score that k rows are known to reach, is compacted away. Each query brings a bar from the rows of the
+greatest norms, so that low norms go before their first dimension; the block's own rows raise it.
 
 The stated queries meet all rows in cells of one query block and one vector block, both of bounded size,
 and each cell gives at most k rows for a query.
@@ -11,6 +12,8 @@ and each cell gives at most k rows for a query.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,66 +21,94 @@ from pyspark.sql import functions as F
 
 from .runtime import cut, table
 
-#: Vectors and queries of a cell; queries that are bounded together; dimensions added at a time.
-BLOCK, QUERY_BLOCK, GROUP, DIMENSIONS = 4096, 1024, 32, 16
+#: Vectors and queries of a cell; rows of the greatest norms that give bars; dimensions added at a time.
+BLOCK, QUERY_BLOCK, SEEDS, DIMENSIONS = 4096, 1024, 512, 8
 _NULL = np.iinfo(np.int64).max  # a null id, last among ties
 
 
-def best(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-    """Of each query the k highest (score, id), ties to the smaller id.
+def _exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """All inner products of whole numbers: as floats below 2**53, else as Python's integers; beyond 64 bits an OverflowError."""
+    top = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
+    if top < 2**53:
+        return queries @ vectors.T
+    if not np.isfinite(queries).all() or not np.isfinite(vectors).all():
+        raise OverflowError("a scaled component is beyond the range of doubles")
+    whole = lambda m: np.array([[int(x) for x in r] for r in m], object).reshape(m.shape)
+    scores = whole(queries) @ whole(vectors).T if queries.size and vectors.size else np.zeros((len(queries), len(vectors)), object)
+    if any(not -(2**63) <= int(s) < 2**63 for s in scores.ravel()):
+        raise OverflowError("a score is beyond 64 bits")
+    return scores
+
+
+def _top(score: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
+    order = sorted(range(len(score)), key=lambda j: (-int(score[j]), int(ids[j]))) if score.dtype == object else np.lexsort((ids, -score))
+    return [(int(score[j]), int(ids[j])) for j in order[:k]]
+
 
-    own[i]: the query's own row among the vectors, or -1. Scores are exact integers: sums are made in
-    float64 where all partial sums stay below 2**53, else in int64.
+def best(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, bars: np.ndarray | None = None, seen: list[int] | None = None) -> list[list[tuple[int, int]]]:
+    """Of each query the k highest (score, id) that reach its bar, ties to the smaller id.
+
+    own[i]: the query's own row among the vectors, or -1. queries and vectors hold whole numbers. Scores are
+    exact: see `_exact`. seen: gets the number of candidates that each query read each block of dimensions for.
     """
-    out: list[list[tuple[int, int]]] = []
-    top = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
-    kind = np.float64 if top < 2**53 else np.int64
-    columns = np.ascontiguousarray(vectors.T.astype(kind))
-    squares = np.square(vectors.astype(np.float64))
+    bars = np.full(len(queries), -np.inf) if bars is None else bars
     dims = vectors.shape[1]
+    top = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, dims)
+    if not top < 2**53 or len(vectors) <= 4 * k or not dims:
+        out = []
+        for i in range(len(queries)):
+            who = np.flatnonzero(np.arange(len(vectors)) != own[i])
+            s = _exact(queries[i : i + 1], vectors[who])[0]
+            near = np.array([x >= bars[i] for x in s], bool)
+            out.append(_top(s[near], ids[who][near], k))
+        return out
+    order = np.argsort(-np.square(vectors).sum(axis=0) * np.square(queries).sum(axis=0), kind="stable")
+    vectors, queries = vectors[:, order], queries[:, order]
     edges = [*range(0, dims, DIMENSIONS), dims]
-    rest_v = [np.sqrt(squares[:, e:].sum(axis=1)) for e in edges]
-    for at in range(0, len(queries), GROUP):
-        q = queries[at : at + GROUP].astype(kind)
-        mine = own[at : at + GROUP]
-        alive = np.arange(len(vectors))
-        score = np.zeros((len(q), len(alive)), kind)
-        self_rows = np.flatnonzero(mine >= 0)
-        for b in range(len(edges) - 1):
-            lo, hi = edges[b], edges[b + 1]
-            score += q[:, lo:hi] @ columns[lo:hi][:, alive] if len(alive) < len(vectors) else q[:, lo:hi] @ columns[lo:hi]
-            if hi == dims or len(alive) <= 4 * k or kind is np.int64:
-                continue
-            rest = np.sqrt(np.square(q[:, hi:]).sum(axis=1))[:, None] * rest_v[b + 1][alive][None, :] * (1 + 1e-9) + 1e-6
-            worst = score - rest
-            worst[self_rows] = np.where(alive[None, :] == mine[self_rows, None], -np.inf, worst[self_rows])
-            bar = -np.partition(-worst, k - 1, axis=1)[:, k - 1]
-            stay = (score + rest >= bar[:, None]).any(axis=0)
-            if stay.sum() < 0.9 * len(alive):
-                alive, score = alive[stay], score[:, stay]
-        for i in range(len(q)):
-            s, who = score[i], alive
-            if mine[i] >= 0:
-                other = who != mine[i]
-                s, who = s[other], who[other]
-            if len(s) > k:
-                near = s >= -np.partition(-s, k - 1)[k - 1]
-                s, who = s[near], who[near]
-            order = np.lexsort((ids[who], -s))[:k]
-            out.append([(int(s[j]), int(ids[who[j]])) for j in order])
+    left = lambda m: [np.sqrt(np.square(m[:, e:]).sum(axis=1)) * (1 + 1e-9) for e in edges]
+    rest_q, rest_v = left(queries), left(vectors)
+    high = np.argsort(-rest_v[0], kind="stable")
+    columns, place = np.ascontiguousarray(vectors[high].T), np.argsort(high)
+    rest_v, ids = [r[high] for r in rest_v], ids[high]
+    own = np.where(own >= 0, place[np.maximum(own, 0)], -1)
+    first = queries @ columns[:, : min(len(high), max(4 * k, 128))]  # whole scores of the greatest norms
+    out = []
+    for i in range(len(queries)):
+        mine = first[i]
+        mine = np.delete(mine, own[i]) if 0 <= own[i] < len(mine) else mine
+        bar = max(bars[i], -np.partition(-mine, k - 1)[k - 1]) if len(mine) >= k else bars[i]
+        alive, score = np.flatnonzero(np.arange(len(high)) != own[i]), None
+        for b, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            rest = rest_q[b][i] * rest_v[b][alive]
+            stay = (rest if score is None else score + rest) + 1e-6 >= bar
+            if not stay.all():
+                alive = alive[stay]
+                score = None if score is None else score[stay]
+            if seen is not None:
+                seen.append(len(alive))
+            part = queries[i, lo:hi] @ (columns[lo:hi] if len(alive) == len(high) else columns[lo:hi, alive])
+            score = part if score is None else score + part
+        stay = score >= bar
+        out.append(_top(score[stay], ids[alive[stay]], k))
     return out
 
 
-def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    column = column.combine_chunks()
+def _matrix(column: pa.Array | pa.ChunkedArray, dims: int, scale: int) -> np.ndarray:
+    """Whole numbers floor(scale * x), as floats; zero beyond a vector's end."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.diff(column.offsets.to_numpy())
-    out = np.zeros((len(column), dims), np.int64)
+    out = np.zeros((len(column), dims))
     flat = column.flatten().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(column)), sizes)
-    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.floor(flat * scale)
     return out
 
 
+def _dims(*columns: pa.Array | pa.ChunkedArray) -> int:
+    each = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    return max(int(np.diff(c.offsets.to_numpy()).max(initial=0)) for c in each)
+
+
 def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().fill_null(_NULL).to_numpy(zero_copy_only=False)
 
@@ -87,29 +118,47 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, i
 
     Components become floor(scale * x). Null vectors and vectors with a null or non-finite component
     take no part; an empty or shorter vector counts as zero beyond its end. Ties go to the smaller
-    vec_id; rows with the same vec_id are rows of their own; a null vec_id comes last among ties.
+    vec_id; rows with the same vec_id are rows of their own; a null vec_id comes last among ties. Components
+    of any finite size count; a score beyond 64 bits raises an OverflowError. An empty table gives no rows;
+    other columns, whatever their names, are not read.
     """
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.where(F.col("x").isNotNull() & F.coalesce(sound, F.lit(False)))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "asks", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
-    rows = cut(rows)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = rows.where(F.col("v").isNotNull() & F.coalesce(sound, F.lit(False)))
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "asks", "v"))
     n, asking = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
+    norm = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
+    seeds = rows.sparkSession.sparkContext.broadcast(rows.orderBy(F.desc(norm), "row").limit(SEEDS).select("row", "v").toArrow())
+
+    def barred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed = seeds.value
+        for batch in batches:
+            v = batch.column(2)
+            bars = np.full(batch.num_rows, -np.inf)
+            if batch.num_rows and seed.num_rows > k:
+                dims = _dims(v, seed["v"])
+                q, s = _matrix(v, dims, scale), _matrix(seed["v"], dims, scale)
+                same = seed["row"].to_numpy()[None, :] == batch.column(0).to_numpy()[:, None]
+                if float(np.abs(q).max(initial=0)) * float(np.abs(s).max(initial=0)) * max(1, dims) < 2**53:
+                    bars = -np.partition(np.where(same, np.inf, -(q @ s.T)), k - 1, axis=1)[:, k - 1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bars)], names=["row", "vec_id", "v", "bar"])
+
+    queries = rows.where("asks").select("row", "vec_id", "v").mapInArrow(barred, "row bigint, vec_id bigint, v array<double>, bar double")
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-asking // QUERY_BLOCK))
     cells = ["block", "query_block"]
     held = rows.select("row", "vec_id", "v", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
-    asked = rows.where("asks").select("row", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block"))
+    asked = queries.select("row", "vec_id", "v", "bar", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block"))
 
     def cell(held: pa.Table, asked: pa.Table) -> pa.Table:
         lists: list[list[tuple[int, int]]] = []
         if held.num_rows and asked.num_rows:
-            dims = max(int(np.diff(t["v"].combine_chunks().offsets.to_numpy()).max(initial=0)) for t in (held, asked))
+            dims = _dims(held["v"], asked["v"])
             row, mine = held["row"].to_numpy(), asked["row"].to_numpy()
             order = np.argsort(row)
             at = np.minimum(np.searchsorted(row[order], mine), len(row) - 1)
             own = np.where(row[order][at] == mine, order[at], -1)
-            lists = best(_matrix(asked["v"], dims), _matrix(held["v"], dims), own, _ids(held["vec_id"]), k)
+            lists = best(_matrix(asked["v"], dims, scale), _matrix(held["v"], dims, scale), own, _ids(held["vec_id"]), k, asked["bar"].to_numpy())
         sizes = [len(x) for x in lists]
         pick = np.repeat(np.arange(len(lists)), sizes)
         flat = [y for x in lists for y in x]

@@ -601,6 +601,38 @@ def test_topk(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_ties_and_clashing_columns(spark):
+    rows = [(i, [1.0, float(i % 3)], "clash", 1.5) for i in range(60)] + [(7, [1.0, 2.0], "clash", 1.5)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, score double")
+    got = topk.search(df, F.col("vec_id") == 50).orderBy("rank").collect()  # 50 % 3 is 2
+    assert [(r.rank, r.vec_id, r.score) for r in got] == [(n + 1, i, 65536 + 4 * 65536) for n, i in enumerate([2, 5, 7, 7, 7])]
+
+
+def test_topk_of_large_components(spark):
+    search = lambda rows: topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    big = [(0, [2.0**20, 3.0]), (1, [2.0**22, 1.0]), (2, [2.0**22, 1.0 + 2**-8]), (3, [-(2.0**22), 5.0])]
+    want = sorted(((-sum(int(a * 256) * int(b * 256) for a, b in zip(big[0][1], v)), i) for i, v in big[1:]))
+    assert [(r.vec_id, r.score) for r in search(big)] == [(i, -s) for s, i in want]
+    for x in (1e300, 1.7e308):
+        with pytest.raises(Exception, match="beyond 64 bits|beyond the range"):
+            search([(0, [x]), (1, [x])])
+
+
+def test_topk_bounds_leave_candidates_out():
+    rng = np.random.default_rng(5)
+    spread = np.floor(256 * rng.normal(size=(4096, 64)) * np.geomspace(1, 0.05, 64)[rng.permutation(64)])
+    plain = np.floor(256 * rng.normal(size=(4096, 64)))
+    for vectors, most in ((spread, 0.35), (plain, 0.95)):
+        seen, ids = [], np.arange(4096)
+        own = np.arange(20)
+        got = topk.best(vectors[:20], vectors, own, ids, 5, None, seen)
+        scores = vectors[:20] @ vectors.T
+        scores[own, own] = -np.inf
+        for i in range(20):
+            assert got[i] == [(int(scores[i, j]), int(j)) for j in np.lexsort((ids, -scores[i]))[:5]]
+        assert len(seen) == 20 * 8 and sum(seen) < most * 4096 * len(seen)
+
+
 # Secrets
 
 
