@@ -1,9 +1,10 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Every line is judged by itself: navigation, symbols, shouting, boilerplate, and prose without any
-end of a sentence. Failing lines are removed; a document that loses too large a share of its characters this
-way is rejected. All of it happens inside a row, so nothing is shuffled and no document or source can
-be hot.
+Every line is judged by itself: navigation (short items between separators), symbols, shouting, short
+boilerplate, and paragraphs of prose without any end of a sentence. Lines that follow each other make one
+paragraph, so wrapped prose is judged by the whole of it. Failing lines are removed; a document that loses
+too large a share of its characters this way is rejected. All of it happens inside a row, so nothing is
+shuffled and no document or source can be hot.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .runtime import attach, table
 
 #: Share of a document's characters (of lines with words) that may be lost to failing lines, in percent.
@@ -18,12 +20,20 @@ MOST_LOST = 50
 #: The six white-space characters between words, the symbols, and what ends a sentence.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-ENDS = ".!?…"
+#: Ends of sentences in Latin, Devanagari, CJK, Arabic, Ethiopic, Armenian, Khmer and Burmese writing.
+ENDS = ".!?…।॥。！？｡؟۔።։។၊။"
+#: What stands between the items of a navigation line.
+BARS = "|»›·•"
 #: Fixed value: boilerplate, in lower case.
 BOILERPLATE = r"(licensed under|all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|enable javascript|lorem ipsum|click here|sign up for|subscribe to our|powered by|back to top|skip to (main )?content)"
-#: Words from which a line counts as prose (which has sentences), and from which capitals alone are shouting.
-PROSE, SHOUT = 5, 3
+#: Words from which a paragraph counts as prose (which has sentences), words it then has in a line on average (a list has
+#: fewer), and words from which capitals alone are shouting.
+PROSE, WIDE, SHOUT = 8, 6, 3
+#: Separators of a navigation line at least, words an item has at most on average, and words of a boilerplate line at most.
+ITEMS, ITEM_WORDS, BOILER_WORDS = 2, 4, 12
 REPEAT = 5
+#: Between paragraphs: an end of line before a line without words.
+PARAGRAPH = r"\n(?=[\x20\x09\x0B-\x0D]*(?:\n|\z))"
 
 
 def words_of(text: Column) -> Column:
@@ -36,18 +46,36 @@ def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
+def _n_words(text: Column) -> Column:
+    """Words of a text that has some, without white space at its ends."""
+    return F.size(F.split(text, r"[\x20\x09-\x0D]+"))
+
+
 def line_fails(line: Column) -> Column:
-    """Whether a line with words breaks a rule."""
-    bare = F.btrim(line, F.lit(SPACE))
-    length = F.length(bare)
-    words = length - F.length(F.translate(bare, " \t", "")) + 1
-    symbols = length - F.length(_without(bare, SYMBOLS))
-    navigation = length - F.length(_without(bare, "|»›·")) >= 2
-    noisy = (symbols >= 3) & (symbols * 20 > length)
-    shouting = (words >= SHOUT) & (F.upper(bare) == bare) & (F.lower(bare) != bare)
-    boilerplate = F.lower(bare).rlike(BOILERPLATE)
-    endless = (words >= PROSE) & (F.length(_without(bare, ENDS)) == length)
-    return navigation | noisy | shouting | endless | boilerplate
+    """Whether a line with words breaks a rule of its own."""
+
+    def judge(bare: Column) -> Column:
+        length, words = F.length(bare), _n_words(bare)
+        symbols = length - F.length(_without(bare, SYMBOLS))
+        # A bar between spaces parts items; quotation marks hug their words.
+        bars = F.size(F.split(bare, rf"(?<=[\x20\x09])[{BARS}]+(?=[\x20\x09])")) - 1
+        navigation = (bars >= ITEMS) & (words - bars <= ITEM_WORDS * (bars + 1)) & (F.length(_without(bare, ENDS)) == length)
+        noisy = (symbols >= 3) & (symbols * 20 > length)
+        shouting = (words >= SHOUT) & (F.upper(bare) == bare) & (F.lower(bare) != bare)
+        boilerplate = (words <= BOILER_WORDS) & F.lower(bare).rlike(BOILERPLATE)
+        return navigation | noisy | shouting | boilerplate
+
+    return let(F.btrim(line, F.lit(SPACE)), judge)
+
+
+def endless(paragraph: Column) -> Column:
+    """Whether a paragraph is prose without any end of a sentence."""
+
+    def judge(bare: Column) -> Column:
+        words, lines = _n_words(bare), F.length(bare) - F.length(F.translate(bare, "\n", "")) + 1
+        return (words >= PROSE) & (words >= WIDE * lines) & (F.length(_without(bare, ENDS)) == F.length(bare))
+
+    return let(F.btrim(paragraph, F.lit(SPACE)), judge)
 
 
 OUTPUTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned"]
@@ -71,7 +99,11 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     wide = repeated_words(wide)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     wide = wide.withColumn("base_failed", failed)
-    wide = wide.withColumn("__stay", F.filter("__all", lambda x: (F.btrim(x, F.lit(SPACE)) == "") | ~line_fails(x)))
+    # Paragraphs are runs of lines with words; the lines of a failing one go as a whole, of others each by itself.
+    wide = wide.withColumn("__paragraphs", F.split("__text", PARAGRAPH))
+    blank = lambda x: F.btrim(x, F.lit(SPACE)) == ""
+    passing = F.transform("__paragraphs", lambda p: let(endless(p), lambda bad: F.filter(F.split(p, "\n"), lambda x: blank(x) | (~bad & ~line_fails(x)))))
+    wide = wide.withColumn("__stay", F.flatten(passing))
     size = lambda lines: F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(F.btrim(x, F.lit(SPACE))))
     wide = wide.withColumn("__lost", size(F.col("__lines")) - size(F.col("__stay"))).withColumn("__of", size(F.col("__lines")))
     kept = ~F.col("base_failed") & (100 * F.col("__lost").cast("long") <= MOST_LOST * F.col("__of").cast("long"))
@@ -111,19 +143,23 @@ WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
   SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-    list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {_SQL_SPACE})), lambda x: x <> '') AS bare,
     list_filter(string_split(text, chr(10)), lambda x: trim(x, {_SQL_SPACE}) <> '') AS lines
   FROM t
 ), line AS (
-  SELECT rid, unnest(bare) AS x FROM w
+  SELECT rid, i, trim(x, {_SQL_SPACE}) AS x FROM (SELECT rid, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM (SELECT rid, string_split(text, chr(10)) AS l FROM t))
+), parted AS (
+  SELECT *, count(*) FILTER (x = '') OVER (PARTITION BY rid ORDER BY i) AS p FROM line
 ), judged AS (
-  SELECT rid, x, length(x) AS n, length(x) - length(translate(x, ' ' || chr(9), '')) + 1 AS nw,
-    length(x) - length(translate(x, '{SYMBOLS}', '')) AS sym, length(x) - length(translate(x, '|»›·', '')) AS nav FROM line
+  SELECT rid, p, x, length(x) AS n, len(w) AS nw, length(x) - length(translate(x, '{SYMBOLS}', '')) AS sym, length(translate(x, '{ENDS}', '')) = length(x) AS open,
+    len(list_filter(w[2:len(w) - 1], lambda y: regexp_full_match(y, '[{BARS}]+'))) AS bars
+  FROM (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM parted WHERE x <> '')
+), prose AS (
+  SELECT rid, p, sum(nw) >= {PROSE} AND sum(nw) >= {WIDE} * count(*) AND bool_and(open) AS bad FROM judged GROUP BY rid, p
 ), lost AS (
   SELECT rid, sum(n) AS total, coalesce(sum(n) FILTER (
-    nav >= 2 OR (sym >= 3 AND sym * 20 > n) OR (nw >= {SHOUT} AND upper(x) = x AND lower(x) <> x)
-    OR (nw >= {PROSE} AND length(translate(x, '{ENDS}', '')) = n) OR regexp_matches(lower(x), '{BOILERPLATE}')), 0) AS gone
-  FROM judged GROUP BY rid
+    bad OR (bars >= {ITEMS} AND nw - bars <= {ITEM_WORDS} * (bars + 1) AND open) OR (sym >= 3 AND sym * 20 > n)
+    OR (nw >= {SHOUT} AND upper(x) = x AND lower(x) <> x) OR (nw <= {BOILER_WORDS} AND regexp_matches(lower(x), '{BOILERPLATE}'))), 0) AS gone
+  FROM judged JOIN prose USING (rid, p) GROUP BY rid
 ), gram AS (
   SELECT rid, unnest(range(1, len(words) - {REPEAT} + 2)) AS i, words FROM w WHERE len(words) >= {REPEAT}
 ), twice AS (

@@ -87,6 +87,29 @@ def labelled(spark, n=600):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*marks, (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
 
 
+def test_line_rules_keep_prose_and_drop_the_rest(spark):
+    prose = [
+        "Er rief »Ja« und dann »Nein« und ging mit den anderen » wie immer « nach Hause, ohne sich umzusehen.",
+        "Il a dit « oui » puis « non » et il est parti avec les autres vers la maison de son père.",
+        "This paragraph was wrapped by hand after a few words each\ntime so that none of its lines but the last one has an\nend of a sentence, and still it is good prose to keep here.",
+        "यह एक लंबा वाक्य है जो बिना किसी लैटिन विराम चिह्न के लिखा गया है।",
+        "这 是 一 个 用 空 格 分 开 的 句 子 。",
+        "The terms of use of this word changed over the years, as the authors of the dictionary explain at some length in it.",
+        "- apples\n- green pears\n- plums\n- late cherries\n- figs\n- dates\n- nuts",
+    ]
+    dropped = [
+        "Home | News | Sports | Contact us | About",
+        "a fragment of words that never comes to any end and goes on\nover the next line as well without ever reaching one at all",
+        "ALL OF THIS IS SHOUTED AT THE READER.",
+        "### $$$ %%% buy <<< now >>> ***",
+        "All rights reserved. Privacy policy.",
+    ]
+    texts = [f"{p}\n\n{d}\n \n{p}" for p in prose for d in dropped]
+    for r in rules.clean(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        p = prose[r.doc_id // len(dropped)]
+        assert [x for x in r.cleaned.split("\n") if x.strip()] == 2 * p.split("\n"), r.doc_id
+
+
 def test_levenshtein_table_matches_distances():
     terms = [("idiot", False), ("worthless", False), ("scum", False), ("vequ", True)]
     lexicon = toxicity.Lexicon(terms)
