@@ -231,6 +231,18 @@ class Chunk:
         for d in range(1, depth):
             self.context = mix(self.context, self.words[self.local[self.at - d]])
 
+    def contexts(self, context: np.ndarray, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct contexts, and the number of each that is seen enough."""
+        if self.depth > 1:
+            wanted, _, number = distinct(context[enough])
+            return wanted, number
+        before = self.local[self.at - 1][enough]  # contexts of one word are sorted by word
+        used = np.flatnonzero(np.bincount(before, minlength=len(self.words)))
+        keys = mix(np.zeros(len(used), np.uint64), self.words[used])
+        order, number = np.argsort(keys), np.empty(len(self.words), np.int64)
+        number[used[order]] = np.arange(len(used))
+        return keys[order], number[before]
+
     def advance(self, answers: list[np.ndarray]) -> Question | None:
         """The next question after these answers, or None if no token's state can become longer."""
         answers = list(answers)
@@ -249,7 +261,7 @@ class Chunk:
             n[asked] = (answer >> 1)[number[: len(asked)]]
             total = self.total if depth <= 2 else (answer >> 1)[number[len(asked) :]]
             enough = total >= CONTEXT
-            wanted, _, of = distinct(context[enough])
+            wanted, of = self.contexts(context, enough)
             if not answers:
                 # Of all chunks that asked for a next token, the one that was told so reports it.
                 one = asked[place[(answer & 1 == 1) & (place < len(asked))]]
@@ -413,30 +425,22 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
     # States are written from the second depth on; before, chunks go back to their first answer.
     first = counted.drop("tokens", "kinds")
     last, answers = 0, first
-    while True:
+    while not (counts := cut(_counted(turn(answers, last), last + 1)).drop("tokens", "kinds")).isEmpty():
+        forget(docs.sparkSession)
+        asked = cut(turn(answers.unionByName(counts), last + 1, last > 0))
         if last:
-            asked = cut(turn(answers, last, True))
             answers = asked.where("part = -2").select("chunk", F.lit(-1).alias("step"), "part", F.col("keys").alias("answer"))
-            if last == 2:
-                answers = answers.unionByName(first)
-            forget(docs.sparkSession)
-        else:
-            asked = turn(answers, last)
-        told = cut(_counted(asked.where("part >= 0"), last + 1)).drop("tokens", "kinds")
-        if told.isEmpty():
-            break
-        answers = answers.unionByName(told)
-        del asked, told
-        forget(docs.sparkSession)
-        asked = cut(turn(answers, last + 1))
         forget(docs.sparkSession)
-        answers = answers.unionByName(cut(_told(asked, cut(_states(_reported(asked))), last + 2, bits)))
+        answers = answers.unionByName(counts).unionByName(cut(_told(asked, cut(_states(_reported(asked))), last + 2, bits)))
+        if last == 2:
+            answers = answers.unionByName(first)
         last += 2
-        del asked
+        del asked, counts
         forget(docs.sparkSession)
 
     def finish(held: pa.Table, answers: pa.Table) -> pa.Table:
-        _, chunk, _ = _brought(held, answers, mass, 0)  # as far as it came
+        _, chunk, after = _brought(held, answers, mass, last)
+        chunk.advance(after)
         return pa.table({"doc_id": held["ids"].combine_chunks().flatten(), "n_tokens": pa.array(chunk.sizes), "n_known": pa.array(chunk.known), "base_score": pa.array(chunk.base / np.log(10)), "score": pa.array(chunk.scores() / np.log(10))})
 
     scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
