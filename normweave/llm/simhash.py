@@ -19,11 +19,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runtime import cut, pieces, table
+from .runtime import cut, forget, pack, pieces, table, unpack
 
 #: Fingerprints of a slot of a hot bucket; queries, and lanes in words, that are compared at a time.
 CELL, QUERIES, LANES = 4096, 256, 64
@@ -213,8 +213,8 @@ def block_masks(radius: int) -> list[int]:
     return [x | y for x, y in combinations(block, 2)]
 
 
-def in_runs(keys: DataFrame, compare: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Links (a, b) that compare finds in the buckets of keys (t, k, and long columns), over runs as in `link_sorted`.
+def in_runs(keys: DataFrame, compare: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], tuple[np.ndarray, ...]], names: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """Rows of longs (links a, b and what else names tells) that compare finds in the buckets of keys (t, k, and long columns), over runs as in `link_sorted`.
 
     compare(number of the run, slot, columns): sorted by run, slot and columns, runs whole. Buckets of one
     are left out; hot ones are cut into slots, and each pair of slots becomes a run.
@@ -233,8 +233,7 @@ def in_runs(keys: DataFrame, compare: Callable[[np.ndarray, np.ndarray, list[np.
         def link(rows: list[np.ndarray]) -> pa.RecordBatch:
             t, k, lo, hi, slot, *held = rows
             change = np.append(False, (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
-            a, b = compare(np.cumsum(change), slot, held)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in compare(np.cumsum(change), slot, held)], names=list(names))
 
         for batch in batches:
             rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -250,7 +249,7 @@ def in_runs(keys: DataFrame, compare: Callable[[np.ndarray, np.ndarray, list[np.
         if kept:
             yield link(kept)
 
-    return runs.mapInArrow(run, "a bigint, b bigint")
+    return runs.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
@@ -331,97 +330,123 @@ def node_of(texts: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "replace").lower().split())) for t in texts], np.uint64).view(np.int64)
 
 
-def _centred(number: np.ndarray, slot: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates (a, b): of small runs all close pairs, of others each text with the one that most are close to, and with its nearest."""
+def _centred(number: np.ndarray, slot: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (a, b, degree): of small runs all close pairs, of others each text b with the one that most are close to, and with its nearest.
+
+    a is the text of the pair that more texts of the run are close to, degree how many.
+    """
     prints, nodes = held[0].view(np.uint64), held[1]
     starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
     sizes = np.diff(np.append(starts, len(number)))
     ends = np.repeat(starts + sizes, sizes)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # places of candidates
+    degree = np.zeros(len(number), np.int64)
     shift, at = 1, np.flatnonzero(np.repeat(sizes <= FEW, sizes))
     while len(at := at[at + shift < ends[at]]):
         ok = at[close_pairs(prints[at], prints[at + shift], FAR)]
-        a.append(nodes[ok])
-        b.append(nodes[ok + shift])
+        degree += np.bincount(ok, minlength=len(degree)) + np.bincount(ok + shift, minlength=len(degree))
+        first.append(ok)
+        second.append(ok + shift)
         shift += 1
     for s, n in zip(starts[sizes > FEW], sizes[sizes > FEW]):
-        values, of, side = prints[s : s + n], nodes[s : s + n], slot[s : s + n]
-        degree, nearest = np.zeros(n, np.int64), np.full(n, -1)
-        near: list[tuple[np.ndarray, np.ndarray]] = []
+        values, mine, nearest = prints[s : s + n], degree[s : s + n], np.full(n, -1)
         for x in range(0, n, QUERIES):
             q = np.arange(x, min(n, x + QUERIES))
             best = np.full(len(q), 65)
             for y in range(0, n, 64 * LANES):
                 part = np.arange(y, min(n, y + 64 * LANES))
                 i, j = np.nonzero(close_block(values[q], values[part], FAR, part[None, :] == q[:, None]))
-                degree[q] += np.bincount(i, minlength=len(q))
+                mine[q] += np.bincount(i, minlength=len(q))
                 apart = np.bitwise_count(values[q[i]] ^ values[part[j]]).astype(np.int64)
                 order = np.lexsort((apart, i))
                 i, j, apart = i[order], j[order], apart[order]
-                first = np.flatnonzero(np.append(True, i[1:] != i[:-1])[: len(i)])
-                better = first[apart[first] < best[i[first]]]
+                lead = np.flatnonzero(np.append(True, i[1:] != i[:-1])[: len(i)])
+                better = lead[apart[lead] < best[i[lead]]]
                 best[i[better]], nearest[q[i[better]]] = apart[better], part[j[better]]
-        rank = np.lexsort((of, -degree))  # the most central first
-        centre, place = np.full(n, -1), np.argsort(rank)
-        for r in rank.tolist():  # a text that no centre is close to becomes one
-            if centre[r] < 0 and degree[r]:
-                members = np.flatnonzero(close_block(values[[r]], values, FAR)[0] & (centre < 0))
-                centre[members] = r
+        centre = np.full(n, -1)
+        for r in np.lexsort((nodes[s : s + n], -mine)).tolist():  # the most central first; a text that no centre is close to becomes one
+            if centre[r] < 0 and mine[r]:
+                centre[np.flatnonzero(close_block(values[[r]], values, FAR)[0] & (centre < 0))] = r
         for other in (centre, nearest):
             ok = np.flatnonzero((other >= 0) & (other != np.arange(n)))
-            first, second = np.where(place[other[ok]] < place[ok], other[ok], ok), np.where(place[other[ok]] < place[ok], ok, other[ok])
-            a.append(of[first])
-            b.append(of[second])
-    return np.concatenate(a), np.concatenate(b)
+            first.append(s + other[ok])
+            second.append(s + ok)
+    x, y = np.concatenate(first), np.concatenate(second)
+    turn = (degree[y] > degree[x]) | ((degree[y] == degree[x]) & (nodes[y] < nodes[x]))
+    x, y = np.where(turn, y, x), np.where(turn, x, y)
+    return nodes[x], nodes[y], degree[x]
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of nodes (node, doc_id): sorted distinct hashes, read again from the documents of these ids."""
+    """(node, shingles) of nodes (node, doc_id): the sorted distinct hashes' high 32 bits, read again from the documents of these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             texts = [t.as_py() or "" for t in batch.column(1)]
             found = node_of(texts)
             mine = [k for k, wanted in enumerate(batch.column(0).to_pylist()) if wanted == found[k]]
-            sets = [np.sort(h)[np.append(True, np.diff(np.sort(h)) != 0)[: len(h)]].view(np.int64) for h in hashes([texts[k] for k in mine], WIDTH)]
-            yield pa.RecordBatch.from_arrays([pa.array(found[mine]), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [pack(np.diff(_distinct((h >> np.uint64(32)).astype(np.uint32)), prepend=np.uint32(0))) for h in hashes([texts[k] for k in mine], WIDTH)]
+            yield pa.RecordBatch.from_arrays([pa.array(found[mine]), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     wanted = nodes.select("node", F.col("doc_id").alias("__id"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
-    return rows.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, shingles of a, of b) those pairs that are SIMILAR or more."""
+    read = lambda raw: np.cumsum(unpack(raw, np.uint32), dtype=np.uint32)
+    for batch in pieces(batches):
+        good = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = read(x), read(y)
+            shared = len(x) + len(y) - len(_distinct(np.concatenate([x, y])))
+            good.append(shared >= SIMILAR * (len(x) + len(y) - shared))
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, node, root): the same root for texts that a chain of links joins, each of two texts whose sets of five-word shingles are 0.8 alike or more.
 
     Texts meet in buckets of least hashes; there fingerprints are compared by bit planes, and what is close
-    is verified by its shingles. A bucket of many gives candidates about its centres and nearest neighbours
-    only; one text of each class goes on to the next round, until a round joins nothing. A pair that never
-    stands in one bucket, or whose fingerprints are over FAR apart, is not found: at a similarity of 0.8
-    less than 1 of 1,000 by the buckets, and less than 1 of 1,000 by the fingerprints.
+    is verified by its shingles. In a round each text is held against its most central candidate that it has
+    not met, in the next against two, four and so on; of the texts that turn out alike one goes on, until no
+    pair is left. A bucket of many gives candidates about its centres and nearest neighbours only. A pair
+    that never stands in one bucket, or whose fingerprints are over FAR apart, is not found: at a similarity
+    of 0.8 less than 1 of 1,000 by the buckets, and less than 1 of 1,000 by the fingerprints.
     """
     prints = cut(sketched(docs))
     nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")))
-    now, joined = nodes, None
+    now, met, joined, most = nodes, None, None, 1
     while True:
         keys = now.select(F.posexplode("bands").alias("t", "k"), "fingerprint", "node")
-        pairs = cut(in_runs(keys, _centred).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = cut(_sets(docs, now.select("node", "doc_id").join(met, "node", "left_semi")))
+        found = in_runs(keys, _centred, ("a", "b", "degree")).where("a != b").groupBy("a", "b").agg(F.max("degree").alias("degree"))
+        if met is not None:
+            found = found.join(met, ["a", "b"], "left_anti").join(met.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("degree"), "a"))
+        pairs = cut(found.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b"))
+        if pairs.isEmpty():
+            break
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = cut(_sets(docs, now.select("node", "doc_id").join(asked, "node", "left_semi")))
         # The members of one text's pairs are dealt to several tasks.
         dealt_out = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
         left = dealt_out.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         both = dealt_out.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(left, ["a", "salt"])
-        shared = F.size(F.array_intersect("x", "y"))
-        good = cut(both.where(shared >= SIMILAR * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-        if good.isEmpty():
-            break
-        joined = good if joined is None else cut(joined.unionByName(good))
-        # Of each class the text with the most links goes on.
-        ends = good.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        centre = ends.join(components(good), "node").groupBy("root").agg(F.max(F.struct("n", "node")).alias("m")).select(F.col("m.node").alias("node"))
-        gone = cut(ends.join(centre, "node", "left_anti").select("node"))
-        now = cut(now.join(gone, "node", "left_anti"))
+        good = cut(both.select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint"))
+        met, most = pairs if met is None else cut(met.unionByName(pairs)), 2 * most
+        if not good.isEmpty():
+            joined = good if joined is None else cut(joined.unionByName(good))
+            # Of each class the text with the most links goes on.
+            ends = good.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+            centre = ends.join(components(good), "node").groupBy("root").agg(F.max(F.struct("n", "node")).alias("m")).select(F.col("m.node").alias("node"))
+            now = cut(now.join(ends.join(centre, "node", "left_anti"), "node", "left_anti"))
+        forget(docs.sparkSession)
     if joined is None:
         return prints.select("doc_id", "node", F.col("node").alias("root"))
     roots = components(joined)

@@ -26,12 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import crc_bucket, cut, dealt, forget, parts_of, table
+from .runtime import crc_bucket, cut, dealt, forget, pack, parts_of, table, unpack
 
 #: Times that a next token of a context must have been seen, and a context.
 SEEN, CONTEXT = 3, 6
@@ -65,16 +64,6 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], order[new], number
 
 
-def pack(x: np.ndarray) -> bytes:
-    """The array as planes of its bytes, compressed: the high bytes of counts and places are nearly all zero."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
-
-
-def unpack(raw: bytes, kind: type | str) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def pack_keys(keys: np.ndarray) -> bytes:
     return pack(np.diff(keys, prepend=np.uint64(0)))
 
