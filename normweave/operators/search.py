@@ -1,7 +1,7 @@
 """Two-stage ranked search over a table of questions: one plan, whatever their number.
 
-Scores do not depend on routing, so each (question, article) is scored once; routing then only decides
-which scored rows of a question count, and a question whose routed rows all fail falls back to the rest.
+Rules that a question is routed to are joined to its terms before anything is scored, so only their
+articles are; a question whose routed rows all fail is scored over all articles in a second step.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.text import blank, full_forms, occurrences, query_words, tokens
+from ..functions.text import blank, full_forms, let, occurrences, query_words, tokens
 
 
 @dataclass
 class Index:
-    """articles (doc_id and all their columns); terms (doc_id, term, tf, in_name, in_title, in_division);
+    """articles (doc_id and all their columns); terms (doc_id, rule_name, term, tf, in_name, in_title, in_division);
     lengths (doc_id, rule_name, length, is_current, is_repealed, is_attachment); stats (term, df);
     profiles (rule_name, term, weight); totals: one row, n_docs and avg_length."""
 
@@ -39,9 +39,9 @@ class Index:
 def build(articles: DataFrame, only: DataFrame | None = None) -> Index:
     """Index of articles (pos, rule_name, division, article_no, article_title, body, and any flags).
 
-    The term table is the one wide shuffle, combined before it. With `only` (term), a batch's terms, no
-    other term is shuffled; lengths and totals are those of all. Null texts are empty. An article without
-    words has length 0.
+    Terms are counted inside rows; only what is asked of the term table is shuffled. With `only` (term), a
+    batch's terms, no other term leaves the articles; lengths and totals are those of all. Null texts are
+    empty. An article without words has length 0. `pos` must tell articles apart.
     """
     flag = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in articles.columns else F.lit(other)
     docs = articles.withColumn("doc_id", F.col("pos"))
@@ -54,10 +54,11 @@ def build(articles: DataFrame, only: DataFrame | None = None) -> Index:
         flag("is_current", True).alias("is_current"), flag("is_repealed", False).alias("is_repealed"), F.coalesce(kind == V.ATTACHMENT, F.lit(False)).alias("is_attachment"),
     )
     lengths = worded.select("doc_id", "rule_name", F.size("__tokens").alias("length"), "is_current", "is_repealed", "is_attachment")
-    terms = worded.select("doc_id", F.explode("__tokens").alias("term"), *[k for k in sets])
+    # A row holds all of its document's words, so they are counted inside it and only distinct terms leave it.
+    terms = worded.select("doc_id", "rule_name", *sets, F.explode(counted(F.col("__tokens"))).alias("x")).select("doc_id", "rule_name", F.col("x.term").alias("term"), F.col("x.tf").alias("tf"), *sets)
     if only is not None:
         terms = terms.join(only.select("term").distinct(), "term", "left_semi")
-    terms = terms.select("doc_id", "term", *[F.array_contains(k, F.col("term")).alias(k) for k in sets]).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), *[F.max(k).alias(k) for k in sets])
+    terms = terms.select("doc_id", "rule_name", "term", "tf", *[F.array_contains(k, F.col("term")).alias(k) for k in sets])
     if only is not None:  # a few columns of a row for each article, and the batch's terms: read more than once, made once
         terms, lengths = terms.persist(), lengths.persist()
     totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
@@ -65,6 +66,16 @@ def build(articles: DataFrame, only: DataFrame | None = None) -> Index:
     return Index(docs, terms, lengths, stats, profiles(articles), totals)
 
 
+def counted(words: Column) -> Column:
+    """Distinct words with how often they stand in the array, as (term, tf)."""
+
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).cast("long").alias("tf"))))
+
+    return F.when(F.size(words) > 0, let(F.array_sort(words), runs)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 def profiles(articles: DataFrame) -> DataFrame:
     """(rule_name, term, weight): terms of name, division and titles, weighed and summed over a rule's articles."""
 
@@ -111,20 +122,22 @@ def route(index: Index, asked: DataFrame, top: int = V.ROUTE_TOP, ties: int = V.
     return passed.join(sizes, "query_id", "left_semi").select("query_id", "rule_name")
 
 
-def score(index: Index, questions: DataFrame, boosts: bool = True) -> DataFrame:
+def score(index: Index, questions: DataFrame, boosts: bool = True, routes: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, rule_name, is_attachment, score, matched): scored articles that a question may use.
 
     questions: query_id, query, and flags include_superseded and include_repealed, false where missing.
+    routes (query_id, rule_name): only articles of these rules are scored.
     """
     asked = known_terms(index, question_terms(questions))
+    asked, keys = (asked, ["term"]) if routes is None else (asked.join(routes, "query_id"), ["rule_name", "term"])
     flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) if c in questions.columns else F.lit(False).alias(c) for c in ("include_superseded", "include_repealed")]
-    lengths = index.lengths.select("doc_id", "rule_name", "length", "is_current", "is_repealed", "is_attachment")
+    lengths = index.lengths.select("doc_id", "length", "is_current", "is_repealed", "is_attachment")
     norm = F.col("tf") + V.K1 * (1.0 - V.B + V.B * F.col("length") / F.lit(index.size[1]))
     part = F.col("idf") * (F.col("tf") * (V.K1 + 1.0) / norm) * F.col("qf")
     if boosts:
         for c, boost in (("in_name", V.BOOST_NAME), ("in_title", V.BOOST_TITLE), ("in_division", V.BOOST_DIVISION)):
             part = part + F.when(F.col(c), boost * F.col("idf")).otherwise(0.0)
-    met = index.terms.join(asked, "term").join(lengths, "doc_id").join(questions.select("query_id", *flags), "query_id")
+    met = index.terms.join(asked, keys).join(lengths, "doc_id").join(questions.select("query_id", *flags), "query_id")
     met = met.where((F.col("is_current") | F.col("include_superseded")) & (~F.col("is_repealed") | F.col("include_repealed")))
     matched = F.array_sort(F.collect_set(F.when(~is_gram(F.col("term")), F.col("term"))))
     return met.groupBy("query_id", "doc_id", "rule_name", "is_attachment").agg(F.round(F.sum(part), 9).alias("score"), matched.alias("matched"))
@@ -142,10 +155,9 @@ def ranked(index: Index, questions: DataFrame, default_k: int = 5) -> DataFrame:
     """(query_id, doc_id, rank, score, matched_terms, routing, is_attachment): up to 2k + 10 rows a question."""
     k = F.coalesce(F.col("k"), F.lit(default_k)) if "k" in questions.columns else F.lit(default_k)
     asked = known_terms(index, question_terms(questions))
-    routes = route(index, asked).withColumn("routed", F.lit(True))
-    rows = relevant(score(index, questions), questions).join(routes, ["query_id", "rule_name"], "left").withColumn("routed", F.coalesce("routed", F.lit(False)))
-    any_routed = F.max("routed").over(Window.partitionBy("query_id"))
-    rows = rows.withColumn("any", any_routed).where("routed or not any")
+    first = relevant(score(index, questions, routes=route(index, asked)), questions)
+    open_ones = questions.join(first.select("query_id").distinct(), "query_id", "left_anti")
+    rows = first.withColumn("any", F.lit(True)).unionByName(relevant(score(index, open_ones), open_ones).withColumn("any", F.lit(False)))
     rows = rows.join(questions.select("query_id", k.alias("k")), "query_id").where("k > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     rows = rows.withColumn("rank", rank).where(F.col("rank") <= 2 * F.col("k") + 10)

@@ -39,9 +39,9 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
-    """The opening of each benchmark item as a question."""
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, width).alias("query"))
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item, whole, as a question."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:

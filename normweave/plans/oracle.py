@@ -44,7 +44,7 @@ tok AS (
 ), df AS (
   SELECT term, count(*) AS df FROM terms GROUP BY term
 ), q AS (
-  SELECT item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark
+  SELECT item_id AS query_id, text AS query FROM benchmark
 ), qt AS (
   SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({_words('query')}) AS term FROM q) GROUP BY ALL
 ), asked AS (
@@ -149,7 +149,7 @@ SQL: dict[str, str] = {
     "l5_versions": f"WITH {_VERSIONED}, cur AS (SELECT DISTINCT base, no FROM ver WHERE NOT noted) SELECT doc_id, NOT noted AS is_current, noted AND c.base IS NOT NULL AS has_successor, doc_id % 11 = 0 AS is_repealed, CASE WHEN doc_id % 11 = 0 THEN '2013-07-05' END AS repealed_date FROM ver LEFT JOIN cur c ON c.base = ver.base AND c.no = ver.no",
     "l8_repealed_parts": "SELECT doc_id, '②' AS clause, '2020-06-03' AS clause_date, '②' AS item_clause, '3' AS item, '2024-03-22' AS item_date FROM documents",
     "t1_words": f"SELECT word, count(*) AS n FROM (SELECT unnest({_words('text')}) AS word FROM documents) GROUP BY word",
-    "t4_query_words": f"WITH q AS (SELECT item_id AS query_id, {_words('substr(text, 1, 60)')} AS w FROM benchmark), d AS (SELECT query_id, unnest(list_distinct(w)) AS word, w FROM q) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_position(w, word)) - 1 AS INTEGER) AS place, word FROM d",
+    "t4_query_words": f"WITH q AS (SELECT item_id AS query_id, {_words('text')} AS w FROM benchmark), d AS (SELECT query_id, unnest(list_distinct(w)) AS word, w FROM q) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_position(w, word)) - 1 AS INTEGER) AS place, word FROM d",
     "t6_normal_questions": f"SELECT conv_id * 1000 + turn AS ts, {_QUESTION} AS normalized FROM conversations WHERE role = 'user'",
     "a1_term_statistics": f"WITH {_ARTICLES}, {_INDEX} SELECT term, df FROM df",
     "a1_lengths": f"WITH {_ARTICLES}, {_INDEX} SELECT doc_id, length FROM lens",
