@@ -37,7 +37,7 @@ SEEN, CONTEXT = 3, 6
 #: What is taken off each count, and nats that each kept next token must gain.
 DISCOUNT, GAIN = 0.75, 1.0
 #: Tokens of a chunk (one text may have more), and distinct words whose hashes a task remembers.
-CHUNK, WORDS = 1 << 20, 400_000
+CHUNK, WORDS = 1 << 19, 400_000
 #: What the folds of the query are.
 FOLDS, HELD = 5, 1
 #: The end of a text, as a word; no word is empty.
@@ -407,6 +407,7 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
         def ask(held: pa.Table, answers: pa.Table) -> pa.Table:
             number, chunk, after = _brought(held, answers, mass, last)
             question = chunk.advance(after) or Question(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            pa.default_memory_pool().release_unused()
             return pa.Table.from_batches([_questions(number, question, bits, chunk.save() if saves else None)])
 
         return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, _ASKED)
