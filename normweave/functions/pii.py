@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,13 +40,27 @@ def redact(text: Column, patterns: list[tuple[str, str]] = V.PERSONAL) -> tuple[
     return text, F.array_compact(F.array(*found))
 
 
+def _deep_nfkc(value: object) -> object:
+    """The value with all strings in it folded, keys of maps excepted."""
+    if isinstance(value, str):
+        return unicodedata.normalize("NFKC", value)
+    if isinstance(value, Row):
+        return Row(*map(_deep_nfkc, value))
+    if isinstance(value, dict):
+        return {k: _deep_nfkc(x) for k, x in value.items()}
+    return [_deep_nfkc(x) for x in value] if isinstance(value, (list, tuple)) else value
+
+
 def redact_nested(value: Column, kind: T.DataType) -> Column:
-    """The value with every string in it folded and masked, whatever it is nested in."""
+    """The value with every string in it folded and masked, whatever it is nested in.
+
+    Python folds within lambdas don't exist, so a nested value with characters beyond ASCII is folded as a whole first.
+    """
     if isinstance(kind, T.StringType):
         return redact(folded(value))[0]
-    if isinstance(kind, T.ArrayType):
-        # A Python fold cannot run inside a lambda; nested strings are masked as they are.
-        return F.transform(value, lambda x: _native(x, kind.elementType))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        plain = F.coalesce(F.to_json(F.struct(value.alias("v"))).rlike(r"^\p{ASCII}*$"), F.lit(True))
+        value = F.when(plain, value).otherwise(F.udf(_deep_nfkc, kind)(F.when(~plain, value)))
     return _native(value, kind)
 
 

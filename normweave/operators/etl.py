@@ -21,6 +21,9 @@ CONTENTS_LINE = r"^#*(?U:\s*)[\[【](?U:\s*)(별표[^\]】]*?)(?U:\s*)[\]】](?U
 DELEGATION = r"\((?U:\s*)제(?U:\s*)(\d+)(?U:\s*)조(?:(?U:\s*)의(?U:\s*)(\d+))?(?U:\s*)(?:제(?U:\s*)(\d+)(?U:\s*)항|([①-⑮])(?U:\s*)항)?[^)]*관련[^)]*\)"
 SPLIT_HEAD = r"(?s)^(\d+)\(([^)\n]{1,40})\)(?U:\s*)(.*)"
 FRAGMENT = r"^(?:[,)]|의 |에 |와 |과 |및 |내지 |부터 |까지 |제\d+[항호])"
+#: First header cell with text alone; a name of a past edition.
+TABLE_HEADER = r"<th[^>]*>([^<]{2,80})</th>"
+PAST_EDITION = r"(?U)개정\s*전|이전|폐지|\(\s*\d{4}"
 PAST = r"(?U)개정\s*전|이전|폐지"
 MIN_ITEMS = 3
 
@@ -230,20 +233,42 @@ def fill_titles(attachments: DataFrame, contents: DataFrame) -> DataFrame:
     """attachments (source_key, label, title, body) with title, title_source and delegating_article.
 
     In this order: its own title, the document's table of contents (source_key, label, title), the body's
-    first line that is no markup, the first table header.
+    first line that is no markup, the first table header of 2 to 80 plain characters. Labels meet with
+    single spaces. A title that names no delegating article leaves that to the body's first line.
     """
-    toc = contents.groupBy("source_key", "label").agg(F.min("title").alias("__toc"))
+    toc = contents.groupBy("source_key", squeeze(blank(F.col("label"))).alias("__label")).agg(F.min("title").alias("__toc"))
     lines = F.filter(F.transform(F.split(blank(F.col("body")), "\n"), strip), lambda x: (x != "") & ~x.rlike(r"^(?:<|\||!\[|\[|-{3,}|={3,})"))
     line = F.try_element_at(lines, F.lit(1))
     line = F.when(F.length(line) <= 100, line)
-    head = squeeze(F.regexp_replace(F.regexp_extract(blank(F.col("body")), r"(?is)<th[^>]*>(.*?)</th>", 1), "<[^>]+>", " "))
+    head = squeeze(F.regexp_extract(blank(F.col("body")), TABLE_HEADER, 1))
     head = F.when(F.length(head).between(2, 80), head)
     own = F.when(strip(blank(F.col("title"))) != "", F.col("title"))
-    joined = attachments.join(toc, ["source_key", "label"], "left")
+    joined = attachments.withColumn("__label", squeeze(blank(F.col("label")))).join(toc, ["source_key", "__label"], "left")
     source = F.when(own.isNotNull(), "own").when(F.col("__toc").isNotNull(), "contents").when(line.isNotNull(), "first_line").when(head.isNotNull(), "table_header")
-    joined = joined.withColumn("title_source", source).withColumn("__title", F.coalesce(own, "__toc", line, head, F.lit("")))
+    joined = joined.withColumn("title_source", source).withColumn("__title", F.coalesce(own, "__toc", line, head, F.lit(""))).withColumn("__line", line)
     title, given = strip_delegation(F.col("__title"))
-    return joined.withColumn("delegating_article", given).withColumn("title", title).drop("__toc", "__title")
+    _, below = strip_delegation(F.col("__line"))
+    return joined.withColumn("delegating_article", F.coalesce(given, below)).withColumn("title", title).drop("__toc", "__title", "__line", "__label")
+
+
+def failed_items(failures: DataFrame, articles: DataFrame, documents: DataFrame, include_past: bool = False) -> DataFrame:
+    """Item records of failed sources: failures (rule_name, source_key, division) whose document (source_key, markdown) has numbered items.
+
+    A source that articles have is left alone, and so are past editions unless asked for.
+    """
+    rows = failures.join(articles.select("source_key").distinct(), "source_key", "left_anti")
+    rows = rows if include_past else rows.where(~blank(F.col("rule_name")).rlike(PAST_EDITION))
+    items = extract_items(documents.join(rows.select("source_key").distinct(), "source_key", "left_semi"))
+    return items.join(rows.dropDuplicates(["source_key"]), "source_key").withColumn("record_type", F.lit(V.ITEM))
+
+
+def structure_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row of counts over articles before and after `promote_structure`: all, changed bodies, with chapter, with section."""
+    met = after.join(before.select("pos", F.col("body").alias("__was")), "pos")
+    return met.agg(
+        F.count(F.lit(1)).alias("n_articles"), F.count_if(~F.col("body").eqNullSafe(F.col("__was"))).alias("n_changed"),
+        F.count_if(blank(F.col("chapter")) != "").alias("n_chapter"), F.count_if(blank(F.col("section")) != "").alias("n_section"),
+    )
 
 
 def relevance(division: Column, name: Column) -> Column:
@@ -267,18 +292,17 @@ def select_core(listing: DataFrame, limit: int) -> DataFrame:
     order = [F.desc("score"), F.col("division"), F.col("name"), F.col("key").cast("long")]
     text = F.replace(F.concat("division", "name"), F.lit(" "), F.lit(""))
     rows = rows.withColumn("areas", F.array_compact(F.array(*[F.when(text.rlike("|".join(words)), i) for i, words in enumerate(V.CORE_DOMAINS)])))
-    most = limit * (len(V.CORE_DOMAINS) + 1)
-    ranked = [rows.where(F.array_contains("areas", i)).orderBy(*order).limit(most).withColumn("area", F.lit(i)) for i in range(len(V.CORE_DOMAINS))] + [rows.orderBy(*order).limit(most).withColumn("area", F.lit(-1))]
-    quota = max(1, min(3, limit // len(V.CORE_DOMAINS)))
+    most, areas = limit * (len(V.CORE_DOMAINS) + 1), len(V.CORE_DOMAINS)
+    each = rows.select("key", *[F.col(c) for c in ("score", "division", "name")], F.explode(F.concat("areas", F.array(F.lit(areas)))).alias("area"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("area").orderBy(*order))).where(F.col("rank") <= most)
+    quota = max(1, min(3, limit // areas))
     taken: dict[str, int] = {}
-    for frame in ranked:
-        n = 0
-        for r in frame.orderBy(*order).select("key").collect():
-            if len(taken) >= limit or (frame is not ranked[-1] and n >= quota):
-                break
-            if r.key not in taken:
-                taken[r.key] = len(taken)
-                n += 1
+    turns = dict.fromkeys(range(areas), 0)
+    for r in ranked.orderBy("area", "rank").select("area", "key").collect():
+        if len(taken) < limit and r.key not in taken and turns.get(r.area, -1) < quota:
+            taken[r.key] = len(taken)
+            if r.area in turns:
+                turns[r.area] += 1
     chosen = listing.sparkSession.createDataFrame(list(taken.items()), "key string, place int")
     return rows.drop("areas").join(F.broadcast(chosen), "key")
 

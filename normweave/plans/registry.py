@@ -13,6 +13,7 @@ from ..functions import values as V
 from ..operators import annotate, classify, etl, gate, operations, references, search, temporal
 from ..sources import html
 from ..streaming import candidates as streams
+from . import handbook
 from . import mapping as M
 from .oracle import SQL
 
@@ -26,11 +27,11 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | handbook.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in _QUERIES}
+    return {k: v for k, v in SQL.items() if k in _QUERIES} | handbook.SQL
 
 
 def _index(spark: SparkSession, d: str, articles: DataFrame | None = None) -> tuple[search.Index, DataFrame]:
@@ -78,7 +79,7 @@ def l14_review_queue(spark, d):
 def _versioned(spark, d):
     note = F.when(F.col("pos") % 3 == 0, " (2012. 1. 2. 개정)").when(F.col("pos") % 7 == 0, " (개정 전)").otherwise("")
     number = F.concat(F.lit("제"), (F.col("pos") % 50).cast("string"), F.lit("조"))
-    body = F.concat(F.when(F.col("pos") % 11 == 0, "<삭제 2013. 7. 5.> ").otherwise(""), F.lit("① "), F.col("body"), F.lit("\n② 삭제 <2020. 6. 3.>\n3. (삭제) <개정 2024. 3. 22.>"))
+    body = F.concat(F.when(F.col("pos") % 11 == 0, "<삭제 2013. 7. 5.> ").otherwise(""), F.lit("① "), F.col("body"), F.when(F.col("pos") % 2 == 0, "\n② 삭제 <2020. 6. 3.>\n3. (삭제) <개정 2024. 3. 22.>").otherwise("\n③ (삭제)\n7. 삭제 <2021. 1. 2.>"))
     rows = M.articles(spark, d).withColumn("rule_name", F.concat("rule_name", note)).withColumn("article_no", number).withColumn("body", body)
     return gate.prepare(rows)
 
@@ -365,16 +366,10 @@ def g9_inbound(spark, d):
     return references.inbound(edges, articles).groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
-def a9_silence(spark, d):
-    articles, edges = _edges(spark, d)
-    return references.silence(articles, edges, F.regexp_extract_all("body", F.lit("「([^」]+)」"), 1))
-
-
 @query
 def g11_reachable(spark, d):
     articles, edges = _edges(spark, d)
-    hits = articles.where(F.col("pos") % 10 == 0).select(F.col("pos").alias("query_id"), "record_id")
+    hits = articles.select(F.col("pos").alias("query_id"), "record_id")
     return references.reachable(hits, edges)
 
 

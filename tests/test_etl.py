@@ -69,11 +69,13 @@ def test_types_and_titles(spark):
     got = etl.normalize_types(table(spark, rows)).orderBy("pos").collect()
     assert (got[0].article_title, got[0].body) == ("적용 범위", "본문이 이어진다")
     assert [r.record_type for r in got] == [None, "부칙", "부칙"]
-    a = spark.createDataFrame([("1", "별표 1", "요금표(제22조의2 ③항의 관련)", "x"), ("1", "별표 2", "", "x"), ("1", "별표 3", "", "<p>\n첫 줄"), ("1", "별표 4", "", "<th>머리 <b>글</b></th>")], "source_key string, label string, title string, body string")
+    a = spark.createDataFrame([("1", "별표 1", "요금표(제22조의2 ③항의 관련)", "x"), ("1", "별표 2", "", "x"), ("1", "별표 3", "", "<p>\n첫 줄"), ("1", "별표 4", "", "<th></th><th>머리 <b>글</b></th><th> 머리  글 </th>"), ("1", "별표  5", "제목", "표 (제5조제2항 관련)\n글"), ("1", "별표  2", "", "")], "source_key string, label string, title string, body string")
     toc = spark.createDataFrame([("1", "별표 2", "목차 제목")], "source_key string, label string, title string")
     got = {r.label: r for r in etl.fill_titles(a, toc).collect()}
     assert got["별표 1"].title == "요금표" and tuple(got["별표 1"].delegating_article) == ("제22조의2", "③")
     assert [got[f"별표 {i}"].title_source for i in (1, 2, 3, 4)] == ["own", "contents", "first_line", "table_header"]
+    assert got["별표 4"].title == "머리 글" and got["별표  2"].title == "목차 제목"
+    assert (got["별표  5"].title, tuple(got["별표  5"].delegating_article)) == ("제목", ("제5조", "제2항"))
 
 
 def test_selection(spark):
