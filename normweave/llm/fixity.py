@@ -1,8 +1,10 @@
 """WARC fixity audit by Merkle trees.
 
-Pages are laid out as WARC/1.0 records, ordered by id and digest; each record is hashed. A tree node
+Records come from WARC files, split at their own lengths, or from pages laid out as WARC/1.0 records;
+ordered by id and digest, each is hashed. A tree node
 covers an ordered range of an archive: its digest is the hash of its children's keys, lengths and
-digests, its length their sum. A node's key is a prefix of the records' keys, so the trees of two
+digests, so of the offset ranges that follow from the lengths, and its length is their sum. The descent
+carries each branch's first byte down, and reports the byte range of every record that differs. A node's key is a prefix of the records' keys, so the trees of two
 replicas have the same shape even where records are missing or added, and both can be built where the
 replica lies. The roots are compared first; below a node that is equal nothing is read.
 
@@ -14,9 +16,16 @@ digits that all keys of both replicas begin with.
 
 from __future__ import annotations
 
+import hashlib
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .runtime import cut, table
 
 #: Hex digits of the id in a key, and of key and digest together; digits a level above the id and below it.
@@ -34,13 +43,93 @@ def warc_record(record_id: Column, url: Column, payload: Column, date: str = "20
     return F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
 
 
+_BEGIN = re.compile(rb"WARC/\d+\.\d+\r\n")
+_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
+_ID = re.compile(rb"(?im)^warc-record-id:[ \t]*<?([^>\r\n]*?)>?[ \t]*\r?$")
+
+
+def split_records(content: bytes) -> list[tuple[int, int, str | None, bool]]:
+    """(offset, length, record id, whether it is sound) of each record of a WARC file, in order.
+
+    A sound record has a version line, headers, as many bytes as its Content-Length says and the two line
+    ends after them. What is not sound reaches to the next sound beginning, so all bytes are in some record.
+    """
+    out: list[tuple[int, int, str | None, bool]] = []
+
+    def sound(at: int) -> tuple[int, str | None] | None:
+        head = content.find(b"\r\n\r\n", at)
+        if head < 0 or not _BEGIN.match(content, at):
+            return None
+        told, name = _LENGTH.search(content, at, head + 2), _ID.search(content, at, head + 2)
+        end = head + 8 + int(told[1]) if told else len(content) + 1
+        return (end, name[1].decode("utf-8", "replace") if name else None) if content[end - 4 : end] == b"\r\n\r\n" and end <= len(content) else None
+
+    at = 0
+    while at < len(content):
+        found = sound(at)
+        if found:
+            out.append((at, found[0] - at, found[1], True))
+            at = found[0]
+            continue
+        end = next((m.start() for m in _BEGIN.finditer(content, at + 1) if sound(m.start())), len(content))
+        name = _ID.search(content, at, end)
+        out.append((at, end - at, name[1].decode("utf-8", "replace") if name else None, False))
+        at = end
+    return out
+
+
+def unzipped(content: bytes) -> bytes:
+    """The bytes of a file of gzip members, or the content itself if it is none; what follows a broken member is lost with it."""
+    parts = []
+    while content[:2] == b"\x1f\x8b":
+        one = zlib.decompressobj(31)
+        try:
+            parts.append(one.decompress(content))
+        except zlib.error:
+            break
+        content = one.unused_data
+    return b"".join(parts) or content
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, length, record_id, sound, sha) of all records of the WARC files at path, plain or of gzip members.
+
+    Offsets of zipped files are those of their plain bytes. A file is read by one task.
+    """
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                content = unzipped(raw.as_py())
+                found = split_records(content)
+                sha = [hashlib.sha256(content[a : a + n]).hexdigest() for a, n, _, _ in found]
+                columns = [[file] * len(found), *([r[i] for r in found] for i in range(4)), sha]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "offset", "length", "record_id", "sound", "sha"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    return files.mapInArrow(run, "file string, offset bigint, length bigint, record_id string, sound boolean, sha string")
+
+
+def of_files(found: DataFrame) -> DataFrame:
+    """Records as `records` gives them, of what `read_warc` found: a page's number is the id, else a hash of the record id, null for none."""
+    page = F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1)
+    number = F.when(page != "", page.cast("long")).otherwise(F.when(F.col("record_id").isNotNull() & (F.col("record_id") != "urn:page:"), F.xxhash64("record_id")))
+    return keyed(found.select(number.alias("id"), "sha", "length"))
+
+
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """(id, key, sha, length, copies): equal records once. The pages' bytes are read here and not carried on.
 
     A null id has the key of sixteen zeros, as the lowest id would; their digests keep them apart.
     """
     raw = pages.select(F.col(id_col).cast("long").alias("id"), warc_record(F.col(id_col), F.col(url_col), F.col(payload_col)).alias("raw"))
-    hashed = raw.select("id", F.sha2("raw", 256).alias("sha"), F.octet_length("raw").cast("long").alias("length"))
+    return keyed(raw.select("id", F.sha2("raw", 256).alias("sha"), F.octet_length("raw").cast("long").alias("length")))
+
+
+def keyed(hashed: DataFrame) -> DataFrame:
+    """(id, key, sha, length, copies) of hashed records (id, sha, length)."""
     one = hashed.groupBy("id", "sha", "length").agg(F.count(F.lit(1)).alias("copies"))
     flipped = F.coalesce(F.col("id"), F.lit(-(1 << 63)).cast("long")).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
     return one.withColumn("key", F.concat(F.lower(F.lpad(F.hex(flipped), 16, "0")), F.substring("sha", 1, KEY - ID)))
@@ -85,11 +174,12 @@ class Tree:
 
 
 def audit(ours: Tree, theirs: Tree) -> DataFrame:
-    """Rows on which two replicas differ: id, state (changed, missing, added or copies), sha, length and copies of either side, and our offset.
+    """Rows on which two replicas differ: id, state (changed, missing, added or copies), sha, length and copies of either side, and our byte range.
 
     state: `changed` if both sides have records of the id with digests that the other lacks, `missing`
     if only we have the record, `added` if only they do, `copies` if its count differs. offset: bytes of
-    our archive before the record, or, for an added one, before its place.
+    our archive before the record, or, for an added one, before its place; ends: offset of the byte behind
+    our copies of it, the same for an added one.
     """
     spark = ours.records.sparkSession
     # Branches that differ; base: bytes of our archive before the branch.
@@ -120,7 +210,7 @@ def audit(ours: Tree, theirs: Tree) -> DataFrame:
         .when(F.col("copies_a").isNotNull(), "missing")
         .otherwise("added")
     )
-    return met.join(sides, "k").select("id", state.alias("state"), "sha", F.coalesce("base", "base_b").alias("offset"), F.coalesce("length_a", "length_b").alias("length"), F.coalesce("copies_a", F.lit(0)).alias("copies_here"), F.coalesce("copies_b", F.lit(0)).alias("copies_there"))
+    return met.join(sides, "k").select("id", state.alias("state"), "sha", F.coalesce("base", "base_b").alias("offset"), (F.coalesce("base", "base_b") + F.coalesce(F.col("length_a") * F.col("copies_a"), F.lit(0))).alias("ends"), F.coalesce("length_a", "length_b").alias("length"), F.coalesce("copies_a", F.lit(0)).alias("copies_here"), F.coalesce("copies_b", F.lit(0)).alias("copies_there"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -138,10 +228,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     replicas = [cut(records(p)) for p in (pages, damaged(pages))]
     ours, theirs = (Tree(r, shape(*replicas)) for r in replicas)
     found = cut(audit(ours, theirs))
-    known = found.where("copies_here > 0").select(F.struct("id", "sha").alias("k"), "state", "offset", "copies_there")
+    known = found.where("copies_here > 0").select(F.struct("id", "sha").alias("k"), "state", "offset", "ends", "copies_there")
     mine = ours.records.select(F.struct("id", "sha").alias("k"), F.col("id").alias("page_id"), "sha", "length", F.col("copies").alias("copies_here"))
-    rows = mine.join(known, "k", "left").select("page_id", F.col("sha").alias("record_sha256"), "length", F.coalesce("state", F.lit("intact")).alias("state"), "offset", "copies_here", F.coalesce("copies_there", "copies_here").alias("copies_there"))
-    other = found.where("copies_here = 0").select(F.col("id").alias("page_id"), F.col("sha").alias("record_sha256"), "length", "state", "offset", "copies_here", "copies_there")
+    rows = mine.join(known, "k", "left").select("page_id", F.col("sha").alias("record_sha256"), "length", F.coalesce("state", F.lit("intact")).alias("state"), "offset", "ends", "copies_here", F.coalesce("copies_there", "copies_here").alias("copies_there"))
+    other = found.where("copies_here = 0").select(F.col("id").alias("page_id"), F.col("sha").alias("record_sha256"), "length", "state", "offset", "ends", "copies_here", "copies_there")
     return rows.unionByName(other)
 
 
@@ -171,6 +261,7 @@ SELECT page_id, sha AS record_sha256, length,
   CASE WHEN copies_here = copies_there THEN 'intact' WHEN copies_here > 0 AND copies_there > 0 THEN 'copies'
        WHEN lost > 0 AND new > 0 THEN 'changed' WHEN copies_there = 0 THEN 'missing' ELSE 'added' END AS state,
   CASE WHEN copies_here = copies_there THEN NULL ELSE begins END AS offset,
+  CASE WHEN copies_here = copies_there THEN NULL ELSE CAST(begins + length * copies_here AS BIGINT) END AS ends,
   copies_here, copies_there
 FROM placed
 """

@@ -529,6 +529,39 @@ def plain_schedule(sizes, block):
     return out, shares
 
 
+def test_fixity_of_files(spark, tmp_path):
+    """Replicas as WARC files: a flipped byte, a lost record, a false length and a cut end are found with their bytes."""
+    import gzip
+
+    pages = spark.createDataFrame([(i, f"https://x/{i}", f"<p>{i}</p>\r\n\r\nWARC/1.0\r\n" * (i % 5)) for i in range(60)], "page_id long, url string, html string")
+    raw = [bytes(r.r) for r in pages.orderBy("page_id").select(fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("r")).collect()]
+    hurt = list(raw)
+    hurt[7] = hurt[7].replace(b"<p>7", b"<p>8")
+    hurt[21] = hurt[21].replace(b"Content-Length: ", b"Content-Length: 9")
+    del hurt[33]
+    for name, archive in (("ours", raw), ("theirs", hurt)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(b"".join(archive[:30]))
+        last = b"".join(archive[30:]) if name == "ours" else b"".join(archive[30:])[:-10]
+        (tmp_path / name / "b.warc.gz").write_bytes(b"".join(gzip.compress(last[k : k + 500]) for k in range(0, len(last), 500)))
+    found = {n: fixity.read_warc(spark, str(tmp_path / n)).collect() for n in ("ours", "theirs")}
+    assert [(r.offset, r.length, r.sound) for r in sorted(found["ours"], key=lambda r: (r.file, r.offset))][:2] == [(0, len(raw[0]), True), (len(raw[0]), len(raw[1]), True)]
+    assert all(r.sound for r in found["ours"]) and len(found["ours"]) == 60
+    for name, rows in found.items():
+        files = {}
+        for r in rows:
+            files[r.file] = files.get(r.file, 0) + r.length
+        assert files["a.warc"] == (tmp_path / name / "a.warc").stat().st_size  # all bytes are in some record
+    replicas = [runtime.cut(fixity.of_files(fixity.read_warc(spark, str(tmp_path / n)))) for n in ("ours", "theirs")]
+    ours, theirs = (fixity.Tree(r, fixity.shape(*replicas)) for r in replicas)
+    told = fixity.audit(ours, theirs).collect()
+    state = {r.id: r.state for r in told if r.copies_here}
+    assert state == {7: "changed", 21: "changed", 33: "missing", 59: "changed"}
+    whole = b"".join(raw)  # ids are in order, so the archive is the records as they came
+    assert all(whole[r.offset : r.ends] == raw[r.id] for r in told if r.copies_here)
+    assert fixity.split_records(b"") == [] and fixity.split_records(b"junk") == [(0, 4, None, False)]
+
+
 def test_mixing(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 4}") for i in range(900)] + [(None, None), (1, "hot"), (1, "hot"), (2000, None)] + [(7, "again")] * 300 + [(None, "s1")] * 100
     df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("position", F.lit("clash"))
