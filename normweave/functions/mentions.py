@@ -28,6 +28,8 @@ ARTICLE = re.compile(
     r"(?:[「｢『《‘“]\s*(?P<hard>[^」｣』》’”]{2,50}?)\s*[」｣』》’”]\s*)?(?P<bare>[가-힣A-Za-z·]{2,30})?\s*(?P<addendum>부칙)?\s*"
     r"제\s*(?P<no>\d+)\s*조(?:\s*의\s*(?P<sub>\d+))?(?:\s*제\s*(?P<clause>\d+)\s*항)?(?P<each>\s*각\s*호)?"
 )
+#: What a body with any mention has: an attachment, a delegation, an opening mark, the tail of a name, or an article.
+SIGN = r"별표|별지|정[한하]|[「｢『《‘“]|규정|지침|학칙|규칙|세칙|법|시행령|조례|정관|제(?U:\s*)\d"
 #: Marks that say which clause a delegation stands in.
 NEAR_MARKS = V.CLAUSE_MARKS[0][:15]
 

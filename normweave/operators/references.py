@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.mentions import NEAR_MARKS, mentions
+from ..functions.mentions import NEAR_MARKS, SIGN, mentions
 from ..functions.text import alternatives, blank
 
 EDGE = ["src_id", "raw", "kind", "target_rule", "target_article", "target_clause", "resolved", "dst_id", "reason_code", "reason", "clause", "delegate"]
@@ -55,8 +55,17 @@ def aliases(articles: DataFrame) -> DataFrame:
     return spelled.groupBy(F.col("x.alias").alias("alias")).agg(F.min(F.struct("x.way", "rule_name")).alias("m")).select("alias", "m.rule_name")
 
 
-def _by_alias(found: DataFrame, spellings: list[Column], known: DataFrame) -> DataFrame:
-    """found with `rule_<i>`: the rule that the i-th spelling is an alias of, by one join on all spellings."""
+#: Spellings of rules up to which they are sent to all tasks; more are met in a join by key.
+MOST_SPELLINGS = 100_000
+
+
+def _by_alias(found: DataFrame, spellings: list[Column], known: DataFrame, few: bool) -> DataFrame:
+    """found with `rule_<i>`: the rule that the i-th spelling is an alias of. few: known has at most MOST_SPELLINGS rows."""
+    if few:
+        for i, s in enumerate(spellings):
+            one = F.broadcast(known.select(F.col("alias").alias("__alias"), F.col("rule_name").alias(f"rule_{i}")))
+            found = found.join(one, s == F.col("__alias"), "left").drop("__alias")
+        return found
     listed = found.select("src_id", "type", "place", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), s.alias("alias")) for i, s in enumerate(spellings)])).alias("x"))
     met = listed.select("src_id", "type", "place", "x.*").join(known.withColumnRenamed("rule_name", "__rule"), "alias")
     each = met.groupBy("src_id", "type", "place").agg(*[F.max(F.when(F.col("i") == i, F.col("__rule"))).alias(f"rule_{i}") for i in range(len(spellings))])
@@ -88,10 +97,12 @@ def outbound(articles: DataFrame) -> DataFrame:
     may be any size. A record without mentions has no edges; null bodies have none. Records that share
     an id share its edges.
     """
-    base = articles.select(F.col("record_id").alias("src_id"), F.col("rule_name").alias("own_rule"), F.col("article_no").alias("own_no"), (F.length(blank(F.col("source_key"))) > 6).alias("regulation"), F.explode(mentions("body")).alias("m"))
+    # A body without any of these has no mention; it need not go to Python.
+    base = articles.where(F.col("body").rlike(SIGN)).select(F.col("record_id").alias("src_id"), F.col("rule_name").alias("own_rule"), F.col("article_no").alias("own_no"), (F.length(blank(F.col("source_key"))) > 6).alias("regulation"), F.explode(mentions("body")).alias("m"))
     found = base.select("src_id", "own_rule", "own_no", "regulation", "m.*").dropDuplicates(["src_id", "type", "place"]).persist()
-    known, places = aliases(articles), records(articles)
-    parts = [_attachments(found, articles, places), _delegations(found), *_rules(found, known), *_articles(found, known, places)]
+    known, places = aliases(articles).persist(), records(articles)
+    few = known.limit(MOST_SPELLINGS + 1).count() <= MOST_SPELLINGS
+    parts = [_attachments(found, articles, places), _delegations(found), *_rules(found, known, few), *_articles(found, known, few, places)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -122,9 +133,9 @@ def _delegations(found: DataFrame) -> DataFrame:
     return _edges(mine, kind=F.lit("unnamed_delegation"), reason_code=F.lit("unnamed_delegation"), reason=F.lit(REASONS["unnamed_delegation"]), clause=F.col("clause"), delegate=F.col("delegate"))
 
 
-def _rules(found: DataFrame, known: DataFrame) -> list[DataFrame]:
+def _rules(found: DataFrame, known: DataFrame, few: bool) -> list[DataFrame]:
     mine, name = found.where("type = 'rule'"), F.col("name")
-    mine = _by_alias(mine, [name, _close(name), _bare(name), _close(_bare(name))], known).withColumn("rule", F.coalesce(*[F.col(f"rule_{i}") for i in range(4)]))
+    mine = _by_alias(mine, [name, _close(name), _bare(name), _close(_bare(name))], known, few).withColumn("rule", F.coalesce(*[F.col(f"rule_{i}") for i in range(4)]))
     mine = _first(mine.where("not (rule <=> own_rule) or rule is null"), "name")
     law = is_external_law(name)
     return [
@@ -134,10 +145,10 @@ def _rules(found: DataFrame, known: DataFrame) -> list[DataFrame]:
     ]
 
 
-def _articles(found: DataFrame, known: DataFrame, places: DataFrame) -> list[DataFrame]:
+def _articles(found: DataFrame, known: DataFrame, few: bool, places: DataFrame) -> list[DataFrame]:
     mine = found.where("type = 'article'").withColumn("word", F.trim(blank(F.col("name"))))
     word, bare = F.col("word"), _bare(F.col("word"))
-    mine = _by_alias(mine, [word, bare], known)
+    mine = _by_alias(mine, [word, bare], known, few)
     other = (bare != "") & (bare != word)
     last = F.when(other, bare).otherwise(word)
     rule = (

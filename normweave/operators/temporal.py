@@ -52,14 +52,21 @@ def resolve_names(asked: DataFrame, names: DataFrame) -> DataFrame:
     """asked (query_id, text) with rule_name: the one rule a text speaks of, or null.
 
     The longest name that the text holds; else the only name that holds the text; else the only name with
-    the most of the text's words, common words not counted. names (rule_name, place) is a catalogue of
-    rules, small beside any table of articles; it is broadcast only below Spark's threshold.
+    the most of the text's words, common words not counted. names (rule_name, place) may be many: what
+    holds a string holds its first two characters, and on these texts and names are joined before they
+    are compared. Empty names and texts meet nothing.
     """
     text = F.trim(blank(F.col("text")))
     kept = F.filter(F.split(text, r"(?U)\s+"), lambda t: (F.length(t) >= 2) & ~t.isin(V.STOP_WORDS) & ~t.isin(V.GENERIC_TERMS))
     q = asked.withColumn("__text", text).withColumn("__words", kept)
-    # A theta join: containment has no key. One side is the catalogue.
-    met = q.where("__text != ''").join(names, F.col("__text").contains(F.col("rule_name")) | F.col("rule_name").contains(F.col("__text")) | F.exists("__words", lambda w: F.col("rule_name").contains(w)))
+    of = q.where("__text != ''").select("query_id", "__text", "__words")
+    held, head = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(F.substring(c, i, F.lit(1)), F.substring(c, i, F.lit(2)))))), lambda c: F.substring(c, 1, 2)
+    named = names.where("rule_name != ''")
+    inside = of.select("query_id", F.explode(held(F.col("__text"))).alias("key")).join(named.select("rule_name", head(F.col("rule_name")).alias("key")), "key")
+    starts = F.array_distinct(F.concat(F.array(head(F.col("__text"))), F.transform("__words", head)))
+    around = of.select("query_id", F.explode(starts).alias("key")).join(named.select("rule_name", F.explode(held(F.col("rule_name"))).alias("key")), "key")
+    near = inside.select("query_id", "rule_name").unionByName(around.select("query_id", "rule_name")).distinct()
+    met = near.join(of, "query_id").join(named, "rule_name").where(F.col("__text").contains(F.col("rule_name")) | F.col("rule_name").contains(F.col("__text")) | F.exists("__words", lambda w: F.col("rule_name").contains(w)))
     kind = F.when(F.col("__text").contains(F.col("rule_name")), 0).when(F.col("rule_name").contains(F.col("__text")), 1).otherwise(2)
     hits = F.size(F.filter("__words", lambda w: F.col("rule_name").contains(w)))
     points = F.when(kind == 0, F.length("rule_name")).when(kind == 1, 1).otherwise(hits)
