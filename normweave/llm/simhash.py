@@ -213,8 +213,8 @@ def block_masks(radius: int) -> list[int]:
     return [x | y for x, y in combinations(block, 2)]
 
 
-def in_runs(keys: DataFrame, compare: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], tuple[np.ndarray, ...]], names: tuple[str, ...] = ("a", "b")) -> DataFrame:
-    """Rows of longs (links a, b and what else names tells) that compare finds in the buckets of keys (t, k, and long columns), over runs as in `link_sorted`.
+def in_runs(keys: DataFrame, compare: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Links (a, b) that compare finds in the buckets of keys (t, k, and long columns), over runs as in `link_sorted`.
 
     compare(number of the run, slot, columns): sorted by run, slot and columns, runs whole. Buckets of one
     are left out; hot ones are cut into slots, and each pair of slots becomes a run.
@@ -233,7 +233,7 @@ def in_runs(keys: DataFrame, compare: Callable[[np.ndarray, np.ndarray, list[np.
         def link(rows: list[np.ndarray]) -> pa.RecordBatch:
             t, k, lo, hi, slot, *held = rows
             change = np.append(False, (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in compare(np.cumsum(change), slot, held)], names=list(names))
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in compare(np.cumsum(change), slot, held)], names=["a", "b"])
 
         for batch in batches:
             rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -249,7 +249,7 @@ def in_runs(keys: DataFrame, compare: Callable[[np.ndarray, np.ndarray, list[np.
         if kept:
             yield link(kept)
 
-    return runs.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return runs.mapInArrow(run, "a bigint, b bigint")
 
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
@@ -330,28 +330,23 @@ def node_of(texts: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "replace").lower().split())) for t in texts], np.uint64).view(np.int64)
 
 
-def _centred(number: np.ndarray, slot: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates (a, b, degree): of small runs all close pairs, of others each text b with the one that most are close to, and with its nearest.
-
-    a is the text of the pair that more texts of the run are close to, degree how many.
-    """
+def _centred(number: np.ndarray, slot: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates (a, b): of small runs all close pairs, of others each text with the one that most are close to, and with its nearest."""
     prints, nodes = held[0].view(np.uint64), held[1]
     starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
     sizes = np.diff(np.append(starts, len(number)))
     ends = np.repeat(starts + sizes, sizes)
     first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # places of candidates
-    degree = np.zeros(len(number), np.int64)
     shift, at = 1, np.flatnonzero(np.repeat(sizes <= FEW, sizes))
     while len(at := at[at + shift < ends[at]]):
         ok = at[close_pairs(prints[at], prints[at + shift], FAR)]
-        degree += np.bincount(ok, minlength=len(degree)) + np.bincount(ok + shift, minlength=len(degree))
         first.append(ok)
         second.append(ok + shift)
         shift += 1
     for s, n in zip(starts[sizes > FEW], sizes[sizes > FEW]):
-        values, mine, nearest = prints[s : s + n], degree[s : s + n], np.full(n, -1)
-        for x in range(0, n, QUERIES):
-            q = np.arange(x, min(n, x + QUERIES))
+        values, mine, nearest = prints[s : s + n], np.zeros(n, np.int64), np.full(n, -1)
+        for x in range(0, n, QUERIES // 4):
+            q = np.arange(x, min(n, x + QUERIES // 4))
             best = np.full(len(q), 65)
             for y in range(0, n, 64 * LANES):
                 part = np.arange(y, min(n, y + 64 * LANES))
@@ -372,9 +367,7 @@ def _centred(number: np.ndarray, slot: np.ndarray, held: list[np.ndarray]) -> tu
             first.append(s + other[ok])
             second.append(s + ok)
     x, y = np.concatenate(first), np.concatenate(second)
-    turn = (degree[y] > degree[x]) | ((degree[y] == degree[x]) & (nodes[y] < nodes[x]))
-    x, y = np.where(turn, y, x), np.where(turn, x, y)
-    return nodes[x], nodes[y], degree[x]
+    return nodes[x], nodes[y]
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -410,42 +403,57 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are SIMILAR or more. The members of one text's pairs are dealt to several tasks."""
+    parted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    left = parted.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    held = parted.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(left, ["a", "salt"])
+    return held.select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint")
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, node, root): the same root for texts that a chain of links joins, each of two texts whose sets of five-word shingles are 0.8 alike or more.
 
     Texts meet in buckets of least hashes; there fingerprints are compared by bit planes, and what is close
-    is verified by its shingles. In a round each text is held against its most central candidate that it has
-    not met, in the next against two, four and so on; of the texts that turn out alike one goes on, until no
-    pair is left. A bucket of many gives candidates about its centres and nearest neighbours only. A pair
+    is verified by its shingles: each text against its most central candidate, then against two, four and so
+    on that are not in its class yet. A bucket of many gives candidates about its centres and nearest
+    neighbours only; one text of each class goes into buckets again, until nothing is joined. A pair
     that never stands in one bucket, or whose fingerprints are over FAR apart, is not found: at a similarity
     of 0.8 less than 1 of 1,000 by the buckets, and less than 1 of 1,000 by the fingerprints.
     """
     prints = cut(sketched(docs))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")))
-    now, met, joined, most = nodes, None, None, 1
+    now = cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")))
+    met, joined = None, None
     while True:
         keys = now.select(F.posexplode("bands").alias("t", "k"), "fingerprint", "node")
-        found = in_runs(keys, _centred, ("a", "b", "degree")).where("a != b").groupBy("a", "b").agg(F.max("degree").alias("degree"))
-        if met is not None:
-            found = found.join(met, ["a", "b"], "left_anti").join(met.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("degree"), "a"))
-        pairs = cut(found.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b"))
-        if pairs.isEmpty():
+        found = in_runs(keys, _centred).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = cut(found if met is None else found.join(met, ["a", "b"], "left_anti"))
+        degree = cut(found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+        sets = cut(_sets(docs, now.select("node", "doc_id").join(degree, "node", "left_semi")))
+        # Of a pair, a is the one with more candidates.
+        both = found.join(degree.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(degree.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+        turn = (F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
+        todo = cut(both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("n_a", "n_b").alias("n")))
+        most, more, roots = 1, False, None
+        while not todo.isEmpty():
+            rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
+            ranked = todo.withColumn("rank", rank)
+            good = cut(_verified(ranked.where(F.col("rank") <= most).select("a", "b"), sets))
+            todo = ranked.where(F.col("rank") > most).drop("rank")
+            if not good.isEmpty():
+                more, joined = True, good if joined is None else cut(joined.unionByName(good))
+                roots = components(joined)
+                # Texts that are in one class by now need no test.
+                x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}")) for c in "ab")
+                todo = todo.join(x, "a", "left").join(y, "b", "left").where("r_a is null or r_b is null or r_a != r_b").select("a", "b", "n")
+            todo, most = cut(todo), 2 * most
+            forget(docs.sparkSession)
+        if not more:
             break
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = cut(_sets(docs, now.select("node", "doc_id").join(asked, "node", "left_semi")))
-        # The members of one text's pairs are dealt to several tasks.
-        dealt_out = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-        left = dealt_out.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        both = dealt_out.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(left, ["a", "salt"])
-        good = cut(both.select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint"))
-        met, most = pairs if met is None else cut(met.unionByName(pairs)), 2 * most
-        if not good.isEmpty():
-            joined = good if joined is None else cut(joined.unionByName(good))
-            # Of each class the text with the most links goes on.
-            ends = good.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-            centre = ends.join(components(good), "node").groupBy("root").agg(F.max(F.struct("n", "node")).alias("m")).select(F.col("m.node").alias("node"))
-            now = cut(now.join(ends.join(centre, "node", "left_anti"), "node", "left_anti"))
+        met = found if met is None else cut(met.unionByName(found))
+        # What has no candidates now gets none later; of each class the text of most candidates goes on.
+        classes = degree.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.max(F.struct("n", "node")).alias("m"))
+        now = cut(now.join(classes.select(F.col("m.node").alias("node")), "node", "left_semi"))
         forget(docs.sparkSession)
     if joined is None:
         return prints.select("doc_id", "node", F.col("node").alias("root"))
