@@ -33,8 +33,9 @@ OUTPUTS = {
 }
 _DDL = {"n_tokens": "bigint", "ids": "array<int>", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
-#: Entries of each of the two generations of the piece memo, of the pair memo and of the shared prefix table.
-MEMO, PAIRS, PREFIXES = 200_000, 300_000, 250_000
+#: Entries of each of the two generations of the piece memo, of the pair memo and of the shared prefix table; characters of
+#: the longest piece that is remembered.
+MEMO, PAIRS, PREFIXES, LONGEST = 200_000, 300_000, 250_000, 64
 
 #: Bytes up to which a string is short.
 SHORT = 32
@@ -188,6 +189,8 @@ class TextCodec:
                 if found is None:
                     ids = codec.bpe.encode(piece.encode())
                     found = (" ".join(map(str, ids)), codec.bpe.decode(ids))
+                if len(piece) > LONGEST:
+                    return found
                 if len(self) >= MEMO:
                     self.older = dict(self)
                     self.clear()

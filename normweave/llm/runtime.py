@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where the cluster names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; where none is named, a temporary one, but only in local mode."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
@@ -32,14 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     elif context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="normweave-checkpoint-")
         context.setCheckpointDir(named)
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder, so that nothing before them is run again."""
     shared_dir(df.sparkSession)
+    ship(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -76,6 +86,7 @@ def crc_bucket(key: Column, modulus: int) -> Column:
 
 def attach(df: DataFrame, names: list[str]) -> list[str]:
     """The columns of df that stay beside outputs of these names; an output replaces its namesake."""
+    ship(df.sparkSession)
     taken = {n.lower() for n in names}
     return [c for c in df.columns if c.lower() not in taken]
 
@@ -85,12 +96,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
     They are those of the smallest hashes of doc_id. An id labelled twice takes the larger label; null
     ids and labels are left out. The chosen ids, at most `rows` of them, are broadcast, so no text is
-    shuffled to find them.
+    shuffled to find them. Of an id on several rows the smallest text is taken, found before the shuffle.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_bucket(F.col("doc_id"), modulus) != held))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = usable.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    return docs.join(F.broadcast(chosen), docs.doc_id == chosen["__id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == chosen["__id"])
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

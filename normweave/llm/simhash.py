@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .graph import components
 from .runtime import cut, forget, pack, pieces, table, unpack
 
@@ -80,6 +81,7 @@ def with_fingerprint(docs: DataFrame, width: int = 3, text_col: str = "text", ke
             made = fingerprints([t.as_py() or "" for t in batch.column(len(keep))], width).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(made)], names=[*keep, name])
 
+    ship(docs.sparkSession)
     kinds = dict(docs.dtypes)
     return docs.select(*keep, docs[text_col]).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{name} bigint"]))
 
@@ -323,6 +325,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node_of(texts)), pa.array(majority(hashed).view(np.int64)), lists], names=["doc_id", "node", "fingerprint", "bands"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, node bigint, fingerprint bigint, bands array<bigint>")
 
 

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
 from .runtime import crc_bucket, cut, dealt, forget, pack, parts_of, table, unpack
 
 #: Times that a next token of a context must have been seen, and a context.
@@ -79,6 +80,7 @@ def chunked(rows: DataFrame) -> DataFrame:
     """Chunks of rows (doc_id, text, train): ids and train flags of their texts, their sizes in tokens, the
     hashes of the chunk's distinct words, the most frequent first, and each token's place among them."""
     kind = dict(rows.dtypes)["doc_id"]
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class Hashes(dict):
