@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..functions.ship import ship
 from ..operators import annotate, gate, operations, references, search, temporal
 
 NOT_FOUND = "해당 규정 미확인"
+#: Around the cited articles of an answer.
+HEADING, CAUTION = "다음 공식 조문 원문을 확인하세요.", "※ 실제 업무 적용 전 최신 개정 여부와 소관 부서 해석을 확인하세요."
+#: A question with a date behind it.
+AT_DATE = re.compile(r"@\s*(\d{4}-\d{2}-\d{2})\s*$")
 
 
 class InvalidArgument(ValueError):
@@ -61,9 +66,19 @@ class Engine:
     """The corpus `articles` (pos and the raw columns) and, if there is one, the lineage `versions`."""
 
     def __init__(self, articles: DataFrame, versions: DataFrame | None = None, hosts: dict[str, str] | None = V.SOURCE_HOSTS):
+        ship(articles.sparkSession)
         self.gated = gate.gate(gate.require(articles), hosts).persist()
         self.versions = versions
 
+    def close(self) -> None:
+        """Gives back what the engine keeps in memory."""
+        for name, held in list(self.__dict__.items()):
+            for df in (held,) if isinstance(held, DataFrame) else (held.terms, held.lengths) if isinstance(held, search.Index) else ():
+                if df.is_cached:
+                    df.unpersist()
+            if name in ("articles", "index", "edges"):
+                del self.__dict__[name]
+
     @cached_property
     def articles(self) -> DataFrame:
         return annotate.annotate(gate.accepted(self.gated)).persist()
@@ -111,8 +126,45 @@ class Engine:
             out["hint"] = {"kind": "no_such_concept" if words else "cross_reference", "unmatched": words}
         if not rows:
             out["text"] = NOT_FOUND
+        ranked.unpersist()
+        found.unpersist()
         return out
 
+    def answer(self, question, k=3, summary=None) -> dict:
+        """The first k articles whose addresses are official, cited whole, under a summary if it says nothing that they don't.
+
+        answered, text, sources, articles, and backend: `summary`, `original-text` or, without an answer, `none`.
+        """
+        none = {"answered": False, "text": NOT_FOUND, "sources": [], "articles": [], "backend": "none"}
+        if not isinstance(question, str) or not question.strip():
+            return none
+        found = self.search_rule(question.strip()[: V.QUERY_LENGTH], k)
+        if not found.get("results"):
+            return none
+        spark = self.articles.sparkSession
+        rows = [(r["rank"], r["rule_name"], r["article_no"], r["article_title"], r["body"], r["source_key"], r["source_url"]) for r in found["results"]]
+        held = spark.createDataFrame(rows, "rank int, rule_name string, article_no string, article_title string, body string, source_key string, source_url string")
+        held = held.where(gate.official_url(F.col("source_url"), F.col("source_key")))
+        cited = {r.rank: r.cited for r in held.select("rank", search.citation(*[F.col(c) for c in ("rule_name", "article_no", "article_title", "body", "source_url")]).alias("cited")).collect()}
+        articles = [r for r in found["results"] if r["rank"] in cited]
+        if not articles:
+            return none
+        proof = F.collect_list(F.struct("rule_name", "article_no", "article_title", "body"))
+        good = isinstance(summary, str) and bool(held.agg(proof.alias("p")).select(operations.evidence_holds(F.lit(summary), F.col("p"))).first()[0])
+        text = "\n\n".join([summary if good else HEADING, *(cited[r["rank"]] for r in articles), CAUTION])
+        sources = [{c: r[c] for c in ("rule_name", "article_no", "source_key", "source_url", "record_id", "revision")} for r in articles]
+        return {"answered": True, "text": text, "sources": sources, "articles": articles, "backend": "summary" if good else "original-text"}
+
+    @_answers
+    def query_at(self, request) -> dict:
+        """`get_article_as_of` for a text such as `name or question @YYYY-MM-DD`; the text before the date is the keyword too."""
+        asked = text_argument("request", request)
+        date = AT_DATE.search(asked)
+        name = AT_DATE.sub("", asked).strip()
+        if not date or not name:
+            raise InvalidArgument("request")
+        return self.get_article_as_of(name, date[1], name)
+
     @_answers
     def get_article(self, rule_name, article_no, record_id=None) -> dict:
         """Records of a name and number; the first is the main one."""

@@ -56,6 +56,11 @@ def read_store(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return rows.drop("_bad")
 
 
+def snapshot(listing: DataFrame, path: str) -> None:
+    """The listing as it was posted, JSON lines of name, key, division and source_url, in place of the last one."""
+    replace_table(listing.select("name", "key", "division", "source_url"), path, kind="json")
+
+
 def dashboard(title: str, tables: dict[str, DataFrame], rows: int = 50) -> str:
     """One HTML page of small tables, at most `rows` rows of each; every cell is escaped."""
     parts = [f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from normweave.functions import pii
 from normweave.functions.frames import keep_first, number
 from normweave.operators import annotate, classify, gate, operations as O, search, temporal
+from normweave.operators import etl, refresh
 from normweave.plans.api import Engine
 from normweave.sources import corpus, html, sinks
 from normweave.streaming import candidates as streams
@@ -168,3 +169,61 @@ def test_api(spark):
     assert engine.corpus_stats()["n_articles"] == len(CORPUS)
     related = engine.get_related_articles(got["article"]["record_id"])
     assert {r["direction"] for r in related["related"]} == {"inbound"} and related["unresolved"][0]["kind"] == "unnamed_delegation"
+
+
+def test_answers(spark):
+    engine = Engine(table(spark, CORPUS), versions(spark))
+    got = engine.answer("대출 권수")
+    assert got["answered"] and got["backend"] == "original-text" and got["text"].startswith("다음 공식") and "출처: https://www.jnu.ac.kr" in got["text"]
+    assert 1 <= len(got["sources"]) <= 3 and got["sources"][0]["article_no"] == "제2조" and got["sources"][0]["record_id"]
+    good = engine.answer("대출 권수", summary="학생은 도서 열 권을 대출할 수 있다.")
+    assert good["backend"] == "summary" and good["text"].startswith("학생은 도서")
+    assert engine.answer("대출 권수", summary="학생은 도서 99 권을 대출할 수 있다.")["backend"] == "original-text"
+    for nothing in ("", None, "우주 정거장"):
+        assert engine.answer(nothing) == {"answered": False, "text": "해당 규정 미확인", "sources": [], "articles": [], "backend": "none"}
+    assert engine.query_at("학칙 @2012-01-01")["label"] == "판 1"
+    assert [engine.query_at(x)["field"] for x in ("학칙", "@2012-01-01", "")] == ["request"] * 3
+    engine.close()
+    assert engine.search_rule("대출 권수")["status"] == "ok"
+
+
+def test_refresh(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    articles = table(spark, CORPUS)
+    articles.write.parquet(path)
+    new = articles.where("pos = 4").withColumn("pos", F.lit(90).cast("long")).withColumn("source_key", F.lit("900")).withColumn("rule_name", F.lit("새 지침"))
+    texts = spark.createDataFrame([("101", "[별표 9] 새 표\n긴 본문 한 줄\n"), ("950", "1. 가\n글\n2. 나\n글\n3. 다\n끝")], "source_key string, markdown string")
+    failures = spark.createDataFrame([("항목 지침", "950", "학생"), ("옛 지침(2012. 1. 1.)", "951", "학생"), ("이미", "101", "학생")], "rule_name string, source_key string, division string")
+    listing = spark.createDataFrame([("102", "장학금 새 이름")], "key string, name string")
+    sources = refresh.Sources(listing, new, texts, failures)
+    todo = refresh.steps(sources)
+    assert [n for n, _ in todo] == ["names", "collection", "record types", "structure", "attachments", "titles", "items"]
+    same = [("same", lambda a: a)]
+    refused = refresh.refresh(spark, path, same, {"never": lambda df: False})
+    assert refused["state"] == "failed" and refused["failed_checks"] == ["never"] and spark.read.parquet(path).count() == len(CORPUS)
+    broken = refresh.refresh(spark, path, [*same, ("broken", lambda a: a.select("no such column"))], {})
+    assert broken["state"] == "failed" and broken["done"] == ["same"] and spark.read.parquet(path).count() == len(CORPUS)
+    report = refresh.refresh(spark, path, todo, {"names": lambda df: df.where("rule_name is null").isEmpty()})
+    assert report["state"] == "changed" and report["after"]["n_articles"] == len(CORPUS) + 1 + 1 + 3
+    after = spark.read.parquet(path)
+    assert {r.rule_name for r in after.where("source_key = '102'").collect()} >= {"장학금 새 이름"}
+    assert sorted(r.article_no for r in after.where("source_key = '950'").collect()) == ["1.", "2.", "3."]
+    assert after.where("article_no = '별표 9'").first().rule_name == "도서관 이용 지침"
+    change = refresh.summary_change(articles, after).first()
+    assert (change.n_articles_added, change.n_articles_before) == (5, len(CORPUS))
+    assert refresh.refresh(spark, path, same, {})["state"] == "unchanged"
+
+
+def test_small_sinks(spark, tmp_path):
+    listing = spark.createDataFrame([("가", "1", "학생", "u", 1)], "name string, key string, division string, source_url string, more int")
+    for _ in range(2):
+        sinks.snapshot(listing, str(tmp_path / "snap"))
+    assert spark.read.json(str(tmp_path / "snap")).columns == ["division", "key", "name", "source_url"] and spark.read.json(str(tmp_path / "snap")).count() == 1
+    failures = spark.createDataFrame([("가", "fetch")], "rule_name string, stage string")
+    sinks.append_failures(failures, str(tmp_path / "failed"))
+    sinks.append_failures(failures, str(tmp_path / "failed"))
+    assert spark.read.json(str(tmp_path / "failed")).count() == 2
+    (tmp_path / "c.json").write_bytes(b"[]")
+    assert corpus.fingerprint(spark, str(tmp_path / "c.json")) == "4f53cda18c2baa0c"
+    same = spark.createDataFrame([("a",), ("a",), ("b",)], "record_id string")
+    assert etl.same_ids(same, same) and not etl.same_ids(same, same.distinct())
