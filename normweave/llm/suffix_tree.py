@@ -38,7 +38,7 @@ SEEN, CONTEXT = 3, 6
 #: What is taken off each count, and nats that each kept next token must gain.
 DISCOUNT, GAIN = 0.75, 1.0
 #: Tokens of a chunk (one text may have more), and distinct words whose hashes a task remembers.
-CHUNK, WORDS = 1 << 19, 400_000
+CHUNK, WORDS = 3 << 18, 400_000
 #: What the folds of the query are.
 FOLDS, HELD = 5, 1
 #: The end of a text, as a word; no word is empty.
