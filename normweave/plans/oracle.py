@@ -85,6 +85,20 @@ ver AS (
   SELECT doc_id, source AS base, source || CASE WHEN doc_id % 3 = 0 THEN ' (2012. 1. 2. 개정)' WHEN doc_id % 7 = 0 THEN ' (개정 전)' ELSE '' END AS rule_name,
     doc_id % 50 AS no, doc_id % 3 = 0 OR doc_id % 7 = 0 AS noted FROM documents
 )"""
+_DAMAGE = f"""
+cut AS (
+  SELECT doc_id, lang, string_split(replace(text, ', ', '?'), '?') AS p FROM documents
+), mark AS (
+  SELECT doc_id, lang, i, p[i] AS piece, CASE WHEN p[i] <> '' THEN right(p[i], 1) WHEN i = 1 THEN chr(10) ELSE '?' END AS before,
+    CASE WHEN p[i + 1] <> '' THEN left(p[i + 1], 1) WHEN i + 1 < len(p) THEN '?' ELSE '' END AS after FROM (SELECT *, unnest(range(1, len(p))) AS i FROM cut)
+), judged AS (
+  SELECT doc_id, lang, i, CASE
+    WHEN regexp_full_match(before, '[0-9A-Za-z가-힣]') AND regexp_full_match(after, '[0-9A-Za-z가-힣]') THEN '{V.DAMAGE_DOT}'
+    WHEN before = chr(10) OR (before = ' ' AND ends_with(rtrim(piece, ' '), chr(10))) THEN CASE WHEN after IN (' ', chr(160)) THEN '{V.DAMAGE_MARK}' ELSE '{V.DAMAGE_QUOTE}' END
+    WHEN regexp_full_match(after, '[가-힣A-Za-z]') THEN '{V.DAMAGE_QUOTE}' END AS kind FROM mark
+), kinds AS (
+  SELECT doc_id, lang, kind, min(i) AS first, count(*) AS n FROM judged WHERE kind IS NOT NULL GROUP BY ALL
+)"""
 _VALID = """
 o AS (
   SELECT 'rule ' || o_custkey AS rule_name, o_orderkey AS place, strftime(o_orderdate, '%Y-%m-%d') AS day,
@@ -141,6 +155,8 @@ cat AS (
 _QUESTION = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
 
 SQL: dict[str, str] = {
+    "l10_damage": f"WITH {_DAMAGE} SELECT doc_id, CAST(sum(n) AS INTEGER) AS suspect_marks, string_agg(kind, ',' ORDER BY first) AS kinds FROM kinds GROUP BY doc_id",
+    "a18_damage_inventory": f"WITH {_DAMAGE} SELECT kind, CASE WHEN starts_with(lang, '{V.REGULATION_PREFIX}') THEN 'regulation' ELSE 'guideline' END AS tier, count(*) AS n FROM kinds GROUP BY ALL",
     "l2_identity": f"WITH {_ARTICLES}, h AS (SELECT pos, source_key, CASE WHEN {_STRIP('article_title')} IN ('시행일', '경과조치', '종전지침 폐지', '재검토기한') OR starts_with(ltrim(body), '부칙') THEN '부칙' ELSE '본칙' END AS kind, article_no, article_title, body FROM articles), i AS (SELECT pos, source_key, kind, substr(sha256(concat_ws(chr(31), source_key, article_no, kind, {_STRIP('article_title')}, {_STRIP('body')})), 1, 16) AS id FROM h) SELECT pos AS doc_id, 'rule-' || source_key || '-' || id AS record_id, kind || '-' || substr(id, 1, 12) AS revision FROM i",
     "l3_gate": f"WITH {_GATE} SELECT doc_id, reason FROM judged",
     "l4_official_url": "SELECT page_id, coalesce(starts_with(url, 'https://') AND ((regexp_extract(url, '^https://([^/?#]+)', 1) || '.' LIKE '%.example.com.') OR (regexp_extract(url, '^https://([^/?#]+)', 1) || '.' LIKE '%.example.net.')) AND len(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: starts_with(p, 'page='))) = 1 AND list_contains(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), 'page=2'), false) AS official FROM pages",
