@@ -60,8 +60,8 @@ def line_fails(line: Column) -> Column:
         # A bar between spaces parts items; quotation marks hug their words.
         bars = F.size(F.split(bare, rf"(?<=[\x20\x09])[{BARS}]+(?=[\x20\x09])")) - 1
         # What is cheap and mostly false comes first: words are counted and bars looked for on few lines.
-        navigation = (F.length(_without(bare, BARS)) <= length - ITEMS) & (F.length(_without(bare, ENDS)) == length) & (bars >= ITEMS) & (words - bars <= ITEM_WORDS * (bars + 1))
-        noisy = (symbols >= 3) & (symbols * 20 > length)
+        navigation = bare.rlike(f"[{BARS}]") & (bars >= ITEMS) & ~bare.rlike(f"[{ENDS}]") & (words - bars <= ITEM_WORDS * (bars + 1))
+        noisy = bare.rlike(f"[{SYMBOLS}]") & (symbols >= 3) & (symbols * 20 > length)
         shouting = (F.upper(bare) == bare) & (F.lower(bare) != bare) & (words >= SHOUT)
         boilerplate = F.lower(bare).rlike(BOILERPLATE) & (words <= BOILER_WORDS)
         return navigation | noisy | shouting | boilerplate
@@ -74,7 +74,7 @@ def endless(paragraph: Column) -> Column:
 
     def judge(bare: Column) -> Column:
         words, lines = _n_words(bare), F.length(bare) - F.length(F.translate(bare, "\n", "")) + 1
-        return (F.length(_without(bare, ENDS)) == F.length(bare)) & (words >= PROSE) & (words >= WIDE * lines)
+        return ~bare.rlike(f"[{ENDS}]") & (words >= PROSE) & (words >= WIDE * lines)
 
     return let(F.btrim(paragraph, F.lit(SPACE)), judge)
 
