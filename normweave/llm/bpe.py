@@ -35,7 +35,7 @@ _DDL = {"n_tokens": "bigint", "ids": "array<int>", "ids_sha256": "string", "deco
 
 #: Entries of each of the two generations of the piece memo, of the pair memo and of the shared prefix table; characters of
 #: the longest piece that is remembered.
-MEMO, PAIRS, PREFIXES, LONGEST = 200_000, 300_000, 250_000, 64
+MEMO, PAIRS, PREFIXES, LONGEST = 150_000, 200_000, 150_000, 64
 
 #: Bytes up to which a string is short.
 SHORT = 32

@@ -418,8 +418,8 @@ def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, node, root): the same root for texts that a chain of links joins, each of two texts whose sets of five-word shingles are 0.8 alike or more.
 
     Texts meet in buckets of least hashes; there fingerprints are compared by bit planes, and what is close
-    is verified by its shingles: each text against its most central candidate, then against two, four and so
-    on that are not in its class yet. A bucket of many gives candidates about its centres and nearest
+    is verified by its shingles: each text against its most central candidate, then against four, sixteen and
+    so on that are not in its class yet. A bucket of many gives candidates about its centres and nearest
     neighbours only; one text of each class goes into buckets again, until nothing is joined. A pair
     that never stands in one bucket, or whose fingerprints are over FAR apart, is not found: at a similarity
     of 0.8 less than 1 of 1,000 by the buckets, and less than 1 of 1,000 by the fingerprints.
@@ -437,6 +437,8 @@ def similar(docs: DataFrame) -> DataFrame:
         both = found.join(degree.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(degree.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
         turn = (F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
         todo = cut(both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("n_a", "n_b").alias("n")))
+        del both
+        forget(docs.sparkSession)
         most, more, roots = 1, False, None
         while not todo.isEmpty():
             rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
@@ -449,7 +451,7 @@ def similar(docs: DataFrame) -> DataFrame:
                 # Texts that are in one class by now need no test.
                 x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}")) for c in "ab")
                 todo = todo.join(x, "a", "left").join(y, "b", "left").where("r_a is null or r_b is null or r_a != r_b").select("a", "b", "n")
-            todo, most = cut(todo), 2 * most
+            todo, most = cut(todo), 4 * most
             forget(docs.sparkSession)
         if not more:
             break
