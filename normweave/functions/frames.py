@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,3 +32,32 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     columns = df.columns
     first = F.min_by(F.struct(*columns), F.struct(*order))
     return df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(first.alias("__row")).select("__row.*").select(*columns)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; where none is named, a temporary one, but only in local mode."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = context.getCheckpointDir()
+    elif context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="normweave-checkpoint-")
+        context.setCheckpointDir(named)
+    return named
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, made once and without the plan that made them; for small tables that several branches of a plan read.
+
+    A cached table won't do: each scan of it is planned and logged with all that is below it, so branches of
+    branches multiply. Where no shared folder is named it has to.
+    """
+    try:
+        shared_dir(df.sparkSession)
+    except ValueError:
+        return df.persist()
+    return df.checkpoint(eager=True)

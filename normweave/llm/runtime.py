@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import shared_dir
 from ..functions.ship import ship
 
 #: Words of a text: runs of anything but the six ASCII white-space bytes.
@@ -24,22 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; where none is named, a temporary one, but only in local mode."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = context.getCheckpointDir()
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    if named is None:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="normweave-checkpoint-")
-        context.setCheckpointDir(named)
-    return named
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared one."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

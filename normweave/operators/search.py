@@ -1,7 +1,8 @@
 """Two-stage ranked search over a table of questions: one plan, whatever their number.
 
 Rules that a question is routed to are joined to its terms before anything is scored, so only their
-articles are; a question whose routed rows all fail is scored over all articles in a second step.
+articles are; a question whose routed rows all fail is scored over all articles in a second step. Which
+pairs of a question and an article share enough words is counted first, and only these are scored.
 """
 
 from __future__ import annotations
@@ -13,9 +14,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..functions.frames import settled
 from ..functions.text import blank, full_forms, let, occurrences, query_words, tokens
 
 
+#: Rows up to which a batch's terms, or the pairs left to be scored, are sent to all tasks; more are met in a join by key.
+MOST_SENT = 200_000
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """The rows, to be sent to all tasks if they are few."""
+    return F.broadcast(rows) if rows.limit(MOST_SENT + 1).count() <= MOST_SENT else rows
+
+
 @dataclass
 class Index:
     """articles (doc_id and all their columns); terms (doc_id, rule_name, term, tf, in_name, in_title, in_division);
@@ -56,9 +67,10 @@ def build(articles: DataFrame, only: DataFrame | None = None) -> Index:
     lengths = worded.select("doc_id", "rule_name", F.size("__tokens").alias("length"), "is_current", "is_repealed", "is_attachment")
     # A row holds all of its document's words, so they are counted inside it and only distinct terms leave it.
     terms = worded.select("doc_id", "rule_name", *sets, F.explode(counted(F.col("__tokens"))).alias("x")).select("doc_id", "rule_name", F.col("x.term").alias("term"), F.col("x.tf").alias("tf"), *sets)
-    if only is not None:
-        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
+    # Flags before the join: if the batch is too large to be sent, the words of names and titles don't go with each term.
     terms = terms.select("doc_id", "rule_name", "term", "tf", *[F.array_contains(k, F.col("term")).alias(k) for k in sets])
+    if only is not None:
+        terms = terms.join(sent(only.select("term").distinct()), "term", "left_semi")
     if only is not None:  # a few columns of a row for each article, and the batch's terms: read more than once, made once
         terms, lengths = terms.persist(), lengths.persist()
     totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
@@ -122,14 +134,14 @@ def route(index: Index, asked: DataFrame, top: int = V.ROUTE_TOP, ties: int = V.
     return passed.join(sizes, "query_id", "left_semi").select("query_id", "rule_name")
 
 
-def score(index: Index, questions: DataFrame, boosts: bool = True, routes: DataFrame | None = None) -> DataFrame:
+def score(index: Index, questions: DataFrame, boosts: bool = True, routes: DataFrame | None = None, pairs: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, rule_name, is_attachment, score, matched): scored articles that a question may use.
 
     questions: query_id, query, and flags include_superseded and include_repealed, false where missing.
-    routes (query_id, rule_name): only articles of these rules are scored.
+    routes (query_id, rule_name): only articles of these rules are scored. pairs (query_id, doc_id): only these are.
+    asked: the questions' `known_terms`, if they are there already.
     """
-    asked = known_terms(index, question_terms(questions))
-    asked, keys = (asked, ["term"]) if routes is None else (asked.join(routes, "query_id"), ["rule_name", "term"])
+    asked = known_terms(index, question_terms(questions)) if asked is None else asked
     flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) if c in questions.columns else F.lit(False).alias(c) for c in ("include_superseded", "include_repealed")]
     lengths = index.lengths.select("doc_id", "length", "is_current", "is_repealed", "is_attachment")
     norm = F.col("tf") + V.K1 * (1.0 - V.B + V.B * F.col("length") / F.lit(index.size[1]))
@@ -137,16 +149,41 @@ def score(index: Index, questions: DataFrame, boosts: bool = True, routes: DataF
     if boosts:
         for c, boost in (("in_name", V.BOOST_NAME), ("in_title", V.BOOST_TITLE), ("in_division", V.BOOST_DIVISION)):
             part = part + F.when(F.col(c), boost * F.col("idf")).otherwise(0.0)
-    met = index.terms.join(asked, keys).join(lengths, "doc_id").join(questions.select("query_id", *flags), "query_id")
+    if pairs is None:
+        asked, keys = (asked, ["term"]) if routes is None else (asked.join(routes, "query_id"), ["rule_name", "term"])
+        met = index.terms.join(asked, keys)
+    else:  # terms of an article are together from here on; only small tables come to them
+        terms = index.terms.join(pairs, "doc_id")
+        terms = terms if routes is None else terms.join(sent(routes), ["query_id", "rule_name"], "left_semi")
+        met = terms.join(sent(asked), ["query_id", "term"])
+    met = met.join(lengths, "doc_id").join(questions.select("query_id", *flags), "query_id")
     met = met.where((F.col("is_current") | F.col("include_superseded")) & (~F.col("is_repealed") | F.col("include_repealed")))
     matched = F.array_sort(F.collect_set(F.when(~is_gram(F.col("term")), F.col("term"))))
     return met.groupBy("query_id", "doc_id", "rule_name", "is_attachment").agg(F.round(F.sum(part), 9).alias("score"), matched.alias("matched"))
 
 
+def core_words(questions: DataFrame) -> DataFrame:
+    """(query_id, core): the forms of each word of a question that is not generic."""
+    listed = F.transform(query_words(F.col("query")), lambda w: full_forms(w))
+    return questions.select("query_id", F.filter(listed, lambda f: ~F.arrays_overlap(f, F.array(*map(F.lit, V.GENERIC_TERMS)))).alias("core"))
+
+
+def covered(index: Index, questions: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of all pairs that `relevant` can keep, and of some that it won't.
+
+    Forms of core words that stand in an article are counted, so a word counts once for each of its forms:
+    no fewer than the words that `relevant` counts. Nothing but a count is shuffled, summed up beforehand
+    by the task that reads the article; scores and matched words are made for these pairs only.
+    """
+    least = F.greatest(F.lit(1.0), V.COVERAGE * F.size("core"))
+    asked = core_words(questions).select("query_id", least.alias("least"), F.explode(F.flatten("core")).alias("term"))
+    counts = index.terms.join(sent(asked), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"))
+    return counts.where(F.col("n") >= F.col("least")).select("query_id", "doc_id")
+
+
 def relevant(scored: DataFrame, questions: DataFrame) -> DataFrame:
     """Scored rows in which enough of a question's core words stand, and one of them at least."""
-    listed = F.transform(query_words(F.col("query")), lambda w: full_forms(w))
-    asked = questions.select("query_id", F.filter(listed, lambda f: ~F.arrays_overlap(f, F.array(*map(F.lit, V.GENERIC_TERMS)))).alias("core"))
+    asked = core_words(questions)
     hits = F.size(F.filter("core", lambda f: F.arrays_overlap(f, F.col("matched"))))
     return scored.join(asked, "query_id").withColumn("hits", hits).where((F.col("hits") >= 1) & (F.col("hits") >= V.COVERAGE * F.size("core")) & (F.col("score") > 0)).drop("hits", "core")
 
@@ -154,15 +191,17 @@ def relevant(scored: DataFrame, questions: DataFrame) -> DataFrame:
 def ranked(index: Index, questions: DataFrame, default_k: int = 5) -> DataFrame:
     """(query_id, doc_id, rank, score, matched_terms, routing, is_attachment): up to 2k + 10 rows a question."""
     k = F.coalesce(F.col("k"), F.lit(default_k)) if "k" in questions.columns else F.lit(default_k)
-    asked = known_terms(index, question_terms(questions))
-    first = relevant(score(index, questions, routes=route(index, asked)), questions)
+    # Each of these is small, and several branches read it.
+    asked = settled(known_terms(index, question_terms(questions)))
+    pairs = sent(settled(covered(index, questions)))
+    first = settled(relevant(score(index, questions, routes=settled(route(index, asked)), pairs=pairs, asked=asked), questions))
     open_ones = questions.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    rows = first.withColumn("any", F.lit(True)).unionByName(relevant(score(index, open_ones), open_ones).withColumn("any", F.lit(False)))
+    rows = first.withColumn("any", F.lit(True)).unionByName(relevant(score(index, open_ones, pairs=pairs, asked=asked), open_ones).withColumn("any", F.lit(False)))
     rows = rows.join(questions.select("query_id", k.alias("k")), "query_id").where("k > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     rows = rows.withColumn("rank", rank).where(F.col("rank") <= 2 * F.col("k") + 10)
     routing = F.when(F.col("any"), "rule-first").otherwise("full-scan")
-    return rows.select("query_id", "k", "doc_id", "rank", F.round("score", 4).alias("score"), F.col("matched").alias("matched_terms"), routing.alias("routing"), "is_attachment")
+    return settled(rows.select("query_id", "k", "doc_id", "rank", F.round("score", 4).alias("score"), F.col("matched").alias("matched_terms"), routing.alias("routing"), "is_attachment"))
 
 
 def attachment_gate(rows: DataFrame, include: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -120,3 +120,35 @@ def test_attachments(spark, index):
     (shown,), _ = ask(spark, index, "연체료 표", include_attachments=True)
     top = shown[0]
     assert top.article_no == "별표 1" and len(top.body) == 200 and top.body_cut and top.n_tables == 1 and top.n_rows == 1
+
+
+def test_only_covered_pairs_are_scored(spark, index):
+    """A common word brings every article to every question; few of these pairs can stay, and no other is scored."""
+    q = spark.createDataFrame([(0, "대출 권수"), (1, "도서관 사항 우주 정거장 발사"), (2, "장학금 지급 신청"), (3, "승인 절차"), (4, None)], "query_id int, query string")
+    scored = search.score(index, q)
+    pairs = search.covered(index, q)
+    kept = {(r.query_id, r.doc_id) for r in search.relevant(scored, q).collect()}
+    held = {(r.query_id, r.doc_id) for r in pairs.collect()}
+    assert kept and kept <= held and len(held) < scored.count()
+    wanted = {tuple(r) for r in scored.join(pairs, ["query_id", "doc_id"]).select("query_id", "doc_id", "score").collect()}
+    assert {tuple(r) for r in search.score(index, q, pairs=pairs).select("query_id", "doc_id", "score").collect()} == wanted
+
+
+def test_same_rows_when_a_batch_is_too_large_to_be_sent(spark, monkeypatch):
+    q = spark.createDataFrame([(0, "대출 권수"), (1, "장학금 지급 신청")], "query_id int, query string")
+    articles = annotate.annotate(gate.accepted(gate.gate(table(spark, CORPUS))))
+
+    def found():
+        index = search.build(articles, search.question_terms(q))
+        return {tuple(r) for r in search.ranked(index, q).select("query_id", "doc_id", "rank", "score", "routing").collect()}
+
+    few = found()
+    monkeypatch.setattr(search, "MOST_SENT", 0)
+    assert few and found() == few
+
+
+def test_ranked_rows_come_without_their_plan(spark, index):
+    q = spark.createDataFrame([(0, "연체료 표", 1)], "query_id int, query string, k int")
+    results, omitted = search.attachment_gate(search.ranked(index, q))
+    plan = results.select("doc_id").unionByName(omitted.select("doc_id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan.splitlines()) < 60 and "InMemoryRelation" not in plan
