@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
 WIDTH, SIMILAR, FAR = 5, 0.8, 20
 #: Bands and the least hashes in each, by which similar texts meet: at 0.8 all but 4 of 10,000 pairs do.
 BANDS, ROWS = 20, 5
-#: Texts of a bucket up to which all close pairs are candidates; parts into which the members of one text's candidates are dealt.
+#: Texts of a bucket up to which all close pairs are candidates at once; parts into which the members of one text's candidates are dealt.
 FEW, SALTS = 8, 64
 
 _TURNS = np.random.default_rng(71).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
@@ -373,6 +373,29 @@ def _centred(number: np.ndarray, slot: np.ndarray, held: list[np.ndarray]) -> tu
     return nodes[x], nodes[y]
 
 
+def _across(number: np.ndarray, slot: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates (a, b): all close pairs of a run whose texts are in different classes; of a run of two slots those across them."""
+    prints, nodes, roots = held[0].view(np.uint64), held[1], held[2]
+    starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, n in zip(starts, np.diff(np.append(starts, len(number)))):
+        values, root, side = prints[s : s + n], roots[s : s + n], slot[s : s + n]
+        crossed = side[0] != side[-1]
+        for x in range(0, n, QUERIES // 4):
+            q = np.arange(x, min(n, x + QUERIES // 4))
+            for y in range(x, n, 64 * LANES):
+                part = np.arange(y, min(n, y + 64 * LANES))
+                out = (root[part][None, :] == root[q][:, None]) | (part[None, :] <= q[:, None])
+                if crossed:
+                    out |= side[part][None, :] == side[q][:, None]
+                if not out.all():
+                    i, j = np.nonzero(close_block(values[q], values[part], FAR, out))
+                    first.append(s + q[i])
+                    second.append(s + part[j])
+    x, y = np.concatenate(first), np.concatenate(second)
+    return nodes[x], nodes[y]
+
+
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles) of nodes (node, doc_id): the sorted distinct hashes' high 32 bits, read again from the documents of these ids."""
 
@@ -414,52 +437,66 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return held.select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint")
 
 
+def _joined(found: DataFrame, sets: DataFrame, joined: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """joined (a, b) with those of the candidates found that are SIMILAR, less some that it joins anyway; and its components."""
+    spark, roots = sets.sparkSession, None if joined is None else components(joined)
+    degree = cut(found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+    # Of a pair, a is the one with more candidates.
+    both = found.join(degree.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(degree.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+    turn = (F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
+    todo = cut(both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("n_a", "n_b").alias("n")))
+    del both, degree
+    forget(spark)
+    most = 1
+    while not todo.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
+        ranked = todo.withColumn("rank", rank)
+        good = cut(_verified(ranked.where(F.col("rank") <= most).select("a", "b"), sets))
+        todo = ranked.where(F.col("rank") > most).drop("rank")
+        if not good.isEmpty():
+            joined = good if joined is None else cut(joined.unionByName(good))
+            roots = components(joined)
+        if roots is not None:  # texts that are in one class by now need no test
+            x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}")) for c in "ab")
+            todo = todo.join(x, "a", "left").join(y, "b", "left").where("r_a is null or r_b is null or r_a != r_b").select("a", "b", "n")
+        todo, most = cut(todo), 4 * most
+        del ranked, good
+        forget(spark)
+    return joined, roots
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, node, root): the same root for texts that a chain of links joins, each of two texts whose sets of five-word shingles are 0.8 alike or more.
 
     Texts meet in buckets of least hashes; there fingerprints are compared by bit planes, and what is close
     is verified by its shingles: each text against its most central candidate, then against four, sixteen and
-    so on that are not in its class yet. A bucket of many gives candidates about its centres and nearest
-    neighbours only; one text of each class goes into buckets again, until nothing is joined. A pair
-    that never stands in one bucket, or whose fingerprints are over FAR apart, is not found: at a similarity
-    of 0.8 less than 1 of 1,000 by the buckets, and less than 1 of 1,000 by the fingerprints.
+    so on that are not in its class yet. Of a bucket of many the pairs about its centres and nearest
+    neighbours come first, since these join most of it; then all other close pairs that are still in
+    different classes. No bucket is cut off and no close pair left out. A pair that never stands in one
+    bucket, or whose fingerprints are over FAR apart, is not found: at a similarity of 0.8 less than 1 of
+    1,000 by the buckets, and less than 1 of 1,000 by the fingerprints.
     """
     prints = cut(sketched(docs))
     now = cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")))
-    met, joined = None, None
-    while True:
-        keys = now.select(F.posexplode("bands").alias("t", "k"), "fingerprint", "node")
-        found = in_runs(keys, _centred).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = cut(found if met is None else found.join(met, ["a", "b"], "left_anti"))
-        degree = cut(found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
-        sets = cut(_sets(docs, now.select("node", "doc_id").join(degree, "node", "left_semi")))
-        # Of a pair, a is the one with more candidates.
-        both = found.join(degree.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(degree.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-        turn = (F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
-        todo = cut(both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("n_a", "n_b").alias("n")))
-        del both
-        forget(docs.sparkSession)
-        most, more, roots = 1, False, None
-        while not todo.isEmpty():
-            rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
-            ranked = todo.withColumn("rank", rank)
-            good = cut(_verified(ranked.where(F.col("rank") <= most).select("a", "b"), sets))
-            todo = ranked.where(F.col("rank") > most).drop("rank")
-            if not good.isEmpty():
-                more, joined = True, good if joined is None else cut(joined.unionByName(good))
-                roots = components(joined)
-                # Texts that are in one class by now need no test.
-                x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}")) for c in "ab")
-                todo = todo.join(x, "a", "left").join(y, "b", "left").where("r_a is null or r_b is null or r_a != r_b").select("a", "b", "n")
-            todo, most = cut(todo), 4 * most
-            forget(docs.sparkSession)
-        if not more:
-            break
-        met = found if met is None else cut(met.unionByName(found))
-        # What has no candidates now gets none later; of each class the text of most candidates goes on.
-        classes = degree.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.max(F.struct("n", "node")).alias("m"))
-        now = cut(now.join(classes.select(F.col("m.node").alias("node")), "node", "left_semi"))
-        forget(docs.sparkSession)
+    keys = now.select(F.posexplode("bands").alias("t", "k"), "fingerprint", "node")
+    ordered = lambda found: found.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = cut(ordered(in_runs(keys, _centred)))
+    # A text that is close to any other of a bucket has a candidate by now, its nearest; all others are done.
+    sets = cut(_sets(docs, now.select("node", "doc_id").join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")))
+    forget(docs.sparkSession)
+    joined, roots = _joined(found, sets, None)
+    # The rest of the large buckets: every close pair that is not in one class yet. Classes only grow, so this leaves none.
+    rest = now.join(sets.select("node"), "node", "left_semi")
+    rest = rest.withColumn("root", F.col("node")) if roots is None else rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keys = cut(rest.select(F.posexplode("bands").alias("t", "k"), "fingerprint", "node", "root"))
+    mixed = keys.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where((F.col("n") > FEW) & (F.col("x") != F.col("y")))
+    left = cut(ordered(in_runs(keys.join(mixed.select("t", "k"), ["t", "k"], "left_semi"), _across)).join(found, ["a", "b"], "left_anti"))
+    del keys, mixed, rest, found
+    forget(docs.sparkSession)
+    if not left.isEmpty():
+        joined, _ = _joined(left, sets, joined)
+    del left, sets
+    forget(docs.sparkSession)
     if joined is None:
         return prints.select("doc_id", "node", F.col("node").alias("root"))
     roots = components(joined)

@@ -303,6 +303,21 @@ def test_near_copies_by_similarity(spark):
     assert simhash.one_of_each(empty(spark)).count() == 0
 
 
+def test_large_buckets_lose_no_link_between_classes(spark):
+    """A pair of different classes is a candidate, though neither is the other's centre or nearest, nor stands for its class."""
+    rng = np.random.default_rng(3)
+    centre, flips = rng.integers(0, 1 << 63, 1, np.uint64), rng.integers(0, 64, (60, 5))
+    prints = centre ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64), axis=1)
+    nodes, roots = np.arange(60), np.repeat([0, 1, 2], 20)
+    runs, slots = np.zeros(60, np.int64), np.repeat([0, 1], 30)
+    apart = np.bitwise_count(prints[:, None] ^ prints[None])
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if roots[i] != roots[j] and apart[i, j] <= simhash.FAR}
+    found = lambda slot: set(zip(*(x.tolist() for x in simhash._across(runs, slot, [prints.view(np.int64), nodes, roots]))))
+    assert found(runs) == want and found(slots) == {(i, j) for i, j in want if i < 30 <= j}
+    x, y = simhash._centred(runs, runs, [prints.view(np.int64), nodes])
+    assert want - {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
+
+
 def test_ids_on_several_rows_lose_no_component(spark):
     a, b, c, d = random_texts(4, seed=8, words=200)
     rows = [(1, a), (1, b), (1, b), (2, b), (1, c), (3, d), (0, d), (3, a), (None, "x y"), (None, "z"), (None, "z"), (None, a)]
