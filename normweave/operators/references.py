@@ -102,7 +102,7 @@ def outbound(articles: DataFrame) -> DataFrame:
     found = base.select("src_id", "own_rule", "own_no", "regulation", "m.*").dropDuplicates(["src_id", "type", "place"]).persist()
     known, places = aliases(articles).persist(), records(articles)
     few = known.limit(MOST_SPELLINGS + 1).count() <= MOST_SPELLINGS
-    parts = [_attachments(found, articles, places), _delegations(found), *_rules(found, known, few), *_articles(found, known, few, places)]
+    parts = [_attachments(found, articles, places), _delegations(found), _rules(found, known, few), *_articles(found, known, few, places)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -124,8 +124,11 @@ def _attachments(found: DataFrame, articles: DataFrame, places: DataFrame) -> Da
     return _edges(got, kind=F.when(F.col("hit"), "attachment").otherwise("attachment_not_collected"), target_rule=F.when(F.col("hit"), F.col("own_rule")), target_article=F.col("r.number"), resolved=F.col("hit"), dst_id=F.col("r.dst_id"), reason_code=code, reason=why)
 
 
-def _unresolved(found: DataFrame, kind: str) -> DataFrame:
-    return _edges(found, kind=F.lit(kind), reason_code=F.lit(kind), reason=F.lit(REASONS[kind]))
+def _unresolved(found: DataFrame, **columns: Column) -> DataFrame:
+    """Edges of found (with kind) that lead to no record; the kind is the reason, but for a rule as a whole."""
+    code = F.when(F.col("kind") != "rule_level", F.col("kind"))
+    why = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
+    return _edges(found, kind=F.col("kind"), reason_code=code, reason=F.try_element_at(why, code), **columns)
 
 
 def _delegations(found: DataFrame) -> DataFrame:
@@ -133,16 +136,13 @@ def _delegations(found: DataFrame) -> DataFrame:
     return _edges(mine, kind=F.lit("unnamed_delegation"), reason_code=F.lit("unnamed_delegation"), reason=F.lit(REASONS["unnamed_delegation"]), clause=F.col("clause"), delegate=F.col("delegate"))
 
 
-def _rules(found: DataFrame, known: DataFrame, few: bool) -> list[DataFrame]:
+def _rules(found: DataFrame, known: DataFrame, few: bool) -> DataFrame:
     mine, name = found.where("type = 'rule'"), F.col("name")
     mine = _by_alias(mine, [name, _close(name), _bare(name), _close(_bare(name))], known, few).withColumn("rule", F.coalesce(*[F.col(f"rule_{i}") for i in range(4)]))
     mine = _first(mine.where("not (rule <=> own_rule) or rule is null"), "name")
-    law = is_external_law(name)
-    return [
-        _edges(mine.where("rule is not null"), kind=F.lit("rule_level"), target_rule=F.col("rule")),
-        _unresolved(mine.where(F.col("rule").isNull() & law), "external_law"),
-        _unresolved(mine.where(F.col("rule").isNull() & ~law), "external_rule_unmatched"),
-    ]
+    # One branch with a kind for each row: a branch for each kind would look names up again.
+    kind = F.when(F.col("rule").isNotNull(), "rule_level").when(is_external_law(name), "external_law").otherwise("external_rule_unmatched")
+    return _unresolved(mine.withColumn("kind", kind), target_rule=F.col("rule"))
 
 
 def _articles(found: DataFrame, known: DataFrame, few: bool, places: DataFrame) -> list[DataFrame]:
@@ -180,7 +180,7 @@ def _articles(found: DataFrame, known: DataFrame, few: bool, places: DataFrame)
     why = F.when(repealed, REASONS["repealed_clause"]).when(~hit, REASONS["no_record"])
     shown = lambda c: F.when(hit, F.col(c))
     return [
-        *[_unresolved(far.where(F.col("kind") == k), k) for k in ("external_law", "external_law_unmatched")],
+        _unresolved(far),
         _edges(near, kind=F.when(repealed, "repealed_clause").otherwise(F.col("kind")), target_rule=shown("rule"), target_article=shown("article"), target_clause=shown("clause"), resolved=hit, dst_id=shown("dst_id"), reason_code=code, reason=why),
     ]
 
