@@ -47,6 +47,11 @@ def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
         spark.conf.set(name, before)
 
 
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """A table of few columns, of so many rows, read by no more tasks than it takes: parts of up to 1 << 18 rows, but one for each core."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows >> 18))
+
+
 def forget(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files and checkpoints that no table leads to any more; it does so only when the driver collects garbage."""
     gc.collect()

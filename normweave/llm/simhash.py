@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ship import ship
 from .graph import components
-from .runtime import cut, forget, pack, pieces, table, unpack
+from .runtime import cut, forget, in_few, pack, pieces, table, unpack
 
 #: Fingerprints of a slot of a hot bucket; queries, and lanes in words, that are compared at a time.
 CELL, QUERIES, LANES = 4096, 256, 64
@@ -290,8 +290,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
 WIDTH, SIMILAR, FAR = 5, 0.8, 20
 #: Bands and the least hashes in each, by which similar texts meet: at 0.8 all but 4 of 10,000 pairs do.
 BANDS, ROWS = 20, 5
-#: Texts of a bucket up to which all close pairs are candidates at once; parts into which the members of one text's candidates are dealt.
-FEW, SALTS = 8, 64
+#: Texts of a bucket up to which all close pairs are candidates at once; parts into which the members of one text's candidates are dealt;
+#: times as many candidates of a text that are tested in each next round.
+FEW, SALTS, MORE = 8, 64, 16
 
 _TURNS = np.random.default_rng(71).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 
@@ -437,10 +438,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return held.select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint")
 
 
-def _joined(found: DataFrame, sets: DataFrame, joined: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-    """joined (a, b) with those of the candidates found that are SIMILAR, less some that it joins anyway; and its components."""
-    spark, roots = sets.sparkSession, None if joined is None else components(joined)
-    degree = cut(found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+def _joined(found: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame | None:
+    """roots (node, root of its class, unless it is the root) after joining those of the candidates found that are SIMILAR; None: no class of several."""
+    spark = sets.sparkSession
+    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     # Of a pair, a is the one with more candidates.
     both = found.join(degree.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(degree.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
     turn = (F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("b") < F.col("a")))
@@ -448,29 +449,30 @@ def _joined(found: DataFrame, sets: DataFrame, joined: DataFrame | None) -> tupl
     del both, degree
     forget(spark)
     most = 1
-    while not todo.isEmpty():
+    while n := todo.count():
+        todo = in_few(todo, n)
         rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
         ranked = todo.withColumn("rank", rank)
         good = cut(_verified(ranked.where(F.col("rank") <= most).select("a", "b"), sets))
         todo = ranked.where(F.col("rank") > most).drop("rank")
-        if not good.isEmpty():
-            joined = good if joined is None else cut(joined.unionByName(good))
-            roots = components(joined)
+        if n := good.count():  # classes are stars already, so these and the new links take few rounds
+            good = in_few(good, n)
+            roots = components(good if roots is None else good.unionByName(roots.toDF("a", "b")))
         if roots is not None:  # texts that are in one class by now need no test
             x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}")) for c in "ab")
-            todo = todo.join(x, "a", "left").join(y, "b", "left").where("r_a is null or r_b is null or r_a != r_b").select("a", "b", "n")
-        todo, most = cut(todo), 4 * most
+            todo = todo.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b", "n")
+        todo, most = cut(todo), MORE * most
         del ranked, good
         forget(spark)
-    return joined, roots
+    return roots
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, node, root): the same root for texts that a chain of links joins, each of two texts whose sets of five-word shingles are 0.8 alike or more.
 
     Texts meet in buckets of least hashes; there fingerprints are compared by bit planes, and what is close
-    is verified by its shingles: each text against its most central candidate, then against four, sixteen and
-    so on that are not in its class yet. Of a bucket of many the pairs about its centres and nearest
+    is verified by its shingles: each text against its most central candidate, then against MORE times as many
+    that are not in its class yet, and so on. Of a bucket of many the pairs about its centres and nearest
     neighbours come first, since these join most of it; then all other close pairs that are still in
     different classes. No bucket is cut off and no close pair left out. A pair that never stands in one
     bucket, or whose fingerprints are over FAR apart, is not found: at a similarity of 0.8 less than 1 of
@@ -484,7 +486,7 @@ def similar(docs: DataFrame) -> DataFrame:
     # A text that is close to any other of a bucket has a candidate by now, its nearest; all others are done.
     sets = cut(_sets(docs, now.select("node", "doc_id").join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")))
     forget(docs.sparkSession)
-    joined, roots = _joined(found, sets, None)
+    roots = _joined(found, sets, None)
     # The rest of the large buckets: every close pair that is not in one class yet. Classes only grow, so this leaves none.
     rest = now.join(sets.select("node"), "node", "left_semi")
     rest = rest.withColumn("root", F.col("node")) if roots is None else rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -494,12 +496,11 @@ def similar(docs: DataFrame) -> DataFrame:
     del keys, mixed, rest, found
     forget(docs.sparkSession)
     if not left.isEmpty():
-        joined, _ = _joined(left, sets, joined)
+        roots = _joined(left, sets, roots)
     del left, sets
     forget(docs.sparkSession)
-    if joined is None:
+    if roots is None:
         return prints.select("doc_id", "node", F.col("node").alias("root"))
-    roots = components(joined)
     return prints.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from normweave.llm import bpe, fixity, mixing, quality, rules, runtime, secrets, simhash, suffix_tree, topk, toxicity
+from normweave.llm import bpe, fixity, graph, mixing, quality, rules, runtime, secrets, simhash, suffix_tree, topk, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", " \n\t ", "one", "a b c d e f g h i j k l", "Łódź é 你好 \U0001f600 word", "x " * 5000, "A" * 20_000, "same line\nsame line\nother.", "\x00\x1c weird \x85 end", None]
@@ -318,6 +318,32 @@ def test_large_buckets_lose_no_link_between_classes(spark):
     assert want - {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
 
 
+def test_components_in_few_rounds(spark, monkeypatch):
+    """Each round costs the driver plans and jobs; long paths, hubs at either end, cliques and loops take few of them."""
+    rng = random.Random(12)
+    name = rng.sample(range(-5000, 5000), 3000)
+    pairs = [(name[i], name[i + 1]) for i in range(999)] + [(9000, name[1000 + i]) for i in range(500)] + [(-9000, name[1500 + i]) for i in range(500)]
+    pairs += [(name[i], name[j]) for k in range(2000, 2900, 9) for i in range(k, k + 9) for j in range(k, i)] + [(name[2950], name[2950])]
+    rng.shuffle(pairs)
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df: (cuts.append(1), runtime.cut(df))[1])
+    got = graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    found = {r.node: r.root for r in got}
+    assert len(found) == len(got) and {i: found.get(i, i) for i in parent} == {i: find(i) for i in parent}
+    assert len(cuts) <= 3
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_ids_on_several_rows_lose_no_component(spark):
     a, b, c, d = random_texts(4, seed=8, words=200)
     rows = [(1, a), (1, b), (1, b), (2, b), (1, c), (3, d), (0, d), (3, a), (None, "x y"), (None, "z"), (None, "z"), (None, a)]
