@@ -55,16 +55,17 @@ class PrefixBPE:
         self.longest = max(map(len, ranks))
         self._valid: dict[int, bool] = {}
         self._pair: dict[tuple[int, int], bool] = {}
+        self._split: dict[int, tuple[int, int] | None] = {}
         self._known: dict[bytes, int] = {}
         #: What tokens end with: a token's own bytes lead to it, all others to -1.
         self._ending = {b[i:]: -1 for b in ranks for i in range(len(b))} | ranks
 
-    def _merged(self, data: bytes) -> list[int]:
-        """Encoding of a short string straight from the definition: merge the lowest rank first."""
+    def _merged(self, data: bytes, least: int = 1) -> list[int]:
+        """Encoding of a short string straight from the definition: merge the lowest rank first, down to `least` parts."""
         get, never = self.ranks.get, 1 << 40
         parts = [data[i : i + 1] for i in range(len(data))]
         ranks = [get(data[i : i + 2], never) for i in range(len(data) - 1)]
-        while ranks and (low := min(ranks)) < never:
+        while len(parts) > least and (low := min(ranks)) < never:
             at = ranks.index(low)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del ranks[at]
@@ -80,14 +81,41 @@ class PrefixBPE:
             ok = self._valid[token] = self._merged(self.bytes_of[token]) == [token]
         return ok
 
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge, the last one, makes a token; None of a byte, and of a token that its merges don't give."""
+        halves = self._split.get(token, 0)
+        if halves == 0:
+            parts = self._merged(self.bytes_of[token], 2) if self._alone(token) else []
+            halves = self._split[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return halves
+
     def _together(self, left: int, right: int) -> bool:
+        """Whether two tokens side by side stay as they are: taking merges back, the latest first, no pair across
+        the border may have a lower rank than the merge that has taken one of the two."""
         ok = self._pair.get((left, right))
         if ok is None:
             if len(self._pair) >= PAIRS:
                 self._pair.clear()
-            ok = self._pair[left, right] = self._merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            ok = self._pair[left, right] = self._stay(left, right)
         return ok
 
+    def _stay(self, left: int, right: int) -> bool:
+        if not (self._alone(left) and self._alone(right)):
+            return False
+        get, raw, halves = self.ranks.get, self.bytes_of, self._halves
+        x, y, limit = left, right, 1 << 40
+        while True:
+            across = get(raw[x] + raw[y])
+            if across is not None and across < limit:
+                return False
+            a, b = halves(x), halves(y)
+            if a and (not b or x > y):  # of equal ranks the left one merges first, so the right one is taken back first
+                limit, x = x, a[1]
+            elif b:
+                limit, y = y + 1, b[0]
+            else:
+                return True
+
     def _last(self, data: bytes, end: int, before: Callable[[int], int]) -> int:
         """The valid last token of data[:end]; before(i) has that of data[:i]."""
         ending, fits = self._ending, []

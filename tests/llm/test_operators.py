@@ -752,3 +752,19 @@ def test_trigram_queries_hold_for_matches():
     samples = {"assign": "Api_Key = abcdefgh", "access": "AKIA" + "A" * 16, "pem": "-----BEGIN PRIVATE KEY-----", "jwt": "eyJabcdefghij.abcdefghijk.abcdefghijk", "bearer": "Bearer " + "a" * 24, "urlauth": "ftp://user:pass@host", "prefixed": "ghp_" + "a" * 20}
     for kind, text in samples.items():
         assert kind in {scanner.rules[k].kind for _, k, _ in scanner.scan(["x", text, "y"])[1]}
+
+
+def test_pairs_of_tokens_by_taking_merges_back(monkeypatch):
+    """What merging both tokens' bytes anew would say, but nothing beyond single tokens is merged to know it."""
+    codec = bpe.PrefixBPE(bpe.read_ranks(open(bpe.vocabulary()[0], "rb").read()))
+    rng, ids, merged, whole = random.Random(6), list(codec.bytes_of), codec._merged, []
+    pairs = [(rng.choice(ids[:top]), rng.choice(ids[:top])) for top in (300, 2000, len(ids)) for _ in range(700)]
+    monkeypatch.setattr(codec, "_merged", lambda data, *least: (whole.append(data), merged(data, *least))[1])
+    found = [codec._together(x, y) for x, y in pairs]
+    assert all(data in codec.ranks for data in whole)
+    assert found == [merged(codec.bytes_of[x] + codec.bytes_of[y]) == [x, y] for x, y in pairs] and not all(found)
+    odd = bpe.PrefixBPE({b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"bc": 4, b"abc": 5, b"aa": 6, b"aab": 7})  # aab is not what its merges give
+    for n in range(1, 9):
+        for _ in range(60):
+            data = bytes(rng.choice(b"abc") for _ in range(n))
+            assert odd.encode(data) == ([odd.ranks[data]] if data in odd.ranks else odd._merged(data))
