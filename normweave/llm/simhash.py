@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from .graph import components
+from .graph import components, contracted
 from .runtime import cut, forget, in_few, pack, pieces, table, unpack
 
 #: Fingerprints of a slot of a hot bucket; queries, and lanes in words, that are compared at a time.
@@ -215,18 +215,22 @@ def block_masks(radius: int) -> list[int]:
     return [x | y for x, y in combinations(block, 2)]
 
 
-def in_runs(keys: DataFrame, compare: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def in_runs(keys: DataFrame, compare: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], tuple[np.ndarray, np.ndarray]], sets: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that compare finds in the buckets of keys (t, k, and long columns), over runs as in `link_sorted`.
 
     compare(number of the run, slot, columns): sorted by run, slot and columns, runs whole. Buckets of one
-    are left out; hot ones are cut into slots, and each pair of slots becomes a run.
+    are left out; hot ones are cut into slots, and each pair of slots becomes a run. sets (node, shingles):
+    what compare gets as last column for each node of keys.
     """
     columns = keys.columns[2:]
     sizes = keys.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cells = keys.join(sizes, ["t", "k"]).withColumn("slots", F.ceil(F.col("n") / CELL).cast("int"))
     cells = cells.withColumn("slot", F.pmod(F.xxhash64(*columns, "t"), F.col("slots")).cast("int"))
+    carried = columns
+    if sets is not None:
+        cells, carried = cells.join(sets, "node"), [*columns, "shingles"]
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-    cells = cells.select("t", "k", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "slot", *columns)
+    cells = cells.select("t", "k", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "slot", *carried)
     runs = cells.repartition("t", "k", "lo", "hi").sortWithinPartitions("t", "k", "lo", "hi", "slot", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,8 +295,8 @@ WIDTH, SIMILAR, FAR = 5, 0.8, 20
 #: Bands and the least hashes in each, by which similar texts meet: at 0.8 all but 4 of 10,000 pairs do.
 BANDS, ROWS = 20, 5
 #: Texts of a bucket up to which all close pairs are candidates at once; parts into which the members of one text's candidates are dealt;
-#: times as many candidates of a text that are tested in each next round.
-FEW, SALTS, MORE = 8, 64, 16
+#: times as many candidates of a text that are tested in each next round; sets of a bucket that are multiplied with queries at a time.
+FEW, SALTS, MORE, SETS = 8, 64, 16, 512
 
 _TURNS = np.random.default_rng(71).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 
@@ -375,12 +379,18 @@ def _centred(number: np.ndarray, slot: np.ndarray, held: list[np.ndarray]) -> tu
 
 
 def _across(number: np.ndarray, slot: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates (a, b): all close pairs of a run whose texts are in different classes; of a run of two slots those across them."""
+    """Candidates (a, b): all close pairs of a run whose texts are in different classes; of a run of two slots those across them.
+
+    With packed shingles as last column of held, links: the pairs are verified here, and for those that are SIMILAR
+    one pair of texts comes out of every two classes that they join, so fewer than the run has texts.
+    """
     prints, nodes, roots = held[0].view(np.uint64), held[1], held[2]
     starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
     first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s, n in zip(starts, np.diff(np.append(starts, len(number)))):
-        values, root, side = prints[s : s + n], roots[s : s + n], slot[s : s + n]
+        values, side = prints[s : s + n], slot[s : s + n]
+        _, root = np.unique(roots[s : s + n], return_inverse=True)  # of each text its class's number
+        shared = _Shared([_read(raw) for raw in held[3][s : s + n]]) if len(held) > 3 else None
         crossed = side[0] != side[-1]
         for x in range(0, n, QUERIES // 4):
             q = np.arange(x, min(n, x + QUERIES // 4))
@@ -389,14 +399,65 @@ def _across(number: np.ndarray, slot: np.ndarray, held: list[np.ndarray]) -> tup
                 out = (root[part][None, :] == root[q][:, None]) | (part[None, :] <= q[:, None])
                 if crossed:
                     out |= side[part][None, :] == side[q][:, None]
-                if not out.all():
-                    i, j = np.nonzero(close_block(values[q], values[part], FAR, out))
+                if out.all():
+                    continue
+                i, j = np.nonzero(close_block(values[q], values[part], FAR, out))
+                if shared is not None and len(i):
+                    i, j = (z[shared.similar(q[i], part[j])] for z in (i, j))
+                    u, v = contracted(root[q[i]], root[part[j]])
+                    # One text of each class: the classes that are joined now, by their smallest numbers.
+                    one = np.zeros(root.max() + 1, np.int64)
+                    one[root] = np.arange(n)
+                    first.append(s + one[v])
+                    second.append(s + one[u])
+                    to = np.arange(len(one))
+                    to[u] = v
+                    root = to[root]
+                else:
                     first.append(s + q[i])
                     second.append(s + part[j])
     x, y = np.concatenate(first), np.concatenate(second)
     return nodes[x], nodes[y]
 
 
+def _read(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw, np.uint32), dtype=np.uint32)
+
+
+class _Shared:
+    """Sets of one run, as columns of a matrix: a value for each that stands in several sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        several = times > 1
+        kept = several[number]
+        self.column = (np.cumsum(several) - 1)[number[kept]]
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(sets)), self.sizes)[kept], minlength=len(sets)))])
+        self.place = np.full(int(several.sum()), -1, np.int32)
+
+    def rows(self, members: np.ndarray, columns: int) -> np.ndarray:
+        """The members' sets as 0 and 1, in the columns that have a place."""
+        each = [self.place[self.column[self.ends[m] : self.ends[m + 1]]] for m in members]
+        at, row = np.concatenate(each), np.repeat(np.arange(len(members)), [len(e) for e in each])
+        out = np.zeros((len(members), columns), np.float32)
+        out[row[at >= 0], at[at >= 0]] = 1
+        return out
+
+    def similar(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of each pair (left[i], right[i]) whether it is SIMILAR or more."""
+        a, i = np.unique(left, return_inverse=True)
+        b, j = np.unique(right, return_inverse=True)
+        used = np.unique(np.concatenate([self.column[self.ends[m] : self.ends[m + 1]] for m in a]))
+        self.place[used] = np.arange(len(used))
+        mine, both = self.rows(a, len(used)), np.zeros((len(a), len(b)), np.float32)
+        for y in range(0, len(b), SETS):
+            both[:, y : y + SETS] = mine @ self.rows(b[y : y + SETS], len(used)).T
+        self.place[used] = -1
+        shared = both[i, j].astype(np.int64)
+        return shared >= SIMILAR * (self.sizes[left] + self.sizes[right] - shared)
+
+
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles) of nodes (node, doc_id): the sorted distinct hashes' high 32 bits, read again from the documents of these ids."""
 
@@ -420,11 +481,10 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, shingles of a, of b) those pairs that are SIMILAR or more."""
-    read = lambda raw: np.cumsum(unpack(raw, np.uint32), dtype=np.uint32)
     for batch in pieces(batches):
         good = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = read(x), read(y)
+            x, y = _read(x), _read(y)
             shared = len(x) + len(y) - len(_distinct(np.concatenate([x, y])))
             good.append(shared >= SIMILAR * (len(x) + len(y) - shared))
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
@@ -438,9 +498,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return held.select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint")
 
 
-def _joined(found: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame | None:
-    """roots (node, root of its class, unless it is the root) after joining those of the candidates found that are SIMILAR; None: no class of several."""
-    spark = sets.sparkSession
+def _joined(found: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(node, root of its class, unless it is the root) after joining those of the candidates found that are SIMILAR; None: no class of several."""
+    spark, roots = sets.sparkSession, None
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     # Of a pair, a is the one with more candidates.
     both = found.join(degree.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(degree.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
@@ -474,8 +534,8 @@ def similar(docs: DataFrame) -> DataFrame:
     is verified by its shingles: each text against its most central candidate, then against MORE times as many
     that are not in its class yet, and so on. Of a bucket of many the pairs about its centres and nearest
     neighbours come first, since these join most of it; then all other close pairs that are still in
-    different classes. No bucket is cut off and no close pair left out. A pair that never stands in one
-    bucket, or whose fingerprints are over FAR apart, is not found: at a similarity of 0.8 less than 1 of
+    different classes, verified where they meet, so that only links leave a task, fewer than it has texts.
+    No bucket is cut off and no close pair left out. A pair that never stands in one bucket, or whose fingerprints are over FAR apart, is not found: at a similarity of 0.8 less than 1 of
     1,000 by the buckets, and less than 1 of 1,000 by the fingerprints.
     """
     prints = cut(sketched(docs))
@@ -486,18 +546,20 @@ def similar(docs: DataFrame) -> DataFrame:
     # A text that is close to any other of a bucket has a candidate by now, its nearest; all others are done.
     sets = cut(_sets(docs, now.select("node", "doc_id").join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")))
     forget(docs.sparkSession)
-    roots = _joined(found, sets, None)
+    roots = _joined(found, sets)
     # The rest of the large buckets: every close pair that is not in one class yet. Classes only grow, so this leaves none.
     rest = now.join(sets.select("node"), "node", "left_semi")
     rest = rest.withColumn("root", F.col("node")) if roots is None else rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keys = cut(rest.select(F.posexplode("bands").alias("t", "k"), "fingerprint", "node", "root"))
     mixed = keys.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where((F.col("n") > FEW) & (F.col("x") != F.col("y")))
-    left = cut(ordered(in_runs(keys.join(mixed.select("t", "k"), ["t", "k"], "left_semi"), _across)).join(found, ["a", "b"], "left_anti"))
-    del keys, mixed, rest, found
+    # Pairs as rows would grow with the square of a bucket; so its texts' shingles come to it, and links leave.
+    good = cut(in_runs(keys.join(mixed.select("t", "k"), ["t", "k"], "left_semi"), _across, sets))
+    del keys, mixed, rest, found, sets
     forget(docs.sparkSession)
-    if not left.isEmpty():
-        roots = _joined(left, sets, roots)
-    del left, sets
+    if n := good.count():
+        good = in_few(good, n)
+        roots = components(good if roots is None else good.unionByName(roots.toDF("a", "b")))
+    del good
     forget(docs.sparkSession)
     if roots is None:
         return prints.select("doc_id", "node", F.col("node").alias("root"))

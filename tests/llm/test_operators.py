@@ -318,6 +318,39 @@ def test_large_buckets_lose_no_link_between_classes(spark):
     assert want - {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
 
 
+def test_links_not_pairs_leave_a_large_bucket():
+    """Of many near copies, close but mostly not alike, fewer rows come out than went in, and they join what all pairs would."""
+    rng = random.Random(9)
+    big = " ".join(f"w{rng.randint(0, 3000)}" for _ in range(150))
+    texts = [edited(rng, big, rng.choice([1, 3, 4, 5, 6])) for _ in range(300)]
+    hashed = simhash.hashes(texts, simhash.WIDTH)
+    sets = [simhash._distinct((h >> np.uint64(32)).astype(np.uint32)) for h in hashed]
+    packed = np.array([runtime.pack(np.diff(x, prepend=np.uint32(0))) for x in sets] + [None], object)[:-1]
+    prints, nodes = simhash.majority(hashed), np.arange(1000, 1300)
+    before = [*([0] * 5), *range(5, 300)]  # some are in one class already
+    close = np.bitwise_count(prints[:, None] ^ prints[None]) <= simhash.FAR
+    good = {(i, j) for i in range(300) for j in range(i) if close[i, j] and alike(set(sets[i].tolist()), set(sets[j].tolist()))}
+    assert np.triu(close, 1).sum() > 5 * len(good) > 0 < len({before[i] for i, _ in good})
+
+    def classes(links):
+        parent = list(before)
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, j in links:
+            x, y = sorted((find(i), find(j)))
+            parent[y] = x
+        return [find(i) for i in range(300)]
+
+    for slot, seen in ((np.zeros(300, np.int64), good), (np.repeat([0, 1], 150), {(i, j) for i, j in good if j < 150 <= i})):
+        a, b = simhash._across(np.zeros(300, np.int64), slot, [prints.view(np.int64), nodes, np.array(before), packed])
+        assert len(a) < 300 and classes(zip((a - 1000).tolist(), (b - 1000).tolist())) == classes(seen)
+        assert 1 < len(set(classes(seen))) < 296
+
+
 def test_components_in_few_rounds(spark, monkeypatch):
     """Each round costs the driver plans and jobs; long paths, hubs at either end, cliques and loops take few of them."""
     rng = random.Random(12)
