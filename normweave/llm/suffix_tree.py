@@ -9,9 +9,10 @@ all thresholds are counts, so the tree grows with the corpus; it ends where no c
 
 No task holds the tree. Texts lie in chunks of about CHUNK tokens. For each depth a chunk asks for the
 counts of its own distinct contexts and next tokens: 64-bit keys, sorted, as one array for each range of
-keys. A range adds up what all chunks have sent and answers every chunk in the order of its question.
-Chunks report each next token that counts once, contexts are judged from these reports by aggregations
-that combine before they shuffle, and chunks ask again which of their contexts have become states.
+keys. A range adds up what all chunks have sent and answers every chunk in the order of its question. Then chunks
+ask which of their contexts have become states, and with the question goes each next token that counts,
+from one chunk of those that have it; the range of a context judges it from these reports and answers.
+A chunk's state between depths is that after its counts: what they close is in the sums of the texts.
 
 A context is not extended if its kept next tokens, as the state predicts them, cost less than the least
 gain of a state in all: no extension could then pass the test, so nothing is lost. This ends the growth
@@ -20,8 +21,11 @@ inside copied passages, whose words soon follow from each other.
 
 from __future__ import annotations
 
+import gc
 import pickle
+import time
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,11 @@ FOLDS, HELD = 5, 1
 #: The end of a text, as a word; no word is empty.
 END = b""
 
+#: Steps of answers: a chunk's state, counts of words, counts at a depth; RESTS and the depth: what is left to the shorter states.
+STATE, FIRST, COUNTS, RESTS = -1, 0, 1, 1
+#: A next token of a context: the context's place in the question that it goes with.
+REPORT = np.dtype([("context", np.uint32), ("n", np.int64), ("total", np.int64), ("shorter", np.float64)])
+
 _CONTEXT_KEY = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -56,9 +65,19 @@ def mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted distinct keys, a place of each, and of each place its key's number."""
-    order = np.argsort(keys)
+    """The sorted distinct keys, a place of each, and of each place its key's number.
+
+    Sorts high bits of keys with places in the low ones, which numpy does several times faster than it finds
+    an order; where different keys agree in the high bits and come out of order, the order is found after all.
+    """
+    bits = np.uint64(max(1, len(keys) - 1).bit_length())
+    packed = keys >> bits << bits | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     ordered = keys[order]
+    if (ordered[1:] < ordered[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
     new = np.append(True, ordered[1:] != ordered[:-1])[: len(keys)]
     number = np.empty(len(keys), np.int64)
     number[order] = np.cumsum(new) - 1
@@ -131,10 +150,15 @@ def chunked(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"chunk bigint, ids array<{kind}>, train array<boolean>, sizes binary, words binary, local binary")
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    """Counts in half the bytes, if they fit."""
+    return x.astype(np.uint32) if x.max(initial=0) < 1 << 32 else x
+
+
 class Question:
     """Sorted keys with what they carry, still without an answer."""
 
-    def __init__(self, keys: np.ndarray, times: np.ndarray | None = None, reports: tuple[np.ndarray, ...] | None = None):
+    def __init__(self, keys: np.ndarray, times: np.ndarray | None = None, reports: np.ndarray | None = None):
         self.keys, self.times, self.reports = keys, times, reports
 
 
@@ -144,15 +168,20 @@ class Chunk:
     Of each token that a longer context may still move it has the place `at`, the probability `p` in the
     longest state so far, the hash of that `context`, how often the token was seen `before` there, and, if
     known already, the `total` of the next longer context. The other tokens are in the sums of their texts.
+    Once counts of a depth are known, `context`, `before` and `total` are those of the context asked for.
     """
 
     def __init__(self, row: dict):
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.local = unpack(row["local"], np.uint32)
+        self.packed = row["local"]
         self.sizes = unpack(row["sizes"], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.taught = np.array(row["train"], bool)
 
+    @cached_property
+    def local(self) -> np.ndarray:
+        return unpack(self.packed, np.uint32)
+
     def times(self, number: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
         """How often each of n numbers stands at a training token."""
         train = np.repeat(self.taught, self.sizes)
@@ -162,111 +191,141 @@ class Chunk:
         order = np.argsort(self.words)
         return Question(self.words[order], self.times(self.local, len(order))[order])
 
-    def begin(self, answer: np.ndarray, mass: float) -> None:
-        """Everything in the root, from the answer to `first`."""
+    def of_words(self, answer: np.ndarray) -> np.ndarray:
+        """How often each word was seen, from the answer to `first`."""
         times = np.empty(len(self.words), np.int64)
         times[np.argsort(self.words)] = answer >> 1
+        return times
+
+    def base(self, answer: np.ndarray, mass: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, its known tokens and its score in the root."""
+        times = self.of_words(answer)
+        return np.add.reduceat((times > 0).astype(np.int64)[self.local], self.starts), np.add.reduceat(np.log((times + 0.5) / mass)[self.local], self.starts)
+
+    def begin(self, answer: np.ndarray, mass: float) -> None:
+        """Everything in the root, from the answer to `first`."""
+        times = self.of_words(answer)
         share = (times + 0.5) / mass
-        count = times[self.local]
-        self.known = np.add.reduceat((count > 0).astype(np.int64), self.starts)
-        self.base = np.add.reduceat(np.log(share)[self.local], self.starts)
-        self.sums = np.zeros(len(self.sizes))
-        self.depth, self.often = 1, np.zeros(len(count), bool)
-        self.at, self.text = np.arange(len(count)), np.repeat(np.arange(len(self.sizes)), self.sizes)
-        last = np.append(0, count[:-1])
-        last[self.starts] = 0
-        self.p, self.before, self.total, self.context = share[self.local], count, last, np.zeros(len(count), np.uint64)
-        self.keep(last >= CONTEXT)
+        more = np.append(False, (times >= CONTEXT)[self.local[:-1]])
+        more[self.starts] = False
+        self.depth, self.often, self.pairs, self.at = 1, None, np.zeros(0, np.int64), np.flatnonzero(more)
+        logs = np.log(share)[self.local]
+        logs[self.at] = 0
+        self.sums = np.add.reduceat(logs, self.starts)
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)[self.at]
+        word = self.local[self.at]
+        self.p, self.before, self.total, self.context = share[word], times[word], times[self.local[self.at - 1]], np.zeros(len(word), np.uint64)
 
     def keep(self, more: np.ndarray) -> None:
-        self.sums = self.sums + np.bincount(self.text[~more], np.log(self.p[~more]), len(self.sums))
+        closed = np.flatnonzero(~more)
+        self.sums = self.sums + np.bincount(self.text[closed], np.log(self.p[closed]), len(self.sums))
+        more = np.flatnonzero(more)
         self.at, self.text, self.p, self.before, self.context, self.total = (x[more] for x in (self.at, self.text, self.p, self.before, self.context, self.total))
 
-    def one_word(self, pairs: np.ndarray, rest: np.ndarray) -> None:
-        """From the root to contexts of one word. pairs: how often a token and the one before stand together, if asked; rest: of each word's state."""
-        self.pairs, self.rest = pairs, rest
-        self.move(mix(self.context, self.words[self.local[self.at - 1]]), pairs[self.at], self.total, rest[self.local[self.at - 1]])
-
-    def move(self, context: np.ndarray, n: np.ndarray, total: np.ndarray, rest: np.ndarray) -> None:
-        """To contexts one word longer, where these are states. rest: not a number for no state, negative for one not to be extended."""
-        state = ~np.isnan(rest)
-        self.p = np.where(state, np.where(n >= SEEN, (n - DISCOUNT) / np.maximum(total, 1), 0.0) + np.abs(rest.astype(np.float64)) * self.p, self.p)
-        self.before, self.context = n, context
-        if self.depth == 1:
-            self.often, self.total = self.pairs >= CONTEXT, self.pairs[self.at - 1]
-        # The oldest two words of a context must have been seen as often as the context.
-        self.keep(state & (rest > 0) & (self.at - self.starts[self.text] > self.depth) & self.often[self.at - self.depth])
-        self.depth += 1
-
     def save(self) -> bytes:
-        compact = self.depth == 2 and len(self.at) > 0  # most tokens are open; this and the first answer are less than their places and probabilities
-        if compact:
-            arrays = [self.pairs, self.rest]
+        """After the counts of a depth. Of the first two depths only the counts: most tokens are open, and all else is found again in less than it takes."""
+        if self.depth <= 2:
+            arrays = [small(self.pairs if self.depth == 1 else self.before)]
         else:
-            arrays = [self.known, self.base, self.sums, np.diff(self.at, prepend=0).astype(np.uint32), self.p.astype(np.float32), self.before, np.packbits(self.often)]
-        return pickle.dumps((self.depth, compact, [(x.dtype.str, pack(x)) for x in arrays]))
+            often = np.packbits(self.often) if len(self.at) else np.zeros(0, np.uint8)
+            arrays = [self.sums, np.diff(self.at, prepend=0).astype(np.uint32), self.p.astype(np.float32), small(self.before), small(self.total), often]
+        return pickle.dumps((self.depth, [(x.dtype.str, pack(x)) for x in arrays]))
 
-    def load(self, state: bytes, first: np.ndarray, mass: float) -> None:
-        depth, compact, packed = pickle.loads(state)
+    def load(self, depth: int, packed: list[tuple[str, bytes]]) -> None:
+        """A state saved; one of the first two depths on top of what led there."""
         arrays = [unpack(raw, kind) for kind, raw in packed]
-        if compact:
-            self.begin(first, mass)
-            self.one_word(*arrays)
+        if depth <= 2:
+            counts = arrays[0].astype(np.int64)
+            if len(self.at) and depth == 1:
+                self.see(counts)
+            elif len(self.at):
+                self.context = mix(self.context, self.words[self.local[self.at - 2]])
+                self.keep(self.total >= CONTEXT)
+                self.before = counts
             return
-        self.depth, (self.known, self.base, self.sums, steps, p, self.before, often) = depth, arrays
-        self.at, self.p = np.cumsum(steps, dtype=np.int64), p.astype(np.float64)
-        self.total = np.zeros(len(self.at), np.int64)
-        self.often = np.unpackbits(often, count=len(self.local)).astype(bool)
+        self.depth, (self.sums, steps, p, before, total, often) = depth, arrays
+        self.at, self.p, self.before, self.total = np.cumsum(steps, dtype=np.int64), p.astype(np.float64), before.astype(np.int64), total.astype(np.int64)
         self.text = np.searchsorted(self.starts, self.at, side="right") - 1
         self.context = np.zeros(len(self.at), np.uint64)
-        for d in range(1, depth):
-            self.context = mix(self.context, self.words[self.local[self.at - d]])
-
-    def contexts(self, context: np.ndarray, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted distinct contexts, and the number of each that is seen enough."""
+        if len(self.at):
+            self.often = np.unpackbits(often, count=len(self.local)).astype(bool)
+            for d in range(1, depth + 1):
+                self.context = mix(self.context, self.words[self.local[self.at - d]])
+
+    def see(self, pairs: np.ndarray) -> None:
+        """The counts of contexts of one word. pairs: how often a token and the one before stand together, if asked."""
+        self.pairs, self.before = pairs, pairs[self.at]
+        self.context = mix(self.context, self.words[self.local[self.at - 1]])
+
+    def longer(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The contexts one word longer, the tokens whose counts there are asked, the places that counts are of, and their distinct keys as of `distinct`."""
+        context = mix(self.context, self.words[self.local[self.at - self.depth]])
+        # A next token can only be seen as often here as behind the shorter context. Counts of contexts of one or two words are known.
+        asked = np.flatnonzero(self.before >= SEEN)
+        keys = [mix(context[asked], self.words[self.local[self.at[asked]]])]
+        rest = [self.at] * (self.depth > 2)
+        return context, asked, np.concatenate([self.at[asked], *rest]), distinct(np.concatenate(keys + [mix(context, _CONTEXT_KEY) for _ in rest]))
+
+    def ask(self) -> Question:
+        """For the counts of next tokens in longer contexts."""
+        if not len(self.at):
+            return Question(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        *_, where, (keys, _, number) = self.longer()
+        return Question(keys, self.times(number, len(keys), where))
+
+    def counted(self, answer: np.ndarray) -> Question:
+        """The question after the answer to `ask`: which contexts are states."""
+        if not len(self.at):
+            return Question(np.zeros(0, np.uint64))
+        context, asked, _, (_, place, number) = self.longer()
+        n = np.zeros(len(self.at), np.int64)
+        n[asked] = (answer >> 1)[number[: len(asked)]]
+        # Of all chunks that asked for a next token, the one that was told so reports it.
+        one = np.zeros(len(self.at), bool)
+        one[asked[place[(answer & 1 == 1) & (place < len(asked))]]] = True
+        one &= n >= SEEN
+        if self.depth == 1:
+            pairs = np.zeros(len(self.local), np.int64)
+            pairs[self.at] = n
+            self.see(pairs)
+        else:
+            self.before, self.context = n, context
+            if self.depth > 2:
+                self.total = (answer >> 1)[number[len(asked) :]]
+            enough = self.total >= CONTEXT
+            self.keep(enough)
+            one = one[enough]
+        wanted, of = self.contexts()
+        reports = np.empty(np.count_nonzero(one), REPORT)
+        for name, x in (("context", of), ("n", self.before), ("total", self.total), ("shorter", self.p)):
+            reports[name] = x[one]
+        return Question(wanted, None, reports[np.argsort(reports["context"], kind="stable")])
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct contexts whose counts are known, and the number of each token's."""
         if self.depth > 1:
-            wanted, _, number = distinct(context[enough])
+            wanted, _, number = distinct(self.context)
             return wanted, number
-        before = self.local[self.at - 1][enough]  # contexts of one word are sorted by word
+        before = self.local[self.at - 1]  # contexts of one word are sorted by word
         used = np.flatnonzero(np.bincount(before, minlength=len(self.words)))
         keys = mix(np.zeros(len(used), np.uint64), self.words[used])
         order, number = np.argsort(keys), np.empty(len(self.words), np.int64)
         number[used[order]] = np.arange(len(used))
         return keys[order], number[before]
 
-    def advance(self, answers: list[np.ndarray]) -> Question | None:
-        """The next question after these answers, or None if no token's state can become longer."""
-        answers = list(answers)
-        while len(self.at):
-            depth, at = self.depth, self.at
-            context = mix(self.context, self.words[self.local[at - depth]])
-            # A next token can only be seen as often here as behind the shorter context. Counts of contexts of one or two words are known.
-            asked = np.flatnonzero(self.before >= SEEN)
-            mine = [mix(context[asked], self.words[self.local[at[asked]]])]
-            keys, place, number = distinct(np.concatenate(mine + [mix(context, _CONTEXT_KEY)] * (depth > 2)))
-            if not answers:
-                where = np.concatenate([at[asked]] + [at] * (depth > 2))
-                return Question(keys, self.times(number, len(keys), where))
-            answer = answers.pop(0)
-            n = np.zeros(len(at), np.int64)
-            n[asked] = (answer >> 1)[number[: len(asked)]]
-            total = self.total if depth <= 2 else (answer >> 1)[number[len(asked) :]]
-            enough = total >= CONTEXT
-            wanted, of = self.contexts(context, enough)
-            if not answers:
-                # Of all chunks that asked for a next token, the one that was told so reports it.
-                one = asked[place[(answer & 1 == 1) & (place < len(asked))]]
-                one = one[(n[one] >= SEEN) & enough[one]]
-                return Question(wanted, None, (context[one], n[one], total[one], self.p[one]))
-            rest = np.full(len(at), np.nan, np.float32)
-            rest[enough] = answers.pop(0)[of]
-            if depth == 1:
-                pairs, of_word = np.zeros(len(self.local), np.int64), np.full(len(self.words), np.nan, np.float32)
-                pairs[at], of_word[self.local[at - 1]] = n, rest
-                self.one_word(pairs, of_word)
-            else:
-                self.move(context, n, total, rest)
-        return None
+    def move(self, rests: np.ndarray) -> None:
+        """To the contexts asked for, where these are states. rests: not a number for no state, negative for one not to be extended."""
+        if not len(self.at):
+            self.depth += 1
+            return
+        rest = rests[self.contexts()[1]].astype(np.float64)
+        state = ~np.isnan(rest)
+        self.p = np.where(state, np.where(self.before >= SEEN, (self.before - DISCOUNT) / np.maximum(self.total, 1), 0.0) + np.abs(rest) * self.p, self.p)
+        if self.depth == 1:
+            self.often, self.total = self.pairs >= CONTEXT, self.pairs[self.at - 1]
+        # The oldest two words of a context must have been seen as often as the context.
+        self.keep(state & (rest > 0) & (self.at - self.starts[self.text] > self.depth) & self.often[self.at - self.depth])
+        self.depth += 1
 
     def scores(self) -> np.ndarray:
         return self.sums + np.bincount(self.text, np.log(self.p), len(self.sums))
@@ -282,35 +341,42 @@ _ASKED = "chunk bigint, part int, keys binary, times binary"
 
 
 def _questions(chunk: int, q: Question, bits: int, state: bytes | None = None) -> pa.RecordBatch:
-    """One row for each range that the question meets; reports are rows of part -1, a state that of part -2."""
+    """One row for each range that the question meets, with its times or reports; a state is the row of a negative part, which few chunks share."""
     ends = _ranges(q.keys, bits)
     met = np.flatnonzero(np.diff(ends)).tolist()
     keys = [pack_keys(q.keys[ends[i] : ends[i + 1]]) for i in met]
-    times = [pack(q.times[ends[i] : ends[i + 1]]) if q.times is not None else None for i in met]
-    if q.reports is not None and len(q.reports[0]):
-        met, keys, times = [*met, -1], [*keys, pack(q.reports[0])], [*times, pack(np.stack([x.astype(np.float64) for x in q.reports[1:]]))]
+    times: list[bytes | None] = [None] * len(met)
+    if q.times is not None:
+        times = [pack(q.times[ends[i] : ends[i + 1]]) for i in met]
+    elif q.reports is not None:
+        cuts = np.searchsorted(q.reports["context"], ends)
+        parted = [q.reports[cuts[i] : cuts[i + 1]].copy() for i in met]
+        for i, part in zip(met, parted):
+            part["context"] -= np.uint32(ends[i])
+        times = [pack(part) for part in parted]
     if state is not None:
-        met, keys, times = [*met, -2], [*keys, state], [*times, None]
+        met, keys, times = [*met, -1 - ((chunk >> 32) * 31 + chunk % (1 << 32)) % (1 << 30)], [*keys, state], [*times, None]
     return pa.RecordBatch.from_arrays([pa.array([chunk] * len(met), pa.int64()), pa.array(met, pa.int32()), pa.array(keys, pa.binary()), pa.array(times, pa.binary())], names=["chunk", "part", "keys", "times"])
 
 
-def _brought(held: pa.Table, answers: pa.Table, mass: float, last: int) -> tuple[int, Chunk, list[np.ndarray]]:
-    """A chunk as its last state or its first answer has it, and the answers after that up to step `last`, each in the order of its sorted question."""
+def _brought(held: pa.Table, answers: pa.Table, mass: float) -> tuple[int, Chunk, np.ndarray, np.ndarray]:
+    """A chunk as its first answer or its states, and the answers about their contexts, have it; the first answer and that of counts, each in the order of its sorted question."""
     row = held.to_pylist()[0]
-    found: dict[int, list[tuple[int, bytes]]] = {}
-    for step, part, raw in zip(answers["step"].to_pylist(), answers["part"].to_pylist(), answers["answer"].to_pylist()):
-        found.setdefault(step, []).append((part, raw))
-    chunk = Chunk(row)
-    first = np.concatenate([np.zeros(0, np.int64), *(unpack(raw, np.int64) for _, raw in sorted(found.get(0, [])))])
-    if -1 in found:
-        chunk.load(found[-1][0][1], first, mass)
-    else:
+    raw: dict[int, list[tuple[int, bytes]]] = {}
+    for step, part, answer in zip(answers["step"].to_pylist(), answers["part"].to_pylist(), answers["answer"].to_pylist()):
+        raw.setdefault(step, []).append((part, answer))
+
+    def found(step: int, kind: type) -> np.ndarray:  # a question of no keys has no answer
+        return np.concatenate([np.zeros(0, kind), *(unpack(x, kind) for _, x in sorted(raw.get(step, [])))])
+
+    chunk, first = Chunk(row), found(FIRST, np.int64)
+    states = sorted(pickle.loads(x) for _, x in raw.get(STATE, []))
+    if not states or states[0][0] == 1:
         chunk.begin(first, mass)
-    after = []
-    for step in range(2 * chunk.depth - 1, last + 1):  # a question of no keys has no answer
-        kind = np.int64 if step % 2 else np.float32
-        after.append(np.concatenate([np.zeros(0, kind), *(unpack(raw, kind) for _, raw in sorted(found.get(step, [])))]))
-    return row["chunk"], chunk, after
+    for depth, arrays in states:
+        chunk.load(depth, arrays)
+        chunk.move(found(RESTS + depth, np.float32))
+    return row["chunk"], chunk, first, found(COUNTS, np.int64)
 
 
 def _counted(asked: DataFrame, step: int) -> DataFrame:
@@ -337,47 +403,47 @@ def _counted(asked: DataFrame, step: int) -> DataFrame:
     return asked.groupBy("part").applyInArrow(add, "chunk bigint, step int, part int, answer binary, tokens bigint, kinds bigint")
 
 
-def _states(reports: DataFrame) -> DataFrame:
-    """(context, rest) of the contexts that are states; rest: the mass left to the shorter state, negative if no longer context can be one.
+def judge(reports: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n contexts the mass left to the shorter state, negative if no longer context can be one; not a number if it is no state.
 
-    reports (context, n, total, shorter): one row for each context and next token that counts.
+    reports: one for each context and next token that counts.
     """
-    of = reports.groupBy("context").agg(F.max("total").alias("of"), F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kept"), (1 - F.sum(F.col("n") - DISCOUNT) / F.max("total")).alias("rest"))
-    p = (F.col("n") - DISCOUNT) / F.col("total") + F.col("rest") * F.col("shorter")
-    each = reports.join(of.select("context", "rest"), "context").select("context", (F.col("n") * F.ln(p / F.col("shorter"))).alias("gain"), (-F.col("n") * F.ln(p)).alias("cost"))
-    gains = each.groupBy("context").agg(F.sum("gain").alias("gain"), F.sum("cost").alias("cost"))
-    judged = of.join(gains, "context").where(F.col("gain") + (F.col("of") - F.col("seen")) * F.ln("rest") >= GAIN * F.col("kept"))
-    return judged.select("context", F.when(F.col("cost") >= GAIN, F.col("rest")).otherwise(-F.col("rest")).alias("rest"))
-
-
-def _reported(asked: DataFrame) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, values in zip(batch.column(0), batch.column(1)):
-                n, total, shorter = unpack(values.as_py(), np.float64).reshape(3, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(keys.as_py(), np.int64)), pa.array(n), pa.array(total), pa.array(shorter)], names=["context", "n", "total", "shorter"])
-
-    return asked.where("part = -1").select("keys", "times").mapInArrow(rows, "context bigint, n double, total double, shorter double")
-
+    context, times, total = reports["context"], reports["n"].astype(np.float64), reports["total"].astype(np.float64)
+    kept, seen, of = np.bincount(context, minlength=n), np.bincount(context, times, n), np.full(n, np.nan)
+    of[context] = total
+    rest = 1 - np.bincount(context, times - DISCOUNT, n) / of
+    p = (times - DISCOUNT) / total + rest[context] * reports["shorter"]
+    gain, cost = np.bincount(context, times * np.log(p / reports["shorter"]), n), np.bincount(context, -times * np.log(p), n)
+    state = gain + (of - seen) * np.log(rest) >= GAIN * kept
+    return np.where(state, np.where(cost >= GAIN, rest, -rest), np.nan).astype(np.float32)
+
+
+def _told(asked: DataFrame, depth: int) -> DataFrame:
+    """Answers (chunk, step, part, answer): of each context asked for its state's rest, or not a number; and the states of chunks, as they are."""
+
+    def tell(rows: pa.Table) -> pa.Table:
+        step, out = RESTS + depth, rows["keys"]
+        if rows["part"][0].as_py() < 0:
+            step = STATE
+        else:
+            each = [unpack_keys(k) for k in out.to_pylist()]
+            keys, _, number = distinct(np.concatenate(each))
+            ends = np.cumsum([0, *map(len, each)])
+            parts = [unpack(r, REPORT) for r in rows["times"].to_pylist()]
+            reports = np.concatenate(parts)
+            reports["context"] = number[np.repeat(ends[:-1], [len(x) for x in parts]) + reports["context"]]
+            rest = judge(reports, len(keys))[number]
+            out = pa.array([pack(rest[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+        return pa.table({"chunk": rows["chunk"], "step": pa.array([step] * len(rows), pa.int32()), "part": rows["part"], "answer": out})
 
-def _told(asked: DataFrame, states: DataFrame, step: int, bits: int) -> DataFrame:
-    """Answers (chunk, step, part, answer): of each context asked for its state's rest, or not a number."""
+    return asked.groupBy("part").applyInArrow(tell, "chunk bigint, step int, part int, answer binary")
 
-    def tell(asked: pa.Table, states: pa.Table) -> pa.Table:
-        known = states["context"].to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        known, rest = known[order], np.append(states["rest"].to_numpy()[order], np.nan).astype(np.float32)
-        out = []
-        for raw in asked["keys"].to_pylist():
-            keys = unpack_keys(raw)
-            found = np.searchsorted(known, keys)
-            same = np.append(known, np.uint64(0))[found] == keys
-            out.append(pack(rest[np.where(same & (found < len(known)), found, len(known))]))
-        return pa.table({"chunk": asked["chunk"], "step": pa.array([step] * len(out), pa.int32()), "part": asked["part"], "answer": pa.array(out, pa.binary())})
 
-    part = F.shiftrightunsigned("context", 64 - bits).cast("int") if bits else F.lit(0)
-    parted = states.withColumn("part", part)
-    return asked.where("part >= 0").groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(tell, "chunk bigint, step int, part int, answer binary")
+def _let_go(spark: SparkSession) -> None:
+    """Forgets what Python has let go just now: py4j tells the JVM of that in a thread that looks once a second."""
+    gc.collect()
+    time.sleep(1.1)
+    forget(spark)
 
 
 def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -394,46 +460,48 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
     bits = max(1, parts - 1).bit_length()
     # Chunks lie where their answers will come to, so that they are dealt out once.
     chunks = dealt(chunked(rows), parts, "chunk")
-    forget(docs.sparkSession)
+    _let_go(docs.sparkSession)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 yield _questions(row["chunk"], Chunk(row).first(), bits)
 
-    counted = cut(_counted(chunks.mapInArrow(begin, _ASKED), 0))
+    counted = cut(_counted(chunks.mapInArrow(begin, _ASKED), FIRST))
     tokens, kinds = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     mass = tokens + 0.5 * (kinds + 1)
 
-    def turn(answers: DataFrame, last: int, saves: bool = False) -> DataFrame:
+    def turn(answers: DataFrame, known: bool) -> DataFrame:
+        """The questions for counts, or those after the counts are known, with the chunks' states."""
+
         def ask(held: pa.Table, answers: pa.Table) -> pa.Table:
-            number, chunk, after = _brought(held, answers, mass, last)
-            question = chunk.advance(after) or Question(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            number, chunk, _, counts = _brought(held, answers, mass)
+            question = chunk.counted(counts) if known else chunk.ask()
             pa.default_memory_pool().release_unused()
-            return pa.Table.from_batches([_questions(number, question, bits, chunk.save() if saves else None)])
+            return pa.Table.from_batches([_questions(number, question, bits, chunk.save() if known else None)])
 
         return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, _ASKED)
 
-    # States are written from the second depth on; before, chunks go back to their first answer.
+    # States of the first two depths need the answers before them.
     first = counted.drop("tokens", "kinds")
-    last, answers = 0, first
-    while not (counts := cut(_counted(turn(answers, last), last + 1)).drop("tokens", "kinds")).isEmpty():
-        forget(docs.sparkSession)
-        asked = cut(turn(answers.unionByName(counts), last + 1, last > 0))
-        if last:
-            answers = asked.where("part = -2").select("chunk", F.lit(-1).alias("step"), "part", F.col("keys").alias("answer"))
-        forget(docs.sparkSession)
-        answers = answers.unionByName(counts).unionByName(cut(_told(asked, cut(_states(_reported(asked))), last + 2, bits)))
-        if last == 2:
-            answers = answers.unionByName(first)
-        last += 2
-        del asked, counts
-        forget(docs.sparkSession)
+    depth, answers = 1, first
+    while True:
+        _let_go(docs.sparkSession)
+        counts = cut(_counted(turn(answers, False), COUNTS)).drop("tokens", "kinds")
+        if counts.isEmpty():
+            break
+        _let_go(docs.sparkSession)
+        told = cut(_told(turn(answers.unionByName(counts), True), depth))
+        answers = told if depth > 2 else answers.unionByName(told)
+        depth += 1
+        del counts, told
+    if depth > 3:
+        answers = answers.unionByName(first)
 
     def finish(held: pa.Table, answers: pa.Table) -> pa.Table:
-        _, chunk, after = _brought(held, answers, mass, last)
-        chunk.advance(after)
-        return pa.table({"doc_id": held["ids"].combine_chunks().flatten(), "n_tokens": pa.array(chunk.sizes), "n_known": pa.array(chunk.known), "base_score": pa.array(chunk.base / np.log(10)), "score": pa.array(chunk.scores() / np.log(10))})
+        _, chunk, first, _ = _brought(held, answers, mass)
+        known, base = chunk.base(first, mass)
+        return pa.table({"doc_id": held["ids"].combine_chunks().flatten(), "n_tokens": pa.array(chunk.sizes), "n_known": pa.array(known), "base_score": pa.array(base / np.log(10)), "score": pa.array(chunk.scores() / np.log(10))})
 
     scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

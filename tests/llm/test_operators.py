@@ -545,6 +545,28 @@ def test_suffix_tree_against_a_plain_one(spark, monkeypatch, chunk):
     assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
 
 
+def test_suffix_tree_writes_two_tables_a_depth(spark, monkeypatch):
+    """The ranges that know the counts also judge the contexts: counts and answers are all that a depth writes."""
+    written = []
+    monkeypatch.setattr(suffix_tree, "cut", lambda df: (written.append(df.columns), runtime.cut(df))[1])
+    texts = chained_texts(60)
+    _, states = plain_suffix_tree(texts, range(len(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    suffix_tree.score(df, F.lit(True))
+    assert len(states) > 3 and len(written) <= 2 + 2 * (len(states) - 1)  # of words and of no more keys besides
+
+
+def test_suffix_tree_keys():
+    """Keys that agree in their high bits and lie crosswise are told apart, and a place of each is its own."""
+    rng = np.random.default_rng(1)
+    for keys in (np.array([7, 5, 7, 5, 6, 5], np.uint64), rng.integers(0, 1 << 63, 1000).astype(np.uint64).repeat(2), np.array([1 << 63 | 1, 1 << 63], np.uint64), np.zeros(1, np.uint64), np.zeros(0, np.uint64)):
+        found, place, number = suffix_tree.distinct(keys)
+        assert (found == np.unique(keys)).all() and (keys[place] == found).all() and (found[number] == keys).all()
+    one = np.array([(1, 9, 10, 0.01)], suffix_tree.REPORT)
+    rest = suffix_tree.judge(one, 3)
+    assert np.isnan(rest[[0, 2]]).all() and math.isclose(abs(rest[1]), 1 - (9 - suffix_tree.DISCOUNT) / 10, rel_tol=1e-6)
+
+
 def test_suffix_tree_grows_with_the_corpus():
     """Thresholds are counts: what is seen often enough in a corpus stays a state whatever is added to it."""
     texts = chained_texts(200)
