@@ -55,33 +55,36 @@ def aliases(articles: DataFrame) -> DataFrame:
     return spelled.groupBy(F.col("x.alias").alias("alias")).agg(F.min(F.struct("x.way", "rule_name")).alias("m")).select("alias", "m.rule_name")
 
 
-#: Spellings of rules up to which they are sent to all tasks; more are met in a join by key.
-MOST_SPELLINGS = 100_000
+def _named(found: DataFrame, known: DataFrame) -> DataFrame:
+    """found with what names of rules (of type rule) and words before articles (of type article) say.
 
-
-def _by_alias(found: DataFrame, spellings: list[Column], known: DataFrame, few: bool) -> DataFrame:
-    """found with `rule_<i>`: the rule that the i-th spelling is an alias of. few: known has at most MOST_SPELLINGS rows."""
-    if few:
-        for i, s in enumerate(spellings):
-            one = F.broadcast(known.select(F.col("alias").alias("__alias"), F.col("rule_name").alias(f"rule_{i}")))
-            found = found.join(one, s == F.col("__alias"), "left").drop("__alias")
-        return found
-    listed = found.select("src_id", "type", "place", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), s.alias("alias")) for i, s in enumerate(spellings)])).alias("x"))
-    met = listed.select("src_id", "type", "place", "x.*").join(known.withColumnRenamed("rule_name", "__rule"), "alias")
-    each = met.groupBy("src_id", "type", "place").agg(*[F.max(F.when(F.col("i") == i, F.col("__rule"))).alias(f"rule_{i}") for i in range(len(spellings))])
-    return found.join(each, ["src_id", "type", "place"], "left")
-
-
-def _first(found: DataFrame, *keys: str) -> DataFrame:
-    """Of mentions of a record that are alike in keys, the first."""
-    at = Window.partitionBy("src_id", *keys).orderBy("place")
-    return found.withColumn("__n", F.row_number().over(at)).where("__n = 1").drop("__n")
-
-
-def _edges(found: DataFrame, **columns: Column) -> DataFrame:
-    null = F.lit(None).cast("string")
-    given = {"src_id": F.col("src_id"), "raw": F.col("raw"), "resolved": F.lit(False)} | columns
-    return found.select(*[given.get(c, null).alias(c) for c in EDGE], F.col("place"))
+    whole, told: the rule that a name or the word before an article is an alias of, as written, without a
+    particle, and for names also without spaces; goes: own, told, nowhere, or open (the own rule's article,
+    if it is not quoted); law, outside: whether a name or a word is of external law.
+    Each name is looked up and judged once, not at each of its mentions.
+    """
+    asked = F.when(F.col("type") == "rule", F.col("name")).when(F.col("type") == "article", F.trim(blank(F.col("name"))))
+    found, name = found.withColumn("asked", asked), F.col("asked")
+    spellings = [name, _close(name), _bare(name), _close(_bare(name))]
+    ways = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("alias")) for i, x in enumerate(spellings)])
+    listed = found.select("asked").where("asked != ''").distinct().select("asked", F.explode(ways).alias("x")).select("asked", "x.*")
+    each = listed.join(known, "alias", "left").groupBy("asked").agg(*[F.max(F.when(F.col("i") == i, F.col("rule_name"))).alias(f"rule_{i}") for i in range(len(spellings))])
+    each = each.withColumn("bare", _bare(name))
+    bare = F.col("bare")
+    each = each.withColumn("other", (bare != "") & (bare != name)).withColumn("last", F.when(F.col("other"), bare).otherwise(name))
+    other, last = F.col("other"), F.col("last")
+    each = each.withColumn("word_law", _known_law(name)).withColumn("bare_law", other & _known_law(bare)).withColumn("tail_law", _ends(last, V.LAW_TAIL_NAMED) & ~_ends(last, V.NOT_A_LAW_TAIL))
+    goes = (
+        F.when(name.isin(V.VAGUE), "own")
+        .when(F.col("rule_0").isNotNull(), "told")
+        .when(F.col("word_law"), "nowhere")
+        .when(other & bare.isin(V.VAGUE), "own")
+        .when(other & F.col("rule_2").isNotNull(), "told")
+        .when(F.col("bare_law") | F.col("tail_law"), "nowhere")
+        .otherwise("open")
+    )
+    said = each.select("asked", F.coalesce(*[F.col(f"rule_{i}") for i in range(len(spellings))]).alias("whole"), F.coalesce("rule_0", "rule_2").alias("told"), goes.alias("goes"), is_external_law(name).alias("law"), F.expr("word_law or bare_law or tail_law").alias("outside"))
+    return found.join(said, "asked", "left")
 
 
 def records(articles: DataFrame) -> DataFrame:
@@ -93,96 +96,93 @@ def records(articles: DataFrame) -> DataFrame:
 def outbound(articles: DataFrame) -> DataFrame:
     """Edges (EDGE and place) of all mentions in articles (pos, record_id, rule_name, article_no, body, source_key, record_type).
 
-    Bodies are read once, in Arrow batches; what follows are joins on names and numbers, so the corpus
-    may be any size. A record without mentions has no edges; null bodies have none. Records that share
-    an id share its edges.
+    Bodies are read once, in Arrow batches; what follows are one join on names, one on numbers and one
+    window for all types of mentions, so the corpus may be any size and the plan stays small: a branch for
+    each type filled the driver's memory. A record without mentions has no edges; null bodies have none.
+    Records that share an id share its edges.
     """
     # A body without any of these has no mention; it need not go to Python.
     base = articles.where(F.col("body").rlike(SIGN)).select(F.col("record_id").alias("src_id"), F.col("rule_name").alias("own_rule"), F.col("article_no").alias("own_no"), (F.length(blank(F.col("source_key"))) > 6).alias("regulation"), F.explode(mentions("body")).alias("m"))
     found = base.select("src_id", "own_rule", "own_no", "regulation", "m.*").dropDuplicates(["src_id", "type", "place"]).persist()
-    known, places = aliases(articles).persist(), records(articles)
-    few = known.limit(MOST_SPELLINGS + 1).count() <= MOST_SPELLINGS
-    parts = [_attachments(found, articles, places), _delegations(found), _rules(found, known, few), *_articles(found, known, few, places)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _attachments(found: DataFrame, articles: DataFrame, places: DataFrame) -> DataFrame:
-    """By the name as written, without spaces among attachments, or by the bare word."""
-    mine = _first(found.where("type = 'attachment'"), "raw")
-    lookup = places.select("rule_name", F.concat(F.lit("="), "article_no").alias("key"), "dst_id", F.col("article_no").alias("number"))
-    close = articles.where(F.col("record_type") == V.ATTACHMENT).groupBy("rule_name", F.concat(F.lit("~"), _close(F.col("article_no"))).alias("key")).agg(F.min_by(F.struct("record_id", "article_no"), "pos").alias("r"))
-    lookup = lookup.unionByName(close.select("rule_name", "key", F.col("r.record_id").alias("dst_id"), F.col("r.article_no").alias("number")))
-    ways = F.array_compact(F.array(F.concat(F.lit("="), "raw"), F.concat(F.lit("~"), _close(F.col("raw"))), F.when(F.col("raw").startswith(V.ATTACHMENT), F.lit("=" + V.ATTACHMENT))))
-    met = mine.select("src_id", "place", "own_rule", F.posexplode(ways).alias("way", "key")).join(lookup.withColumnRenamed("rule_name", "own_rule"), ["own_rule", "key"])
-    best = met.groupBy("src_id", "place").agg(F.min_by(F.struct("dst_id", "number"), "way").alias("r"))
-    got = mine.join(best, ["src_id", "place"], "left").withColumn("hit", F.col("r").isNotNull())
-    code = F.when(~F.col("hit"), F.when(F.col("regulation"), "image_only").otherwise("parser_scope"))
-    why = F.when(code == "image_only", REASONS["image_only"]).when(code == "parser_scope", REASONS["parser_scope"])
-    return _edges(got, kind=F.when(F.col("hit"), "attachment").otherwise("attachment_not_collected"), target_rule=F.when(F.col("hit"), F.col("own_rule")), target_article=F.col("r.number"), resolved=F.col("hit"), dst_id=F.col("r.dst_id"), reason_code=code, reason=why)
-
-
-def _unresolved(found: DataFrame, **columns: Column) -> DataFrame:
-    """Edges of found (with kind) that lead to no record; the kind is the reason, but for a rule as a whole."""
-    code = F.when(F.col("kind") != "rule_level", F.col("kind"))
-    why = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
-    return _edges(found, kind=F.col("kind"), reason_code=code, reason=F.try_element_at(why, code), **columns)
-
-
-def _delegations(found: DataFrame) -> DataFrame:
-    mine = found.where("type = 'delegation'")
-    return _edges(mine, kind=F.lit("unnamed_delegation"), reason_code=F.lit("unnamed_delegation"), reason=F.lit(REASONS["unnamed_delegation"]), clause=F.col("clause"), delegate=F.col("delegate"))
-
-
-def _rules(found: DataFrame, known: DataFrame, few: bool) -> DataFrame:
-    mine, name = found.where("type = 'rule'"), F.col("name")
-    mine = _by_alias(mine, [name, _close(name), _bare(name), _close(_bare(name))], known, few).withColumn("rule", F.coalesce(*[F.col(f"rule_{i}") for i in range(4)]))
-    mine = _first(mine.where("not (rule <=> own_rule) or rule is null"), "name")
-    # One branch with a kind for each row: a branch for each kind would look names up again.
-    kind = F.when(F.col("rule").isNotNull(), "rule_level").when(is_external_law(name), "external_law").otherwise("external_rule_unmatched")
-    return _unresolved(mine.withColumn("kind", kind), target_rule=F.col("rule"))
-
-
-def _articles(found: DataFrame, known: DataFrame, few: bool, places: DataFrame) -> list[DataFrame]:
-    mine = found.where("type = 'article'").withColumn("word", F.trim(blank(F.col("name"))))
-    word, bare = F.col("word"), _bare(F.col("word"))
-    mine = _by_alias(mine, [word, bare], known, few)
-    other = (bare != "") & (bare != word)
-    last = F.when(other, bare).otherwise(word)
-    rule = (
-        F.when((word == "") | word.isin(V.VAGUE), F.col("own_rule"))
-        .when(F.col("rule_0").isNotNull(), F.col("rule_0"))
-        .when(_known_law(word), F.lit(None))
-        .when(other & bare.isin(V.VAGUE), F.col("own_rule"))
-        .when(other & F.col("rule_1").isNotNull(), F.col("rule_1"))
-        .when(other & _known_law(bare), F.lit(None))
-        .when(_ends(last, V.LAW_TAIL_NAMED) & ~_ends(last, V.NOT_A_LAW_TAIL), F.lit(None))
-        .when(F.col("quoted"), F.lit(None))
-        .otherwise(F.col("own_rule"))
+    named = _kinds(_named(found, aliases(articles)))
+    return _edges(_first(_located(named, _numbers(articles))))
+
+
+def _kinds(named: DataFrame) -> DataFrame:
+    """named with the rule meant, and `kind` of rules and articles, without mentions of the own rule or article."""
+    mine, article, goes = F.col("type") == "rule", F.col("type") == "article", F.col("goes")
+    nowhere = (goes == "nowhere") | ((goes == "open") & F.col("quoted"))
+    rule = F.when(mine, F.col("whole")).when(~article | nowhere, F.lit(None)).when(goes == "told", F.col("told")).otherwise(F.col("own_rule"))
+    named = named.withColumn("rule", rule)
+    kind = (
+        F.when(mine & F.col("rule").isNotNull(), "rule_level")
+        .when(mine, F.when(F.col("law"), "external_law").otherwise("external_rule_unmatched"))
+        .when(article & F.col("rule").isNull(), F.when(F.col("outside"), "external_law").otherwise("external_law_unmatched"))
+        .when(article, F.when(F.col("rule") == F.col("own_rule"), "same_rule").otherwise("cross_rule"))
     )
-    outside = F.when(_known_law(word) | (other & _known_law(bare)) | (_ends(last, V.LAW_TAIL_NAMED) & ~_ends(last, V.NOT_A_LAW_TAIL)), "external_law").otherwise("external_law_unmatched")
-    mine = mine.withColumn("rule", rule).withColumn("kind", F.when(F.col("rule").isNull(), outside).when(F.col("rule") == F.col("own_rule"), "same_rule").otherwise("cross_rule"))
+    named = named.withColumn("kind", kind).withColumn("near", article & F.col("rule").isNotNull())
     # What stood before a mention of the own rule, but named none, is not shown.
-    at = F.locate("제", F.col("raw"))
-    cut = (word != "") & (F.col("kind") == "same_rule") & ~blank(F.col("rule")).contains(F.col("name")) & (at > 1)
-    mine = mine.withColumn("raw", F.when(cut, F.expr("substring(raw, locate('제', raw))")).otherwise(F.col("raw")))
-    mine = mine.withColumn("article", F.when(F.col("addendum") & (F.col("kind") == "same_rule") & (word == ""), F.concat(F.lit(V.ADDENDUM + " "), "article")).otherwise(F.col("article")))
-    far = _first(mine.where(F.col("kind").startswith("external")), "raw")
-    near = _first(mine.where(~F.col("kind").startswith("external") & ~((F.col("rule") == F.col("own_rule")) & (F.col("article") == F.col("own_no")))), "rule", "article", "clause")
-    near = near.join(places.select(F.col("rule_name").alias("rule"), F.col("article_no").alias("article"), "dst_id", "gone"), ["rule", "article"], "left")
+    same, word = F.col("kind") == "same_rule", F.col("asked")
+    cut = same & (word != "") & ~blank(F.col("rule")).contains(F.col("name")) & (F.locate("제", F.col("raw")) > 1)
+    named = named.withColumn("raw", F.when(cut, F.expr("substring(raw, locate('제', raw))")).otherwise(F.col("raw")))
+    named = named.withColumn("article", F.when(same & F.col("addendum") & (word == ""), F.concat(F.lit(V.ADDENDUM + " "), "article")).otherwise(F.col("article")))
+    own_article = (F.col("rule") == F.col("own_rule")) & (F.col("article") == F.col("own_no"))
+    return named.where(F.when(mine, F.expr("not (rule <=> own_rule) or rule is null")).when(F.col("near"), ~own_article).otherwise(True))
+
+
+def _numbers(articles: DataFrame) -> DataFrame:
+    """(holder, key, dst_id, number, gone, met): records of a rule by their number as written (=), attachments also without spaces (~)."""
+    written = records(articles).select(F.col("rule_name").alias("holder"), F.concat(F.lit("="), "article_no").alias("key"), "dst_id", F.col("article_no").alias("number"), "gone")
+    close = articles.where(F.col("record_type") == V.ATTACHMENT).groupBy("rule_name", F.concat(F.lit("~"), _close(F.col("article_no"))).alias("key")).agg(F.min_by(F.struct("record_id", "article_no"), "pos").alias("r"))
+    close = close.select(F.col("rule_name").alias("holder"), "key", F.col("r.record_id").alias("dst_id"), F.col("r.article_no").alias("number"), F.lit(None).cast("array<string>").alias("gone"))
+    return written.unionByName(close).withColumn("met", F.lit(True))
+
+
+def _located(named: DataFrame, numbers: DataFrame) -> DataFrame:
+    """named with the record that an article is, or an attachment by the name as written, without spaces among
+    attachments, or by the bare word: a row for each `way`."""
+    raw, mine = F.col("raw"), F.col("type") == "attachment"
+    ways = F.array(F.concat(F.lit("="), raw), F.concat(F.lit("~"), _close(raw)), F.when(raw.startswith(V.ATTACHMENT), F.lit("=" + V.ATTACHMENT)))
+    keys = F.array_compact(F.when(mine, ways).when(F.col("near"), F.array(F.concat(F.lit("="), "article"))))
+    # Without a key nothing is met: the record's id only spreads such rows.
+    holder = F.when(mine, F.col("own_rule")).when(F.col("near"), F.col("rule")).otherwise(F.col("src_id"))
+    return named.select("*", holder.alias("holder"), F.posexplode_outer(keys).alias("way", "key")).join(numbers, ["holder", "key"], "left")
+
+
+def _first(located: DataFrame) -> DataFrame:
+    """Of mentions of a record that are alike the first, and of its ways the first that met a record."""
+    by_type = F.col("type")
+    group = F.when(F.col("near"), "near").otherwise(by_type)
+    alike = F.when(F.col("near"), F.col("rule")).when(by_type == "rule", F.col("name")).when(by_type == "delegation", F.col("place").cast("string")).otherwise(F.col("raw"))
+    near = [F.when(F.col("near"), F.col(c)) for c in ("article", "clause")]
+    at = Window.partitionBy("src_id", group, alike, *near).orderBy("place", F.asc_nulls_last("met"), "way")
+    return located.withColumn("__n", F.row_number().over(at)).where("__n = 1").drop("__n")
+
+
+def _edges(located: DataFrame) -> DataFrame:
+    """Edges of mentions; the kind of an unresolved one is its reason, but for a rule as a whole."""
+    attached, delegated, near = F.col("type") == "attachment", F.col("type") == "delegation", F.col("near")
     marks = F.create_map(*[F.lit(x) for i, m in enumerate(NEAR_MARKS, 1) for x in (f"제{i}항", m)])
     circled = F.try_element_at(marks, F.substring_index(blank(F.col("clause")), " ", 1))
-    repealed = F.coalesce(F.col("dst_id").isNotNull() & F.array_contains("gone", circled), F.lit(False))
-    hit = F.col("dst_id").isNotNull() & ~repealed
-    code = F.when(repealed, "repealed_clause").when(~hit, "no_record")
-    why = F.when(repealed, REASONS["repealed_clause"]).when(~hit, REASONS["no_record"])
-    shown = lambda c: F.when(hit, F.col(c))
-    return [
-        _unresolved(far),
-        _edges(near, kind=F.when(repealed, "repealed_clause").otherwise(F.col("kind")), target_rule=shown("rule"), target_article=shown("article"), target_clause=shown("clause"), resolved=hit, dst_id=shown("dst_id"), reason_code=code, reason=why),
-    ]
+    there = near & F.col("dst_id").isNotNull()
+    rows = located.withColumn("repealed", F.coalesce(there & F.array_contains("gone", circled), F.lit(False)))
+    repealed = F.col("repealed")
+    rows = rows.withColumn("hit", F.when(attached, F.col("met").isNotNull()).otherwise(there & ~repealed))
+    hit = F.col("hit")
+    kind = F.when(attached, F.when(hit, "attachment").otherwise("attachment_not_collected")).when(delegated, "unnamed_delegation").when(repealed, "repealed_clause").otherwise(F.col("kind"))
+    code = (
+        F.when(hit, F.lit(None)).when(attached, F.when(F.col("regulation"), "image_only").otherwise("parser_scope"))
+        .when(delegated, "unnamed_delegation").when(repealed, "repealed_clause").when(near, "no_record").when(F.col("kind") != "rule_level", F.col("kind"))
+    )
+    why = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
+    given = {
+        "src_id": F.col("src_id"), "raw": F.col("raw"), "kind": kind, "resolved": hit, "dst_id": F.when(hit, F.col("dst_id")),
+        "target_rule": F.when(attached, F.when(hit, F.col("own_rule"))).when(near, F.when(hit, F.col("rule"))).when(F.col("type") == "rule", F.col("rule")),
+        "target_article": F.when(hit, F.when(attached, F.col("number")).otherwise(F.col("article"))),
+        "target_clause": F.when(near & hit, F.col("clause")), "reason_code": code, "reason": F.try_element_at(why, code),
+        "clause": F.when(delegated, F.col("clause")), "delegate": F.when(delegated, F.col("delegate")),
+    }
+    return rows.select(*[given[c].alias(c) for c in EDGE], F.col("place"))
 
 
 def inbound(edges: DataFrame, articles: DataFrame) -> DataFrame:

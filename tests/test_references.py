@@ -73,3 +73,11 @@ def test_kinds_of_one_lookup_share_a_branch(graph):
     """Attachments, delegations, rules as a whole, articles outside and inside: looking names up for each kind took 18 lookups, not 8."""
     articles, _ = graph
     assert R.outbound(articles)._jdf.queryExecution().analyzed().toString().count("AS __alias") <= 8
+
+
+def test_mentions_of_all_types_share_one_plan(spark):
+    """A branch for each type took 11 joins, 8 of them broadcast, and 5 windows, and its plan the driver's memory."""
+    articles = table(spark, CORPUS + MORE).withColumn("record_id", F.concat(F.lit("r"), "pos"))
+    plan = R.outbound(articles)._jdf.queryExecution().optimizedPlan().toString()
+    # Spellings to aliases, names to mentions, numbers to records.
+    assert (plan.count("Join "), plan.count("Window ["), plan.count("broadcast")) == (3, 1, 0)
