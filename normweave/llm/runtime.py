@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 from collections.abc import Iterator
 
@@ -36,17 +37,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
-    """The same rows in the shared folder, dealt by keys in a way that later plans know of and don't repeat; adaptive execution would hide it."""
-    spark, name = df.sparkSession, "spark.sql.adaptive.enabled"
+@contextlib.contextmanager
+def dealing(spark: SparkSession) -> Iterator[None]:
+    """What is cut here keeps how it was dealt for later plans, which don't repeat it; adaptive execution would hide it."""
+    name = "spark.sql.adaptive.enabled"
     before = spark.conf.get(name)
     spark.conf.set(name, "false")
     try:
-        return cut(df.repartition(parts, *keys))
+        yield
     finally:
         spark.conf.set(name, before)
 
 
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """The same rows in the shared folder, dealt by keys in a way that later plans know of."""
+    with dealing(df.sparkSession):
+        return cut(df.repartition(parts, *keys))
+
+
 def in_few(df: DataFrame, rows: int) -> DataFrame:
     """A table of few columns, of so many rows, read by no more tasks than it takes: parts of up to 1 << 18 rows, but one for each core."""
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows >> 18))

@@ -556,6 +556,25 @@ def test_suffix_tree_writes_two_tables_a_depth(spark, monkeypatch):
     assert len(states) > 3 and len(written) <= 2 + 2 * (len(states) - 1)  # of words and of no more keys besides
 
 
+def test_suffix_tree_sends_answers_once(spark, monkeypatch):
+    """Answers lie beside their chunks: no turn deals them, or those before them, out again."""
+    plans = []
+    monkeypatch.setattr(suffix_tree, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), runtime.cut(df))[1])
+    df = spark.createDataFrame(list(enumerate(chained_texts(60))), "doc_id long, text string")
+    plans.append(suffix_tree.score(df, F.lit(True))._jdf.queryExecution().executedPlan().toString())
+    turns = [p.split("FlatMapCoGroupsInArrow", 1)[1] for p in plans if "FlatMapCoGroupsInArrow" in p]
+    assert len(turns) > 5 and not any("Exchange" in t for t in turns)
+
+
+def test_suffix_tree_tells_no_count_that_is_none(spark):
+    """A next token seen less than SEEN times counts as not seen, whatever its count; words have theirs."""
+    keys = np.array([3, 1 << 40, 1 << 50], np.uint64)
+    rows = [(c, 0, suffix_tree.pack_keys(keys), suffix_tree.pack(np.array(t, np.int64))) for c, t in enumerate(([1, 2, 0], [1, 2, 1]))]
+    asked = spark.createDataFrame(rows, suffix_tree._ASKED)
+    told = {s: [sorted(x) for x in zip(*[runtime.unpack(r.answer, np.int64).tolist() for r in suffix_tree._counted(asked, s).collect()])] for s in (suffix_tree.FIRST, suffix_tree.COUNTS)}
+    assert told == {suffix_tree.FIRST: [[4, 5], [8, 9], [2, 3]], suffix_tree.COUNTS: [[0, 0], [8, 9], [0, 0]]}
+
+
 def test_suffix_tree_keys():
     """Keys that agree in their high bits and lie crosswise are told apart, and a place of each is its own."""
     rng = np.random.default_rng(1)
