@@ -115,4 +115,8 @@ def pack(x: np.ndarray) -> bytes:
 
 def unpack(raw: bytes, kind: type | str) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    rows = np.zeros(planes.shape[::-1], np.uint8)
+    for i, plane in enumerate(planes):
+        if plane.any():
+            rows[:, i] = plane
+    return rows.view(kind).ravel()

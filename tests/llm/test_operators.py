@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -575,6 +576,30 @@ def test_suffix_tree_tells_no_count_that_is_none(spark):
     assert told == {suffix_tree.FIRST: [[4, 5], [8, 9], [2, 3]], suffix_tree.COUNTS: [[0, 0], [8, 9], [0, 0]]}
 
 
+def test_suffix_tree_tells_rests_in_whole_units():
+    """The mass left by a state goes out as a small whole number that its count makes exact, zero for no state; a reach is kept for open tokens only."""
+
+    class Rows:
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, run, _):
+            return run
+
+    keys = np.array([3, 1 << 40, 1 << 50], np.uint64)
+    reports = np.array([(1, 7, 1_000_001, 1e-9), (1, 5, 1_000_001, 1e-9)], suffix_tree.REPORT)
+    rows = pa.table({"chunk": [0], "part": [0], "keys": [suffix_tree.pack_keys(keys)], "times": [runtime.pack(reports)]})
+    told = runtime.unpack(suffix_tree._told(Rows(), 3)(rows)["answer"][0].as_py(), np.int64)
+    assert np.abs(told).tolist() == [0, 4 * (1_000_001 - 12) + 3 * 2, 0]
+    row = {"words": np.arange(9, dtype=np.uint64).tobytes(), "local": runtime.pack(np.arange(9, dtype=np.uint32)), "sizes": runtime.pack(np.array([9])), "train": [True]}
+    chunk = suffix_tree.Chunk(row)
+    chunk.begin(np.full(9, 200), 1000.0)
+    chunk.see(np.array([0, 9, 9, 2, 9, 9, 9, 0, 0]))
+    chunk.move(np.full(9, 40))
+    # Both words of the context of a token at 2 or more were seen together, from a text's start or a rare pair on.
+    assert (chunk.at.tolist(), chunk.reach.tolist()) == ([2, 3, 5, 6, 7], [1, 2, 1, 2, 3])
+
+
 def test_suffix_tree_keys():
     """Keys that agree in their high bits and lie crosswise are told apart, and a place of each is its own."""
     rng = np.random.default_rng(1)
