@@ -57,8 +57,13 @@ class PrefixBPE:
         self._pair: dict[tuple[int, int], bool] = {}
         self._split: dict[int, tuple[int, int] | None] = {}
         self._known: dict[bytes, int] = {}
-        #: What tokens end with: a token's own bytes lead to it, all others to -1.
-        self._ending = {b[i:]: -1 for b in ranks for i in range(len(b))} | ranks
+        #: What tokens end with, and of each the tokens that it ends with itself, the longest first, with their lengths.
+        self._ending: dict[bytes, tuple[tuple[int, int], ...]] = {b"": ()}
+        for b in ranks:
+            for i in range(len(b) - 1, -1, -1):
+                if (end := b[i:]) not in self._ending:
+                    shorter = self._ending[b[i + 1 :]]
+                    self._ending[end] = ((len(end), ranks[end]), *shorter) if end in ranks else shorter
 
     def _merged(self, data: bytes, least: int = 1) -> list[int]:
         """Encoding of a short string straight from the definition: merge the lowest rank first, down to `least` parts."""
@@ -118,15 +123,19 @@ class PrefixBPE:
 
     def _last(self, data: bytes, end: int, before: Callable[[int], int]) -> int:
         """The valid last token of data[:end]; before(i) has that of data[:i]."""
-        ending, fits = self._ending, []
-        for start in range(end - 1, -1, -1):
-            token = ending.get(data[start:end])
-            if token is None:  # no token ends with these bytes, nor with more of them
-                break
-            if token >= 0:
-                fits.append((start, token))
-        for start, token in reversed(fits):
-            if self._together(before(start), token) if start else self._alone(token):
+        ending, fits, start = self._ending.get, (), end - 1
+        while start >= 0 and (found := ending(data[start:end])) is not None:  # else no token ends with these bytes, nor with more of them
+            fits, start = found, start - 1
+        pair = self._pair.get
+        for length, token in fits:
+            if length == end:
+                ok = self._alone(token)
+            else:
+                left = before(end - length)
+                ok = pair((left, token))
+                if ok is None:
+                    ok = self._together(left, token)
+            if ok:
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
@@ -138,18 +147,20 @@ class PrefixBPE:
         return table
 
     def _short(self, data: bytes) -> list[int]:
-        """Encoding by a table that short strings share: equal prefixes have equal last tokens."""
+        """Encoding by a table that short strings share: equal prefixes have equal last tokens. Only prefixes that a later one asks about are filled in."""
         known = self._known
         if len(known) >= PREFIXES:
             known.clear()
-        have = len(data)
-        while have and data[:have] not in known:
-            have -= 1
-        for end in range(have + 1, len(data) + 1):
-            known[data[:end]] = self._last(data, end, lambda i: known[data[:i]])
+
+        def before(end: int) -> int:
+            token = known.get(part := data[:end])
+            if token is None:
+                token = known[part] = self._last(data, end, before)
+            return token
+
         out, at = [], len(data)
         while at:
-            out.append(known[data[:at]])
+            out.append(before(at))
             at -= len(self.bytes_of[out[-1]])
         return out[::-1]
 

@@ -765,6 +765,11 @@ def test_bpe_is_the_library(spark, library):
     assert bpe.code(empty(spark), file, pattern, ["ids"]).count() == 0
 
 
+def test_bpe_fills_in_only_prefixes_that_are_asked_about(library):
+    bpe_, data = bpe.PrefixBPE(library[0].bpe.ranks), b"therainge" * 3
+    assert bpe_.encode(data) == bpe_._merged(data) and 0 < len(bpe_._known) < len(data)
+
+
 def test_bpe_appends_and_edits(library):
     codec, _ = library
     rng = random.Random(8)
